@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, mixing
-from factloom.session import table
+from factloom.llm import bpe, langid, mixing, simhash
+from factloom.session import cut, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 5, 0)
+    model = langid.fit(docs.where(~held), sample_rows=4000)
+    return langid.identified(docs.select("doc_id", "text", held.alias("held_out")), model, spans=True).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(simhash.edited(table(spark, sf_dir, "documents")))
+    return simhash.searched(found).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +34,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op8_source_mix)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_byte_bpe, op8_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
