@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, langid, mixing, simhash
+from factloom.llm import bpe, langid, minhash, mixing, simhash
 from factloom.session import cut, table
 
 
@@ -33,8 +33,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), [5, 2, 1], share=1.5, cap=2.0).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.grouped(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_byte_bpe, op8_source_mix)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_byte_bpe, op8_source_mix, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
