@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, ego_join, langid, minhash, mixing, simhash, trie_tokens, url_filter
+from factloom.llm import bpe, ego_join, langid, minhash, mixing, simhash, suffix, trie_tokens, url_filter
 from factloom.session import cut, table
 
 
@@ -29,6 +29,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats_removed(table(spark, sf_dir, "documents"), width=50)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +74,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_simhash, op3_byte_bpe, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op10_minhash)
+    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op10_minhash)
     return {f.__name__: f for f in named}
 
 
