@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, ego_join, langid, minhash, mixing, simhash, suffix, trie_tokens, url_filter
+from factloom.llm import bpe, ego_join, katz, langid, minhash, mixing, simhash, suffix, trie_tokens, url_filter
 from factloom.session import cut, table
 
 
@@ -68,13 +68,17 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), [5, 2, 1], share=1.5, cap=2.0).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2), order=2, min_count=2)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.grouped(table(spark, sf_dir, "documents"), width=2, percent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op10_minhash)
+    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op9_katz_scores, op10_minhash)
     return {f.__name__: f for f in named}
 
 
