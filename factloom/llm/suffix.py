@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -366,9 +367,17 @@ def _shard(width: int):
     return run
 
 
+def _whole(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The removed bytes but for those of characters that are not removed whole."""
+    if not len(data):
+        return gone
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, start), np.diff(np.append(start, len(data))))
+
+
 def _marked(width: int, keep_text: bool):
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if keep_text else [])]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["crc", "kept"] if keep_text else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.int64(), pa.string()] if keep_text else [])]
 
     def run(batches):
         for batch in batches:
@@ -405,15 +414,20 @@ def _marked(width: int, keep_text: bool):
                     g = gone[off[i] : off[i + 1]]
                     kept = data[off[i] : off[i + 1]][~g].tobytes()
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (1 if len(g) and g[0] else 0))
-                    rows.append((d, len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+                    more = []
+                    if keep_text:
+                        own = data[off[i] : off[i + 1]]
+                        more = [zlib.crc32(own.tobytes()), own[~_whole(g, own)].tobytes().decode()]
+                    rows.append((d, len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *more))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
 def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary; null
-    where nothing was removed)."""
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256. With `keep_text` also, for rows that
+    lose something, the text's crc32 (crc) and what is left of it (kept): there a character
+    that is not removed whole stays."""
     spark = docs.sparkSession
     small_batches(spark)
     ship(spark)
@@ -433,6 +447,16 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     hits = made.where("kind = 2").select("shard", "pack", "text", "n_bytes", "a", "b", "c").groupBy("shard").applyInArrow(_shard(width), "pack string, hits binary")
     hits = cut(hits.groupBy("pack").agg(F.collect_list("hits").alias("hits")))
     packs = made.where("kind = 1").select("pack", "text", "n_bytes", "a", "b", "c").join(hits, "pack", "left")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    done = made.where("kind = 0").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.lit(None).cast("binary").alias("kept")] if keep_text else []))
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", crc long, kept string" if keep_text else "")
+    done = made.where("kind = 0").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.lit(None).cast("long").alias("crc"), F.lit(None).cast("string").alias("kept")] if keep_text else []))
     return done.unionByName(packs.mapInArrow(_marked(width, keep_text), schema)).withColumnRenamed("id", key)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """`docs` with its texts less the strings that an earlier document holds (in whole
+    characters); rows of which nothing is left go."""
+    lost = repeats_removed(docs, key, text, width, gram, keep_text=True).where("n_removed > 0")
+    lost = lost.select(F.col(key).alias("_id"), F.col("n_bytes").alias("_n"), F.col("crc").alias("_crc"), "kept").groupBy("_id", "_crc", "_n").agg(F.first("kept").alias("_kept"))
+    own = (F.col(key).cast("long") == F.col("_id")) & (F.crc32(F.col(text).cast("binary")) == F.col("_crc")) & (F.octet_length(text) == F.col("_n"))
+    out = docs.join(lost, own, "left").where("_kept is null or _kept <> ''")
+    return out.select(*[F.coalesce("_kept", text).alias(c) if c == text else docs[c] for c in docs.columns])
