@@ -5,18 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from factloom.session import table
+from factloom.plans import queries_facts, queries_graph, queries_search
+from factloom.session import ship
+
+_ALL = {**queries_graph.QUERIES, **queries_facts.QUERIES, **queries_search.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    """People and what they purchased: a typed pattern over the graph of the tables."""
+    return queries()["pattern_purchased"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def shipped(make):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return make(spark, sf_dir)
+
+        return run
+
+    return {name: shipped(make) for name, (make, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
