@@ -109,20 +109,31 @@ def _place_right(t, s, sa, entries, tail) -> None:
 
 
 def _doubled(r: np.ndarray) -> np.ndarray:
-    """The suffix array of a string over a large alphabet, by prefix doubling."""
+    """The suffix array of a string over a large alphabet, by prefix doubling: only suffixes
+    that still share their rank are sorted again."""
     n = len(r)
-    rank, k = r.astype(np.uint64), 1
-    while True:
-        key = rank << np.uint64(32)
-        key[: n - k] |= rank[k:] + np.uint64(1) if k < n else np.uint64(0)
-        order = np.argsort(key, kind="stable")
-        ks = key[order]
-        new = np.concatenate([[0], np.cumsum(ks[1:] != ks[:-1])]).astype(np.uint64)
-        rank = np.empty(n, np.uint64)
-        rank[order] = new
-        if n == 0 or int(new[-1]) == n - 1:
-            return order.astype(np.int32)
+    order = np.argsort(r, kind="stable").astype(np.int32)
+    rs = r[order]
+    first = np.append(True, rs[1:] != rs[:-1])
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # the place of its group
+    k = 1
+    single = first & np.append(first[1:], True)
+    open_ = np.flatnonzero(~single)  # places whose suffixes are not told apart
+    while len(open_):
+        at = order[open_].astype(np.int64)
+        group = rank[at]
+        next_ = at + k
+        key = (group.astype(np.uint64) << np.uint64(32)) | np.where(next_ < n, rank[np.minimum(next_, n - 1)] + 1, 0).astype(np.uint64)
+        by = np.argsort(key)
+        key, at, group = key[by], at[by], group[by]
+        order[open_] = at
+        first = np.append(True, key[1:] != key[:-1])
+        rank[at] = open_[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        single = first & np.append(first[1:], True)
+        open_ = open_[~single]
         k *= 2
+    return order
 
 
 def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
@@ -179,12 +190,25 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     reducible[reducible] = t[i[reducible] - 1] == t[phi[reducible] - 1]
     at = np.flatnonzero(~reducible & (phi >= 0))
     value = np.zeros(n, dtype=np.int64)
-    x, y, k = at, phi[at], 0
+    # four characters of 16 bits at a time; past the end stand characters that differ by place
+    if int(t.max(initial=0)) < 1 << 16:
+        four = np.zeros(n, dtype=np.uint64)
+        for c in range(4):
+            four[: max(n - c, 0)] |= t[c:].astype(np.uint64) << np.uint64(16 * c)
+        x, y, k, step = at, phi[at], 0, 4
+        while len(at):
+            ok = (x + k + 3 < n) & (y + k + 3 < n)
+            ok[ok] = four[x[ok] + k] == four[y[ok] + k]
+            value[at[~ok]] = k
+            at, x, y = at[ok], x[ok], y[ok]
+            k += step
+        at = np.flatnonzero(~reducible & (phi >= 0))
+    x, y = at, phi[at]
     while len(at):
+        k = value[at]
         ok = (x + k < n) & (y + k < n)
-        ok[ok] = t[x[ok] + k] == t[y[ok] + k]
-        value[at[~ok]] = k
+        ok[ok] = t[x[ok] + k[ok]] == t[y[ok] + k[ok]]
         at, x, y = at[ok], x[ok], y[ok]
-        k += 1
+        value[at] += 1
     from_ = np.maximum.accumulate(np.where(reducible, 0, i))
     return np.maximum(value[from_] - (i - from_), 0)

@@ -5,13 +5,14 @@ smaller id. Strings that may repeat have to meet in one shard, so each string (w
 that its content alone decides: the least hash of its ``GRAM``-byte grams. Neighbouring windows
 mostly share their key; such a run of windows is one segment of text.
 
+0. Copies: rows whose whole text an earlier row has lose all of it and go no further.
 1. Keys: each task sends the short hashes of its runs' keys, once each; a bucket finds those that
    occur in more than one document. Keys that repeat inside a task are known to at once.
    (Hash collisions here only add candidates.)
 2. Segments: documents with repeated keys are packed; a pack sends each distinct segment once,
    with the least id of its documents, to the shard of its key. A passage that a third of all
    documents share so costs a pack one segment.
-3. Shards: the segments of a shard are concatenated, their suffix array is induced
+3. Shards: the distinct segments of a shard are concatenated, their suffix array is induced
    (`_sais.suffix_array`), permuted common prefixes tell which neighbours share ``width`` bytes,
    and each group of equal windows has its least document. Windows with an earlier document are
    sent back to the packs.
@@ -43,6 +44,9 @@ GRAM = 24
 PACK_BYTES = 4 << 20
 SHARD_BYTES = 3 << 20
 BUCKET_BYTES = 24 << 20
+#: So many ids are broadcast at most; beyond, their join is shuffled.
+SMALL = 1_000_000
+_NONE = np.iinfo(np.int64).max
 
 
 def _pressed(a: np.ndarray) -> bytes:
@@ -317,51 +321,51 @@ def _parts(b: bytes) -> list[bytes]:
     return out
 
 
-def earlier_windows(segments: np.ndarray, sizes: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """For concatenated segments, whether each position starts a window that a segment of a
-    smaller document holds too."""
+def least_holders(segments: np.ndarray, sizes: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """For concatenated segments, at each position the least document of the segments that hold
+    the window that starts there (a large number where none does)."""
     n = len(segments)
     t = np.ones(n + len(sizes) + 1, dtype=np.uint16)
-    start = np.cumsum(sizes) - sizes
-    moved = np.arange(n) + np.repeat(np.arange(len(sizes)), sizes)
+    moved = np.arange(n, dtype=np.int32) + np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     t[moved] = segments.astype(np.uint16) + 2
     t[-1] = 0
     sa = suffix_array(t, 258)
-    common = permuted_common_prefixes(t, sa)
-    group = np.cumsum(common[sa] < width) - 1
-    doc = np.full(len(t), np.iinfo(np.int64).max)
+    new = permuted_common_prefixes(t, sa)[sa] < width
+    new[0] = True
+    doc = np.full(len(t), _NONE)
     doc[moved] = np.repeat(least, sizes)
-    in_group = np.append(True, group[1:] != group[:-1])
-    first = np.minimum.reduceat(doc[sa], np.flatnonzero(in_group))
-    earlier = np.zeros(len(t), dtype=bool)
-    earlier[sa] = first[group] < doc[sa]
-    window = np.zeros(n, dtype=bool)
-    for_window = np.repeat(start + sizes - width, sizes) >= np.arange(n)
-    window[for_window] = earlier[moved[for_window]]
-    return window
+    first = np.minimum.reduceat(doc[sa], np.flatnonzero(new))
+    found = np.empty(len(t), dtype=np.int64)
+    found[sa] = first[np.cumsum(new) - 1]
+    ends = np.cumsum(sizes)
+    return np.where(np.repeat(ends - width, sizes) >= np.arange(n), found[moved], _NONE)
 
 
 def _shard(width: int):
     def run(table: pa.Table) -> pa.Table:
-        packs, blobs, sizes, least, index = [], [], [], [], []
+        # segments of equal content are one, with the least document of all packs
+        number: dict[bytes, int] = {}
+        packs = []
         for p, x, n, s, m, j in zip(*(table.column(c).to_pylist() for c in ("pack", "text", "n_bytes", "a", "b", "c"))):
-            packs.append(p)
-            blobs.append(pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True))
-            sizes.append(_unpressed(s, np.int32).astype(np.int64))
-            least.append(_unpressed(m, np.int64))
-            index.append(_unpressed(j, np.int32))
-        size = np.concatenate(sizes)
-        window = earlier_windows(np.frombuffer(b"".join(blobs), np.uint8), size, np.concatenate(least), width)
-        ends = np.cumsum([len(b) for b in blobs])
+            blob = pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True)
+            ends = np.cumsum(_unpressed(s, np.int32)).tolist()
+            own = np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip([0, *ends], ends)), np.int64, len(ends))
+            packs.append((p, own, _unpressed(m, np.int64), _unpressed(j, np.int32)))
+        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        least = np.full(len(number), _NONE)
+        for _, own, m, _ in packs:
+            np.minimum.at(least, own, m)
+        holder = least_holders(np.frombuffer(b"".join(number), np.uint8), sizes, least, width)
+        start = np.cumsum(sizes) - sizes
         out_pack, out_at = [], []
-        for k, p in enumerate(packs):
-            own = window[ends[k] - len(blobs[k]) : ends[k]]
-            at = np.flatnonzero(own)
-            if len(at):
-                e = np.cumsum(sizes[k])
-                seg = np.searchsorted(e, at, "right")
+        for p, own, m, index in packs:
+            size = sizes[own]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            seg = np.repeat(np.arange(len(own)), size)
+            hit = np.flatnonzero(holder[start[own][seg] + at] < m[seg])
+            if len(hit):
                 out_pack.append(p)
-                out_at.append(_joined_bytes([_pressed(index[k][seg]), _pressed((at - (e[seg] - sizes[k][seg])).astype(np.int32))]))
+                out_at.append(_joined_bytes([_pressed(index[seg[hit]]), _pressed(at[hit].astype(np.int32))]))
         return pa.table({"pack": pa.array(out_pack, pa.string()), "hits": pa.array(out_at, pa.binary())})
 
     return run
@@ -424,6 +428,19 @@ def _marked(width: int, keep_text: bool):
     return run
 
 
+def _copies(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose whole text an earlier document has (all of it goes), and the other rows."""
+    h = lambda salt: F.xxhash64(F.lit(salt), "text")
+    own = texts.where(F.col("id").isNotNull() & (F.octet_length("text") >= width)).select("id", h(1).alias("h1"), h(2).alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    own = cut(own)
+    several = own.groupBy("h1", "h2").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m <> x").select("h1", "h2", "m")
+    copies = cut(own.join(several, ["h1", "h2"]).where("id <> m").select("id", "h1", "n_bytes", "crc"))
+    ids = copies.select(F.col("id").alias("_i"), F.col("h1").alias("_h")).distinct()
+    if copies.count() <= SMALL:
+        ids = F.broadcast(ids)
+    return copies, texts.join(ids, (F.col("id") == F.col("_i")) & (h(1) == F.col("_h")), "left_anti")
+
+
 def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256. With `keep_text` also, for rows that
     lose something, the text's crc32 (crc) and what is left of it (kept): there a character
@@ -432,6 +449,7 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     small_batches(spark)
     ship(spark)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    copies, texts = _copies(texts, width)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(parts, total // BUCKET_BYTES)
@@ -449,6 +467,8 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     packs = made.where("kind = 1").select("pack", "text", "n_bytes", "a", "b", "c").join(hits, "pack", "left")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", crc long, kept string" if keep_text else "")
     done = made.where("kind = 0").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.lit(None).cast("long").alias("crc"), F.lit(None).cast("string").alias("kept")] if keep_text else []))
+    empty = hashlib.sha256(b"").hexdigest()
+    done = done.unionByName(copies.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), *([F.col("crc"), F.lit("").alias("kept")] if keep_text else [])))
     return done.unionByName(packs.mapInArrow(_marked(width, keep_text), schema)).withColumnRenamed("id", key)
 
 
