@@ -154,32 +154,21 @@ _REPLY = (["pack", "level", "bucket", "what", "data"], [pa.string(), pa.int32(),
 _REPLY_SCHEMA = "pack string, level int, bucket int, what int, data binary"
 
 
-def packed(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Packs of (id, text, held) as compressed texts (kind 0), and what they ask each bucket for
-    (kind 1: n-grams as a, their counts in texts to learn from as b)."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(id, text, held) as packs of compressed texts (kind 0)."""
 
     def close(parts):
         t = pa.concat_tables([pa.Table.from_batches([x]) for x in parts]).combine_chunks()
-        texts = t.column("text").combine_chunks().cast(pa.large_binary()).fill_null(b"") if t.num_rows else None
-        held = t.column("held").to_numpy().astype(bool)
-        p = Pack(texts, order)
+        texts = t.column("text").combine_chunks().cast(pa.large_binary()).fill_null(b"")
         data = b"".join(texts.to_pylist())
-        lengths = pa.compute.binary_length(texts).to_numpy().astype(np.int64)
-        ids = t.column("id")
-        ids = pa.RecordBatch.from_arrays([ids.combine_chunks()], names=["id"])
+        ids = pa.RecordBatch.from_arrays([t.column("id").combine_chunks()], names=["id"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, ids.schema) as w:
             w.write_batch(ids)
-        uid = uuid.uuid4().hex  # the rows are checkpointed before anything refers to it
-        rows = [(0, uid, 0, None, sink.getvalue().to_pybytes(), _press(held.astype(np.uint8)), len(data), pa.compress(data, codec="zstd", asbytes=True), _press(lengths))]
-        for k in range(1, order + 1):
-            n, keys = p.counts(k, ~held), p.keys[k - 1]
-            edges = _bucket_edges(keys, buckets)
-            for b in range(buckets):
-                lo, hi = edges[b], edges[b + 1]
-                if hi > lo:
-                    rows.append((1, uid, k, b, None, None, None, _press_sorted(keys[lo:hi]), _press(n[lo:hi].astype(np.uint32))))
-        return _rows(rows, *_REQUEST)
+        lengths = pa.compute.binary_length(texts).to_numpy().astype(np.int64)
+        held = t.column("held").to_numpy().astype(np.uint8)
+        name = uuid.uuid4().hex  # the rows are checkpointed before anything refers to it
+        return _rows([(0, name, 0, None, sink.getvalue().to_pybytes(), _press(held), len(data), pa.compress(data, codec="zstd", asbytes=True), _press(lengths))], *_REQUEST)
 
     def collect(batches):
         held, size = [], 0
@@ -196,6 +185,29 @@ def packed(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(collect, _REQUEST_SCHEMA)
 
 
+def _asking(levels: list[int], buckets: int, counted: bool):
+    """What packs ask each bucket for (kind 1): n-grams as a and, if `counted`, their counts in
+    texts to learn from as b."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                _, held, p = _opened(r, max(levels))
+                for k in levels:
+                    keys = p.keys[k - 1]
+                    n = p.counts(k, ~held).astype(np.uint32) if counted else None
+                    edges = _bucket_edges(keys, buckets)
+                    rows = []
+                    for b in range(buckets):
+                        lo, hi = edges[b], edges[b + 1]
+                        if hi > lo:
+                            rows.append((1, r["pack"], k, b, None, None, None, _press_sorted(keys[lo:hi]), _press(n[lo:hi]) if counted else None))
+                    yield _rows(rows, *_REQUEST)
+
+    return run
+
+
 def _counted(table: pa.Table) -> pa.Table:
     """One bucket of one level: replies to its packs (what 0: counts; 1: which n-grams the pack
     reports) and its share of the global numbers (what 2)."""
@@ -352,10 +364,9 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_TOKENS))
-    made = cut(packed(rows, order, buckets))
-    packs = made.where("kind = 0").select("pack", "ids", "flags", "sizes", "a", "b")
-    asked = made.where("kind = 1")
-    replies = cut(asked.groupBy("level", "bucket").applyInArrow(_counted, _REPLY_SCHEMA))
+    packs = cut(packed(rows)).select("pack", "ids", "flags", "sizes", "a", "b")
+    asked = packs.mapInArrow(_asking(list(range(1, order + 1)), buckets, True), _REQUEST_SCHEMA)
+    replies = cut(asked.select("level", "bucket", "pack", "a", "b").groupBy("level", "bucket").applyInArrow(_counted, _REPLY_SCHEMA))
     release(spark)
     model = Model(min_count)
     stats = {}
@@ -375,7 +386,9 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     for k in range(2, order + 1):
         model.d.setdefault(k, discounts({}))
         told = packs.join(_by_pack(replies.where(F.col("level") <= k)), "pack", "left").mapInArrow(_reporting(order, k, buckets, model), _REQUEST_SCHEMA)
-        both = cut(told).unionByName(asked.where(F.col("level") == k - 1)).select("kind", "pack", "bucket", "a", "b")
+        told = cut(told)
+        release(spark)
+        both = told.unionByName(packs.mapInArrow(_asking([k - 1], buckets, False), _REQUEST_SCHEMA)).select("kind", "pack", "bucket", "a", "b")
         weights = cut(both.groupBy("bucket").applyInArrow(_weighed(k), _REPLY_SCHEMA))
         replies = replies.unionByName(weights)
         release(spark)
