@@ -31,8 +31,10 @@ def bracketised(path: str) -> str:
     """Keys that are not plain names in brackets: `$.Marital Status` -> `$['Marital Status']`."""
     if not path.startswith("$"):
         return path
-    out = ["$"]
-    for part in re.findall(r"\[[^\]]*\]|\.[^.\[]+", path[1:]):
+    out, parts = ["$"], re.findall(r"\[[^\]]*\]|\.[^.\[]+", path[1:])
+    if "".join(parts) != path[1:]:
+        raise ValueError(f"unsupported JSONPath {path!r}")
+    for part in parts:
         out.append(part if part[0] == "[" or _PLAIN.match(part[1:]) else f"['{part[1:]}']")
     return "".join(out)
 

@@ -84,7 +84,15 @@ def canonical(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
-    return s.map(canonical, na_action="ignore")
+    """Null where a text is not JSON."""
+
+    def tried(x: str) -> str | None:
+        try:
+            return canonical(x)
+        except ValueError:
+            return None
+
+    return s.map(tried, na_action="ignore")
 
 
 def content_hash(json_text: Column) -> Column:
