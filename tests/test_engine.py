@@ -259,3 +259,21 @@ def test_entry_without_the_llm_folder(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+def test_facade(spark, net):
+    from factloom import engine
+
+    nodes, edges = net
+    p = spark.createDataFrame([("p0", "f", "1", "$.a.b")], "node_id string, source_file string, source_record_id string, source_field string")
+    r = spark.createDataFrame([("f", "1", '{"a": {"b": "x"}}')], "source_file string, source_record_id string, raw_record string")
+    q = spark.createDataFrame([("p0", "a", "open")], "node_id string, attribute string, status string")
+    e = engine.Engine(nodes, edges, p, r, q, search.Cascade({"stub": search.stub}))
+    assert e.node("p0")["provenance"][0]["source_field"] == "$.a.b" and e.path("p0", "p2")["length"] == 2
+    assert e.open_conflicts()["total"] == 1 and e.listing("Person", 2)["total"] == 13
+    assert engine.resolved_fact(p, r).first()["traced"] == "x"
+    for bad in (lambda: e.node("nobody"), lambda: e.path("p0", "alone"), lambda: e.edge("x")):
+        with pytest.raises(KeyError):
+            bad()
+    assert "| a | 0.5 |" in engine.eval_report("t", {"a": 0.5})
+    assert engine.sanitised_schema({"$defs": {"X": {"type": "string", "title": "x"}}, "type": "object", "properties": {"x": {"$ref": "#/$defs/X"}, "y": {"anyOf": [{"type": "integer"}, {"type": "null"}]}}}) == {"type": "object", "properties": {"x": {"type": "string"}, "y": {"type": "integer", "nullable": True}}}
