@@ -73,8 +73,8 @@ class Engine:
 def resolved_fact(provenance: DataFrame, records: DataFrame) -> DataFrame:
     """Provenance rows with the raw value their field names: ingest paths and dotted names alike."""
     key = ["source_file", "source_record_id"]
-    p = F.regexp_replace("source_field", r"^\$\.?", "")
-    return provenance.join(records.select(*key, "raw_record"), key).withColumn("traced", F.get_json_object("raw_record", F.concat(F.lit("$."), p)))
+    path = "concat('$.', regexp_replace(source_field, '^[$][.]?', ''))"
+    return provenance.join(records.select(*key, "raw_record"), key).withColumn("traced", F.expr(f"get_json_object(raw_record, {path})"))
 
 
 def eval_report(title: str, metrics: dict[str, float], path: str | None = None) -> str:
