@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.operators import graph, store, subgraph, vfs
 from factloom.plans.sql import BOTH, GRAPH, TYPES, slug
-from factloom.session import table
+from factloom.session import cut, table
 from factloom.sources import bench_graph as g
 
 #: Locations people are dealt to.
@@ -29,7 +29,8 @@ def _people(s, d):
     p = c.select(F.concat(F.lit("person:"), "c_custkey").alias("id"), F.lit("Person").alias("type"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("department"), F.element_at(F.array(*map(F.lit, LOCATIONS)), X.hash_bucket(F.concat(F.lit("person:"), "c_custkey"), 5) + 1).alias("location"))
     o = g.nodes(s, d).where("type = 'Organization'").select("id", "type", F.get_json_object(F.concat(F.lit('{"v":'), F.element_at("attributes", "name"), F.lit("}")), "$.v").alias("name"), F.lit(None).cast("string").alias("department"), F.lit(None).cast("string").alias("location"))
     v = p.unionByName(o).join(graph.degree(e), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return v.withColumn("source", F.col("type")).withColumn("ts", F.lit(None).cast("timestamp")), e
+    # a narrow table that every view reads several times
+    return cut(v.withColumn("source", F.col("type")).withColumn("ts", F.lit(None).cast("timestamp"))), e
 
 
 _PEOPLE = f"""{GRAPH}, e AS (SELECT * FROM edges WHERE rel IN ('MEMBER_OF', 'REPORTS_TO')),
@@ -56,7 +57,7 @@ def _view(mode):
 
 def _visible(s, d):
     v, e = _people(s, d)
-    seen = subgraph.apply(subgraph.base_filter(v, min_degree=2), v, e, subgraph.View(mode="isolate", **_VIEW))
+    seen = cut(subgraph.apply(subgraph.base_filter(v, min_degree=2), v, e, subgraph.View(mode="isolate", **_VIEW)))
     return subgraph.induced_links(e, seen).select("id", "src", "dst")
 
 
