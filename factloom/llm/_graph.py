@@ -30,7 +30,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(v, component) for each vertex of `edges` (columns a and b, long): the least vertex it
     reaches. Loops and null ends are ignored; no edges give no rows."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
     mark = None
     for _ in range(most_rounds):
         e = cut(_star(_star(e, True), False))

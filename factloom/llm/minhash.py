@@ -10,8 +10,9 @@ of 8 miss a pair with probability 8e-6.
 
 Equal sets are one vertex from the start. Each bucket of a band links its members to its least
 vertex, so candidates grow with the rows and not with the square of a bucket. Candidates are
-verified on the full sets. Members of a bucket that are in different components after that are
-then compared with each other too, so a link not through the least vertex isn't lost.
+verified on the full sets for the likeliest one of each vertex. Vertices that share buckets,
+directly or through others, and are in different components after that, are compared exactly, in
+blocks and as matrix products, so no link that any bucket holds is lost and no pairs are listed.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; with
 fewer words than ``width`` the whole sequence is the one shingle; rows that repeat an id are one
@@ -27,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._graph import components
+from factloom.llm.ego_join import _least_reached
 from factloom.llm._text import mix, pieces, shingles, small_batches, word_hashes
 from factloom.session import cut, release, ship
 
 COORDINATES = 512
+#: So many ids are broadcast at most; beyond, their join is shuffled.
+SMALL = 1_000_000
+BLOCK = 512
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -142,38 +147,105 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return p.where(F.col("x") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("x"))).select("a", "b").distinct()
 
 
+def block_links(rest: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components c within groups g of (g, v, c, s: the full set).
+    A group is cut into blocks of about BLOCK sets of like size; blocks whose sizes allow the
+    similarity are compared as matrix products of their shared shingles, and a pair of blocks
+    gives an edge to the least vertex it reaches, not its pairs."""
+    spark = rest.sparkSession
+    # sets that can be so similar are at most two size classes apart
+    step = (100 / percent) ** 0.5075 if percent < 100 else 1.01
+    rest = rest.withColumn("z", F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(step))).cast("int"))
+    n = rest.groupBy("g", "z").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    rest = rest.join(n, ["g", "z"]).withColumn("h", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
+
+    def packed(t: pa.Table) -> pa.Table:
+        s = t.column("s").combine_chunks()
+        off = np.asarray(s.offsets, dtype=np.int64)
+        el = np.asarray(s.values)[off[0] : off[-1]]
+        get = lambda c: np.asarray(t.column(c)).astype(np.int64).tobytes()
+        one = lambda c: [t.column(c)[0].as_py()]
+        return pa.table({"g": pa.array(one("g"), pa.int64()), "z": pa.array(one("z"), pa.int32()), "h": pa.array(one("h"), pa.int32()), "vs": pa.array([get("v")]), "cs": pa.array([get("c")]), "n": pa.array([np.diff(off).tobytes()]), "s": pa.array([el.tobytes()])})
+
+    blocks = cut(rest.select("g", "z", "h", "v", "c", "s").groupBy("g", "z", "h").applyInArrow(packed, "g long, z int, h int, vs binary, cs binary, n binary, s binary"))
+    box = blocks.select("g", "z", "h")
+    near = F.col("g") == F.col("g2")
+    near = near & ((F.col("z") < F.col("z2")) | ((F.col("z") == F.col("z2")) & (F.col("h") <= F.col("h2")))) & (F.col("z2") - F.col("z") <= 2)
+    pairs = box.join(box.select(*[F.col(c).alias(f"{c}2") for c in box.columns]), near)
+    other = blocks.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work = pairs.join(blocks, ["g", "z", "h"]).join(other, ["g2", "z2", "h2"]).repartition(parts, "g", "z", "h", "z2", "h2")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                va, ca, na, sa = (np.frombuffer(r[c], np.int64) for c in ("vs", "cs", "n", "s"))
+                vb, cb, nb, sb = (np.frombuffer(r[c + "2"], np.int64) for c in ("vs", "cs", "n", "s"))
+                if len(np.unique(np.concatenate([ca, cb]))) < 2:
+                    continue
+                common = np.intersect1d(sa, sb)
+                m = np.zeros((len(va), len(vb)), dtype=np.float32)
+                place = [(x, np.repeat(np.arange(len(k)), k), np.searchsorted(common, x)) for x, k in ((sa, na), (sb, nb))]
+                hit = [(row[ok], at[ok]) for x, row, at in place for ok in [(at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == x)]] if len(common) else []
+                for lo in range(0, len(common), 4096):
+                    inc = []
+                    for (row, at), k in zip(hit, (len(va), len(vb))):
+                        use = (at >= lo) & (at < lo + 4096)
+                        x = np.zeros((k, 4096), dtype=np.float32)
+                        x[row[use], at[use] - lo] = 1
+                        inc.append(x)
+                    m += inc[0] @ inc[1].T
+                x = m.astype(np.int64)
+                i_, j_ = np.nonzero((100 * x >= percent * (na[:, None] + nb[None, :] - x)) & (ca[:, None] != cb[None, :]))
+                if not len(i_):
+                    continue
+                v = np.concatenate([va, vb])
+                least = _least_reached(v, i_, j_ + len(va))
+                got = np.flatnonzero(least != v)
+                yield pa.RecordBatch.from_arrays([pa.array(v[got]), pa.array(least[got])], names=["a", "b"])
+
+    return work.mapInArrow(compare, "a long, b long")
+
+
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, t: int = COORDINATES) -> DataFrame:
-    """Per row of `docs`: id, n_shingles, component_id and kept."""
+    """Per row of `docs`: key, n_shingles, component_id and kept."""
     spark = docs.sparkSession
     rows = band_shape(percent / 100, t)
     a = cut(sketched(docs, key, text, width, rows, t))
-    classes = a.where("n_shingles > 0 and id is not null").groupBy("c1", "c2").agg(F.min(F.struct("id", "bands")).alias("m")).select("c1", "c2", F.col("m.id").alias("v"), F.col("m.bands").alias("bands"))
-    classes = cut(classes)
-    b = classes.select("v", F.explode("bands").alias("k"))
-    shared = b.groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "m")
+    own = a.where("n_shingles > 0 and id is not null")
+    b = own.groupBy("c1", "c2").agg(F.min(F.struct("id", "bands")).alias("m")).select(F.col("m.id").alias("v"), F.explode("m.bands").alias("k"))
+    shared = b.groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "m")
     b = cut(b.join(shared, "k"))  # members of buckets of two and more
-    members = b.select("v").distinct()
+    classes = cut(own.groupBy("c1", "c2").agg(F.min("id").alias("v")))
+    release(spark)
+    members = cut(b.select("v").distinct())
+    vertices = members.count()
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = cut(full_sets(texts.join(members, texts["id"] == members["v"], "left_semi"), width))
+    some = F.broadcast(members) if vertices <= SMALL else members
+    sets = cut(full_sets(texts.join(some, texts["id"] == members["v"], "left_semi"), width))
+    release(spark)
+    stars = cut(b.where("v <> m").groupBy(F.col("m").alias("a"), F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("c")))
+    likely = stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    links = cut(verified(likely, sets, percent))
     release(spark)
-    links = cut(verified(b.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), sets, percent))
     comp = cut(components(links))
-    # buckets whose members, the least apart, are still in several components
-    x = b.join(comp, "v", "left").select("k", "v", "m", F.coalesce("component", "v").alias("c"))
-    rest = x.where("v <> m")
-    mixed = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-    rest = cut(rest.join(mixed, "k", "left_semi").select("k", "v", "c"))
-    other = rest.select("k", F.col("v").alias("w"), F.col("c").alias("d"))
-    more = rest.join(other, "k").where("c <> d and v < w").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
-    found = cut(verified(more, sets, percent))
+    # what shares buckets with what, and the groups of it that are still in several components
+    x = components(stars).withColumnRenamed("component", "g").join(comp, "v", "left").select("g", "v", F.coalesce("component", "v").alias("c"))
+    x = cut(x)
+    several = x.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+    rest = x.join(several, "g", "left_semi").join(sets.withColumnRenamed("id", "v"), "v")
+    found = cut(block_links(rest, percent))
     if found.limit(1).count():
         comp = cut(components(links.unionByName(found)))
-    out = a.join(classes.select("c1", "c2", "v"), ["c1", "c2"], "left").join(comp, "v", "left")
+    out = a.select("id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left").join(comp, "v", "left")
     out = out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "v", "id")).otherwise(F.col("id")).alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    # a null id has a class only through others' ids: it stays by itself
+    out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", key)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the documents whose group has one of a smaller id."""
-    gone = grouped(docs, key, text, width, percent).where("not kept").select(F.col("id").alias("_gone"))
+    gone = grouped(docs, key, text, width, percent).where("not kept").select(F.col(key).alias("_gone"))
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -73,8 +73,7 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = minhash.grouped(table(spark, sf_dir, "documents"), width=2, percent=80)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    return minhash.grouped(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
