@@ -128,7 +128,7 @@ def _split(group: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def repeated_runs(texts: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
-    """(id, runs): for documents, the ordinals of their runs whose key other documents have too."""
+    """(id, n, runs): for documents, the ordinals of their runs whose key other documents have too."""
 
     def emit(held):
         """Rows of one task: a row for each bucket, and what is known to repeat."""
@@ -208,16 +208,31 @@ def repeated_runs(texts: DataFrame, buckets: int, width: int, gram: int) -> Data
             many[group[1:][same]] = True
             at = order[many[group]] if len(k) else order
             found.append((doc[at], run[at]))
-        ids, lists = [], []
+        parts, a, b = [], [], []
         if found:
             doc, run = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-            for i, at in _split_ids(doc):
-                ids.append(i)
-                lists.append(run[at].astype(np.uint32).tobytes())
-        return pa.table({"id": pa.array(ids, pa.int64()), "runs": pa.array(lists, pa.binary())})
+            for part, at in _split(doc // 64 % buckets):
+                at = at[np.lexsort((run[at], doc[at]))]
+                parts.append(part)
+                a.append(_pressed(np.diff(doc[at], prepend=0)))
+                b.append(_pressed(run[at]))
+        return pa.table({"part": pa.array(parts, pa.int32()), "docs": pa.array(a, pa.binary()), "runs": pa.array(b, pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """What all buckets found for some documents, a row for each of these."""
+        doc = np.concatenate([np.cumsum(_unpressed(x, np.int64)) for x in table.column("docs").to_pylist()])
+        run = np.concatenate([_unpressed(x, np.uint32) for x in table.column("runs").to_pylist()])
+        ids, sizes, lists = [], [], []
+        for i, at in _split_ids(doc):
+            own = np.unique(run[at])
+            ids.append(i)
+            sizes.append(len(own))
+            lists.append(_pressed(own))
+        return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "runs": pa.array(lists, pa.binary())})
 
     sent = texts.where("id is not null").select("id", "text").mapInArrow(collect, "bucket int, kind int, keys binary, docs binary, runs binary, none binary")
-    return sent.groupBy("bucket").applyInArrow(find, "id long, runs binary")
+    found = sent.groupBy("bucket").applyInArrow(find, "part int, docs binary, runs binary")
+    return found.groupBy("part").applyInArrow(gather, "id long, n long, runs binary")
 
 
 def _split_ids(doc: np.ndarray):
@@ -229,7 +244,7 @@ def _split_ids(doc: np.ndarray):
 
 
 def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
-    """From (id, text, lists of runs): finished rows of documents without repeated keys (kind 0),
+    """From (id, compressed text, its size, runs): finished rows of documents without repeated keys (kind 0),
     packs of the others (kind 1), and the packs' segments by shard (kind 2)."""
     names = ["kind", "pack", "shard", "id", "n_bytes", "sha", "text", "a", "b", "c"]
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -289,13 +304,13 @@ def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
             done = []
             for part in pieces(batch, "text", 1 << 20):
                 for r in part.to_pylist():
-                    text = (r["text"] or "").encode()
-                    if not r["lists"]:
+                    text = pa.decompress(r["text"], decompressed_size=r["size"], codec="zstd", asbytes=True) if r["size"] else b""
+                    if not r["runs"]:
                         done.append((0, None, None, r["id"], len(text), hashlib.sha256(text).hexdigest(), None, None, None, None))
                         continue
                     ids.append(r["id"])
                     texts.append(text)
-                    flags.append(np.concatenate([np.frombuffer(x, np.uint32) for x in r["lists"]]))
+                    flags.append(_unpressed(r["runs"], np.uint32))
                     size += len(text)
                     if size >= PACK_BYTES:
                         yield close(ids, texts, flags)
@@ -305,7 +320,7 @@ def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
         if ids:
             yield close(ids, texts, flags)
 
-    return rows.select("id", "text", "lists").mapInArrow(collect, "kind int, pack string, shard int, id long, n_bytes long, sha string, text binary, a binary, b binary, c binary")
+    return rows.select("id", "text", "size", "runs").mapInArrow(collect, "kind int, pack string, shard int, id long, n_bytes long, sha string, text binary, a binary, b binary, c binary")
 
 
 def _joined_bytes(parts: list[bytes]) -> bytes:
@@ -428,6 +443,14 @@ def _marked(width: int, keep_text: bool):
     return run
 
 
+def _smaller(batches):
+    """Texts compressed, to be shuffled."""
+    for batch in batches:
+        for part in pieces(batch, "text", 1 << 20):
+            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "text", "size"])
+
+
 def _copies(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """The rows whose whole text an earlier document has (all of it goes), and the other rows."""
     h = lambda salt: F.xxhash64(F.lit(salt), "text")
@@ -453,13 +476,13 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(parts, total // BUCKET_BYTES)
-    flags = repeated_runs(texts, buckets, width, gram).groupBy("id").agg(F.collect_list("runs").alias("lists"), F.sum(F.octet_length("runs")).alias("size"))
-    flags = cut(flags)
+    flags = cut(repeated_runs(texts, buckets, width, gram))
     release(spark)
-    n = (flags.agg(F.sum("size")).collect()[0][0] or 0) // 4
+    n = flags.agg(F.sum("n")).collect()[0][0] or 0
     shards = int(max(parts, n * (width + 13) // 2 // SHARD_BYTES))
-    f = flags.select(F.col("id").alias("_id"), "lists")
-    rows = texts.join(f, texts["id"] == f["_id"], "left")
+    f = flags.select(F.col("id").alias("_id"), "runs")
+    small = texts.mapInArrow(_smaller, "id long, text binary, size long")
+    rows = small.join(f, small["id"] == f["_id"], "left")
     made = cut(packed(rows, shards, width, gram))
     release(spark)
     hits = made.where("kind = 2").select("shard", "pack", "text", "n_bytes", "a", "b", "c").groupBy("shard").applyInArrow(_shard(width), "pack string, hits binary")
