@@ -65,7 +65,7 @@ def _runs(s, d):
 def _spans(s, d):
     """Gold and predicted spans made from conversation turns."""
     c = table(s, d, "conversations")
-    w = F.array_distinct(F.split(F.substring("text", 1, 40), " "))
+    w = F.array_distinct(F.split("text", " "))
     return c.select(F.col("role").alias("type"), w.alias("gold"), F.filter(w, lambda x: F.length(x) > 3).alias("predicted"))
 
 
@@ -76,7 +76,8 @@ def _recall(s, d):
 
 
 def _texts(s, d, make):
-    t = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 30), F.lit(" [node:person:"), F.col("conv_id"), F.lit("] emp_"), F.col("turn"), F.lit(" EMP_"), F.col("turn"), F.lit(" CUST-"), F.col("conv_id"), F.lit(" order-x"), F.col("turn"), F.lit(" [node:person:"), F.col("conv_id"), F.lit("]")).alias("text"))
+    """What is found in whole turns, with made-up ids appended."""
+    t = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" [node:person:"), F.col("conv_id"), F.lit("] emp_"), F.col("turn"), F.lit(" EMP_"), F.col("turn"), F.lit(" CUST-"), F.col("conv_id"), F.lit(" order-x"), F.col("turn"), F.lit(" [node:person:"), F.col("conv_id"), F.lit("]")).alias("text"))
     return t.select("conv_id", "turn", F.array_join(make(F.col("text")), ",").alias("found"))
 
 
