@@ -243,7 +243,7 @@ def _weighed(level: int):
         keys, s1, s2, c = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
         for i in np.flatnonzero(kind == 2).tolist():
             keys.append(_unpress_sorted(table.column("a")[i].as_py()))
-            x = np.frombuffer(table.column("b")[i].as_py(), np.float64).reshape(3, -1)
+            x = _unpress(table.column("b")[i].as_py(), np.float64).reshape(3, -1)
             s1.append(x[0])
             s2.append(x[1])
             c.append(x[2])
@@ -261,7 +261,7 @@ def _weighed(level: int):
             at = np.minimum(np.searchsorted(u, k), max(len(u) - 1, 0))
             hit = np.flatnonzero(u[at] == k) if len(u) else np.zeros(0, np.int64)
             data = _press(hit.astype(np.int32))
-            rows.append((table.column("pack")[i].as_py(), level, bucket, 3, len(data).to_bytes(8, "little") + data + np.concatenate([weight[at[hit]], divisor[at[hit]]]).tobytes() if len(hit) else b""))
+            rows.append((table.column("pack")[i].as_py(), level, bucket, 3, len(data).to_bytes(8, "little") + data + _press(np.concatenate([weight[at[hit]], divisor[at[hit]]])) if len(hit) else b""))
         if not rows:
             return pa.table({n: pa.array([], t) for n, t in zip(*_REPLY)})
         return pa.Table.from_batches([_rows(rows, *_REPLY)])
@@ -291,7 +291,7 @@ def _answered(p: Pack, replies: list[dict], levels: int, buckets: int):
             if data:
                 n = int.from_bytes(data[:8], "little")
                 at = _unpress(data[8 : 8 + n], np.int32) + edges[k - 2][b]
-                weights[k - 2][:, at] = np.frombuffer(data[8 + n :], np.float64).reshape(2, -1)
+                weights[k - 2][:, at] = _unpress(data[8 + n :], np.float64).reshape(2, -1)
             continue
         if k > levels:
             continue
@@ -327,7 +327,7 @@ def _reporting(order: int, level: int, buckets: int, model: Model):
                 c = counts[level - 2][u].astype(np.float64)
                 keys = p.keys[level - 2][u]
                 edges = _bucket_edges(keys, buckets)
-                rows = [(2, r["pack"], level, b, None, None, None, _press_sorted(keys[edges[b] : edges[b + 1]]), np.stack([x[edges[b] : edges[b + 1]] for x in (s1, s2, c)]).tobytes()) for b in range(buckets) if edges[b + 1] > edges[b]]
+                rows = [(2, r["pack"], level, b, None, None, None, _press_sorted(keys[edges[b] : edges[b + 1]]), _press(np.concatenate([x[edges[b] : edges[b + 1]] for x in (s1, s2, c)]))) for b in range(buckets) if edges[b + 1] > edges[b]]
                 yield _rows(rows, *_REQUEST)
 
     return run

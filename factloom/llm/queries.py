@@ -69,7 +69,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.scored(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2), order=2, min_count=2)
+    return katz.scored(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2), order=2, min_count=1)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
