@@ -6,15 +6,19 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions.text import ID_PATTERNS, cosine, id_tokens, squash
+from factloom.functions.text import ID_PATTERNS, id_tokens, squash
+from factloom.session import ship
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
 RRF_K = 60
+BLOCK_ROWS = 4096
 #: What a tier has to reach.
 THRESHOLDS = {"exact": 0.5, "router": 0.5, "hybrid": 0.6, "agentic": 0.5, "stub": 0.0}
 
@@ -63,12 +67,56 @@ def fulltext(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked(bm25(index, queries).select("qid", "id", squash(F.col("score")).alias("score")), k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
-    """Exact cosine top-k of queries (qid, vector) over vectors (id, vector). The queries are a
-    stated small set: each vector is read once and compared with all of them."""
-    q = queries.select("qid", F.col("vector").alias("qv"))
-    v = vectors.where("vector is not null")
-    return ranked(v.join(F.broadcast(q)).select("qid", "id", cosine(F.col("vector"), F.col("qv")).alias("score")), k)
+def _block_best(k: int, slack: float):
+    """The best k of one block of queries (side 0) in one block of vectors (side 1), and what is
+    within `slack` of the last of them. Products find candidates; their scores are added up from
+    left to right, so that equal vectors score alike wherever they stand."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        key = table.column("key").to_pylist()
+        v = table.column("vector").combine_chunks()
+        v = v.flatten().to_numpy().reshape(len(v), -1)
+        norm = np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
+        if not norm.all():
+            raise ValueError("a zero vector has no direction")
+        q, d = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[tuple[list, list, np.ndarray]] = []
+        unit = v / norm[:, None]
+        for a in range(0, len(q), 256) if len(d) else ():
+            part = q[a : a + 256]
+            s = unit[part] @ unit[d].T
+            n = min(k, len(d))
+            least = np.partition(s, len(d) - n, axis=1)[:, len(d) - n]
+            x, y = np.nonzero(s >= least[:, None] - slack - 1e-9)
+            x, y = part[x], d[y]
+            for b in range(0, len(x), 1 << 16):
+                i, j = x[b : b + (1 << 16)], y[b : b + (1 << 16)]
+                score = np.cumsum(v[j] * v[i], axis=1)[:, -1] / (norm[j] * norm[i])
+                out.append(([key[t] for t in i], [key[t] for t in j], score))
+        return pa.table({"qid": pa.array([t for o in out for t in o[0]], pa.string()), "id": pa.array([t for o in out for t in o[1]], pa.string()), "score": pa.array(np.concatenate([o[2] for o in out]) if out else [], pa.float64())})
+
+    return run
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 30, digits: int | None = None) -> DataFrame:
+    """Exact cosine top-k of queries (qid, vector) over vectors (id, vector), by score (rounded to
+    `digits`, if given) and then id. Blocks of queries are compared with blocks of vectors, so both
+    sides may grow; what has a null vector, an element that is no finite number, or another length, has no score and is no hit."""
+    spark = vectors.sparkSession
+    ship(spark)
+    whole = "vector is not null and size(vector) > 0 and not exists(vector, x -> x is null or not abs(x) < double('Infinity'))"
+    as_doubles = F.col("vector").cast("array<double>").alias("vector")
+    q, v = queries.select(F.col("qid").cast("string").alias("key"), as_doubles).where(whole), vectors.select(F.col("id").alias("key"), as_doubles).where(whole)
+    blocks = [max(1, -(-x.count() // BLOCK_ROWS)) for x in (q, v)]
+    place = [F.pmod(F.xxhash64("key"), F.lit(n)).cast("int") for n in blocks]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
+    both = q.select(F.lit(0).alias("side"), "key", "vector", place[0].alias("a"), every[1].alias("b"))
+    both = both.unionByName(v.select(F.lit(1).alias("side"), "key", "vector", every[0].alias("a"), place[1].alias("b")))
+    both = both.withColumn("width", F.size("vector"))
+    found = both.groupBy("a", "b", "width").applyInArrow(_block_best(k, 0.0 if digits is None else 10.0**-digits), "qid string, id string, score double")
+    found = found.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType))
+    return ranked(found if digits is None else found.withColumn("score", F.round("score", digits)), k)
 
 
 def rrf(vector: DataFrame, lexical: DataFrame, k: int = 10) -> DataFrame:
@@ -117,13 +165,18 @@ def routed(queries: DataFrame) -> DataFrame:
 
 def hybrid(index: TextIndex, vectors: DataFrame, queries: DataFrame, candidates: int = 30, k: int = 10) -> DataFrame:
     """queries: qid, query, vector."""
-    return rrf(vector_search(vectors, queries, candidates), ranked(bm25(index, queries), candidates), k)
+    texts = queries.groupBy("query").agg(F.min("qid").alias("text"))
+    lexical = ranked(bm25(index, texts.select(F.col("text").alias("qid"), "query")), candidates).withColumnRenamed("qid", "text")
+    asked = queries.join(texts, "query").select("qid", "text")
+    return rrf(vector_search(vectors, queries, candidates), lexical.join(asked, "text").select("qid", "id", "rank"), k)
 
 
 def cascade_batch(ids: DataFrame, index: TextIndex, vectors: DataFrame, queries: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """Per query the tier that answers it and its relevance: exact if that reaches its threshold,
     else hybrid if it does, else the last (stub)."""
-    e = exact(ids, index, queries).groupBy("qid").agg(F.max("relevance").alias("e"))
+    texts = queries.groupBy("query").agg(F.min("qid").alias("text"))
+    e = exact(ids, index, texts.select(F.col("text").alias("qid"), "query")).groupBy(F.col("qid").alias("text")).agg(F.max("relevance").alias("e"))
+    e = queries.join(texts.join(e, "text"), "query").select("qid", "e")
     rest = queries.join(e.where(F.col("e") >= thresholds["exact"]), "qid", "left_anti")
     h = hybrid(index, vectors, rest).groupBy("qid").agg(F.max("score").alias("h"))
     out = queries.select("qid").join(e, "qid", "left").join(h, "qid", "left")

@@ -27,9 +27,10 @@ def _vectors(s, d):
 
 
 def _asked(s, d):
-    """The queries with vectors: those of the first embeddings."""
-    v = table(s, d, "embeddings").where(f"vec_id < {len(ASKED)}").select(F.col("vec_id").cast("int").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"))
-    return F.broadcast(_q(s)).join(v, "qid")
+    """The queries with vectors: every row whose id is divisible by 20, the example texts in turn."""
+    v = table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"))
+    texts = F.broadcast(_q(s).withColumnRenamed("qid", "turn"))
+    return v.join(texts, F.expr(f"pmod(qid div 20, {len(ASKED)})") == F.col("turn")).select("qid", "query", "vector")
 
 
 _BM25 = f"""q(qid, query) AS (VALUES {_VALUES}), qt AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM q),
@@ -88,7 +89,7 @@ QUERIES = {
     "router_intent": (lambda s, d: search.routed(_q(s)).select(F.col("qid").cast("long").alias("qid"), "intent", "confidence", "route_to"), f"WITH q(qid, query) AS (VALUES {_VALUES}) SELECT CAST(qid AS BIGINT) AS qid, intent, CASE intent WHEN 'lookup' THEN 1.0::DOUBLE WHEN 'analytical' THEN 0.8::DOUBLE WHEN 'ambiguous' THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END AS confidence, CASE intent WHEN 'lookup' THEN 'exact' WHEN 'analytical' THEN 'agentic' ELSE 'hybrid' END AS route_to FROM (SELECT qid, CASE WHEN regexp_matches(query, '\\bemp_\\d+\\b|\\b(CLNT|CUST|VEND|ORG)-\\d+\\b|\\b[A-Z][0-9A-Z]{{9}}\\b') OR regexp_matches(query, '\\b(ticket|conv|conversation|order|sale|product)[-_:][\\w-]+\\b', 'i') THEN 'lookup' WHEN regexp_matches(query, '\\b(how many|count|average|compare|trend|over (the )?(last|past))\\b', 'i') THEN 'analytical' WHEN len(string_split_regex(trim(query), '\\s+')) <= 4 THEN 'ambiguous' ELSE 'search' END AS intent FROM q)"),
     "router_entities": (lambda s, d: search.routed(_q(s)).select(F.col("qid").cast("long").alias("qid"), F.explode("entities").alias("e")).select("qid", "e.type", "e.span"), "SELECT * FROM (VALUES (CAST(3 AS BIGINT), 'emp_id', 'emp_17'), (3, 'ticket_id', 'ORDER-99'), (6, 'emp_id', 'emp_17'), (6, 'product', 'product:x1'), (7, 'product', 'B0BQ3K23Y1')) t(qid, type, span)"),
     "bm25_topk": (lambda s, d: search.ranked(search.bm25(search.text_index(_docs(s, d)), _q(s)).withColumn("score", _round("score")), 10).select(F.col("qid").cast("long").alias("qid"), "id", "score", F.col("rank").cast("long").alias("rank")), f"WITH {_BM25} SELECT CAST(qid AS BIGINT) AS qid, id, score, r AS rank FROM (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS r FROM bm) WHERE r <= 10"),
-    "vector_topk": (lambda s, d: search.ranked(search.vector_search(_vectors(s, d), _asked(s, d), 2_000_000).drop("rank").withColumn("score", _round("score")), 10).select(F.col("qid").cast("long").alias("qid"), "id", "score"), f"WITH {_VEC} SELECT qid, id, score FROM (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS r FROM vec) WHERE r <= 10"),
+    "vector_topk": (lambda s, d: search.vector_search(_vectors(s, d), _asked(s, d), 10, digits=6).select(F.col("qid").cast("long").alias("qid"), "id", "score"), f"WITH {_VEC} SELECT qid, id, score FROM (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS r FROM vec) WHERE r <= 10"),
     "hybrid_topk": (_hybrid, f"WITH {_BM25}, {_VEC}, {_FUSED} SELECT qid, id, round(score, 6) AS score, r AS rank FROM hy WHERE r <= 10"),
     "cascade_batch": (_cascade, f"WITH {_BM25}, {_VEC}, {_FUSED}, ex AS (SELECT qid, max(score / (1 + score)) AS e FROM bm JOIN q USING (qid) WHERE len(string_split_regex(trim(query), '\\s+')) <= 4 AND NOT regexp_matches(query, '[*?]') GROUP BY qid), h AS (SELECT qid, max(score) AS h FROM hy GROUP BY qid) SELECT CAST(q.qid AS BIGINT) AS qid, CASE WHEN e >= 0.5 THEN 'exact' WHEN h >= 0.6 THEN 'hybrid' ELSE 'stub' END AS tier, CASE WHEN e >= 0.5 THEN round(e, 6) WHEN h >= 0.6 THEN round(h, 6) ELSE 0.0 END AS relevance FROM q LEFT JOIN ex ON q.qid = ex.qid LEFT JOIN h ON q.qid = h.qid"),
     "recall_at_k": (_recall, f"WITH {_VEC}, t AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vec) SELECT round(avg(CAST(hit AS DOUBLE)), 6) AS recall FROM (SELECT q, max(CASE WHEN t.id IS NULL THEN 0 ELSE 1 END) AS hit FROM (SELECT unnest(range(8)) AS q) x LEFT JOIN t ON t.qid = q AND r <= 50 AND t.id IN ('doc:' || q * 3, 'doc:' || (q + 1)) GROUP BY q)"),

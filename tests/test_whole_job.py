@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import ingest, search, workflows
 from factloom.plans import queries_search
+from factloom.plans import spec as S
 
 
 def test_texts_are_read_to_the_end(spark, tmp_path):
@@ -27,3 +29,27 @@ def test_texts_are_read_to_the_end(spark, tmp_path):
         tp[role] += sum(len(w) > 3 for w in words)
         n[role] += len(words)
     assert {r["type"]: (r["tp"], r["fn"], r["f1"]) for r in run("ner_f1")} == {k: (tp[k], n[k] - tp[k], round(2 * tp[k] / (tp[k] + n[k]), 6)) for k in n}
+
+
+def test_vector_queries_are_all_rows_divisible_by_20(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(200)]
+    vectors[150:170] = [list(vectors[20])] * 20  # equal scores beyond the 10 best
+    spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").coalesce(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"the of and {i}") for i in range(30)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    v = [[float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").collect()]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    scores = {q: {f"doc:{i}": dot(v[q], x) / (dot(v[q], v[q]) * dot(x, x)) ** 0.5 for i, x in enumerate(v)} for q in range(0, 200, 20)}
+    best = {(q, i) for q, s in scores.items() for i in sorted(s, key=lambda i: (-round(s[i], 6), i))[:10]}
+    top50 = {q: sorted(s, key=lambda i: (-round(s[i], 12), i))[:50] for q, s in scores.items()}
+    recall = sum(f"doc:{q * 3}" in t or f"doc:{q + 1}" in t for q, t in top50.items()) / len(top50)
+    run = lambda name: queries_search.QUERIES[name][0](spark, str(tmp_path)).collect()
+    for rows in (4096, 16):
+        monkeypatch.setattr(search, "BLOCK_ROWS", rows)
+        got = run("vector_topk")
+        assert {(r["qid"], r["id"]) for r in got} == best and len(got) == len(best)
+        assert all(abs(r["score"] - scores[r["qid"]][r["id"]]) < 1e-6 for r in got)
+    assert run("recall_at_k")[0]["recall"] == round(recall, 6)
+    fused, tiers = run("hybrid_topk"), run("cascade_batch")
+    assert {r["qid"] for r in fused} == set(scores) and sorted(r["qid"] for r in tiers) == sorted(scores)
+    assert all(r["id"] in sorted(scores[r["qid"]], key=lambda i: (-scores[r["qid"]][i], i))[:30] or int(r["id"][4:]) < 30 for r in fused)
