@@ -152,13 +152,32 @@ def customer_email(box: Toolbox, people: DataFrame, from_address: str, subject:
     return {"sender": sender, "neighbors": near, "hits": hits, "brief": "\n".join(lines)}
 
 
-def thread_summary(box: Toolbox, participants: list[str], messages: list[str], calls: int = 6) -> dict:
-    """What participants and id-like tokens of a thread find, the best score of each node."""
-    tokens = [m for t in messages for m in re.findall(r"\b(?:emp_\d+|(?:CLNT|CUST|VEND|ORG)-\d+)\b", t)]
+#: Fixed value: id-like tokens of a thread, those of `light_entities` and the reference's further kinds.
+THREAD_TOKEN = re.compile(r"(?i)\b(?:emp|cust|customer|clnt|vend|org|ticket|conv|order|sale|prod|product)[-_:]\w+\b")
+
+
+def thread_summary(box: Toolbox, participants: list[str], messages: list[str], client: Client | None = None, calls: int = 6) -> dict:
+    """What every participant and id-like token of a thread find by the hybrid tier, the best score
+    of each node. A client may look further with tools, `calls` times at most, and write the brief;
+    without one the brief is a list of the hits."""
     best: dict[str, float] = {}
-    for q in list(dict.fromkeys([*participants, *tokens]))[:calls]:
-        for i, s in box.cascade.run(q).hits[:5]:
+    asked: dict[str, str] = {}
+    for q in [*filter(None, map(str.strip, participants)), *(m for t in messages for m in THREAD_TOKEN.findall(t))]:
+        asked.setdefault(q.lower(), q)
+    for q in asked.values():
+        for i, s in box.cascade.tiers.get("hybrid", box.cascade.run)(q).hits[:5]:
             if s > best.get(i, -1.0):
                 best[i] = s
     hits = sorted(best.items())
-    return {"hits": hits, "brief": "\n".join([f"{len(messages)} messages, {len(participants)} participants", *[f"- [node:{i}] {s:.2f}" for i, s in hits]])}
+    brief = "\n".join([f"{len(messages)} messages, {len(participants)} participants", *[f"- [node:{i}] {s:.2f}" for i, s in hits]])
+    used, said = 0, [{"role": "user", "content": "\n".join([brief, *messages])}]
+    while client is not None:
+        reply = client.turn(said, box.schemas() if used < calls else [])
+        asks = reply.get("calls", [])[: calls - used]
+        if "answer" in reply or not asks:
+            brief = reply.get("answer", brief)
+            break
+        for c in asks:
+            said.append({"role": "tool", "name": c["name"], "content": box.call(c["name"], c.get("arguments", {}))})
+        used += len(asks)
+    return {"hits": hits, "brief": brief, "tool_calls": used}

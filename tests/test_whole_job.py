@@ -53,3 +53,25 @@ def test_vector_queries_are_all_rows_divisible_by_20(spark, tmp_path, monkeypatc
     fused, tiers = run("hybrid_topk"), run("cascade_batch")
     assert {r["qid"] for r in fused} == set(scores) and sorted(r["qid"] for r in tiers) == sorted(scores)
     assert all(r["id"] in sorted(scores[r["qid"]], key=lambda i: (-scores[r["qid"]][i], i))[:30] or int(r["id"][4:]) < 30 for r in fused)
+
+
+def test_thread_asks_for_every_participant_and_token():
+    asked = []
+
+    def hybrid(q):
+        asked.append(q)
+        return search.Result("hybrid", 1.0, [(f"node-{q.lower()}", 0.5), ("shared", 0.1 * len(asked))])
+
+    box = workflows.Toolbox(None, None, search.Cascade({"exact": search.stub, "hybrid": hybrid}))
+    people = [f"person {i}" for i in range(8)]
+    got = workflows.thread_summary(box, [*people, " ", people[0].upper()], ["see ticket-a1 and ORDER-7, order-7", "conv-3 product-x9 emp_12 CUST-5 sale_4"])
+    want = [*people, "ticket-a1", "ORDER-7", "conv-3", "product-x9", "emp_12", "CUST-5", "sale_4"]
+    assert asked == want and {i for i, _ in got["hits"]} == {f"node-{q.lower()}" for q in want} | {"shared"}
+    assert dict(got["hits"])["shared"] == pytest.approx(0.1 * len(want))
+
+    class Greedy:  # asks for ten calls at once and answers when no tool is offered
+        def turn(self, messages, tools):
+            return {"calls": [{"name": "nope"}] * 10} if tools else {"answer": f"after {sum(m['role'] == 'tool' for m in messages)}"}
+
+    got = workflows.thread_summary(box, people, [], Greedy())
+    assert got["tool_calls"] == 6 and got["brief"] == "after 6"
