@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import jsonpath
-from factloom.functions.text import NULLING, content_hash, edge_id, get_transformer
-from factloom.plans.spec import FieldMap, MappingSpec, NodeRule, predicate
+from factloom.functions.text import NULLING, cache_key, content_hash, edge_id, get_transformer
+from factloom.operators.workflows import CachedExtractor, grounded
+from factloom.plans.spec import FieldMap, MappingSpec, ModelBlock, NodeRule, predicate
+from factloom.session import cut, ship
 
 SEEN = ["spec_version", "source_file", "source_record_id", "content_hash"]
+ANSWERS = "block string, key string, items array<string>, error string"
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,8 @@ class Ingested:
     raw: DataFrame
     dead: DataFrame
     seen: DataFrame
+    items: DataFrame | None = None  # of model blocks: every item kept, with its grade and what became of it
+    answers: DataFrame | None = None  # of model blocks: block, key, items, error; those without error serve as `cache`
 
 
 def _field(variant: Column, f: FieldMap) -> tuple[Column, Column, Column, Column]:
@@ -64,8 +69,91 @@ def node_id(variant: Column, rule: NodeRule) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = None) -> Ingested:
-    """`records`: source_file, ordinal, record. `ledger`: what earlier runs have seen."""
+def _answered(asked: DataFrame, block: ModelBlock, extractor) -> DataFrame:
+    """(block, key, items, error) of (key, prompt): the model is asked once for each key. An answer
+    is an object whose `items` are objects with a numeric confidence; others are errors."""
+    schema = {"type": "object", "properties": {"items": {"type": "array", "items": block.output_schema, "maxItems": block.max_extractions_per_record}}}
+
+    def checked(answer: dict) -> list[str]:
+        items = answer.get("items")
+        if not isinstance(items, list):
+            raise ValueError("a model's answer must hold a list of items")
+        for x in items:
+            if not isinstance(x, dict) or isinstance(x.get("confidence"), bool) or not isinstance(x.get("confidence"), (int, float)):
+                raise ValueError("an item must be an object with a numeric confidence")
+        return [json.dumps(x, ensure_ascii=False) for x in items]
+
+    def run(batches):
+        model = CachedExtractor(extractor)
+        for d in batches:
+            out = []
+            for key, prompt in zip(d["key"], d["prompt"]):
+                try:
+                    out.append((block.name, key, checked(model.extract(key, prompt, schema)), None))
+                except ValueError as e:
+                    out.append((block.name, key, [], str(e)))
+            yield pd.DataFrame(out, columns=["block", "key", "items", "error"])
+
+    ship(asked.sparkSession)
+    return asked.groupBy("key").agg(F.min("prompt").alias("prompt")).mapInPandas(run, ANSWERS)
+
+
+def _materialised(out: DataFrame, spec: MappingSpec, block: ModelBlock, extractor, cache: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges, provenance, items and answers of one model block over good records. What a model
+    is not asked again: keys in `cache`. Items whose surface text is not in the input are inferred,
+    or left out where the block requires grounding."""
+    place = ["source_file", "source_record_id", "ordinal"]
+    number = {n.name: k for k, n in enumerate(spec.nodes)}
+    v = F.col("v")
+    given = jsonpath.first(v, block.input_source)
+    pairs = [F.concat(F.lit(json.dumps(p) + ":"), F.coalesce(jsonpath.first(v, p), F.lit("null"))) for p in block.cache_key]
+    inputs = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+    r = out.withColumn("v", F.parse_json("record")).where(given.isNotNull() & ~given.isin("null", '""')).withColumn("source_text", jsonpath.as_string(given))
+    r = r.withColumn("key", cache_key(F.lit(block.model), F.lit(block.prompt_template), inputs)).drop("v")
+    asked = r.select("key", F.concat(F.lit(block.prompt_template + "\n\nINPUT:\n"), "source_text").alias("prompt"))
+    old = None if cache is None else cache.where((F.col("block") == block.name) & F.col("error").isNull()).select("block", "key", "items", "error").dropDuplicates(["key"])
+    answers = _answered(asked if old is None else asked.join(old, "key", "left_anti"), block, extractor)
+    answers = cut(answers if old is None else answers.unionByName(old.join(asked.select("key").distinct(), "key", "left_semi")))
+    x = r.join(answers.select("key", "items"), "key").withColumn("item", F.explode(F.slice("items", 1, block.max_extractions_per_record))).withColumn("v", F.parse_json("item")).drop("items")
+    texts = [jsonpath.first(v, f"$.{k}") for k in ("surface_form", "text", "name")]
+    x = x.withColumn("surface", F.coalesce(*[F.when(t.startswith('"'), F.nullif(F.trim(jsonpath.as_string(t)), F.lit(""))) for t in texts]))
+    x = grounded(x).withColumn("model_self_score", jsonpath.first(v, "$.confidence").cast("double"))
+    if block.require_grounding:
+        x = x.where("confidence = 'grounded'")
+    name = block.output_node_rule.lstrip("@") if block.output_node_rule else None
+    id_, error, fields = F.lit(None).cast("string"), F.lit(None).cast("string"), []
+    if name:
+        rule = spec.nodes[number[name]]
+        fields = [_field(v, f) for f in rule.fields]
+        id_ = node_id(v, rule)
+        error = F.coalesce(F.when(id_.isNull(), F.lit(f"{name}: no id")), *[f[3] for f in fields])
+    facts_of = F.array(*[F.struct(F.lit(f.attribute).alias("attribute"), y[0].alias("value"), y[1].alias("raw_value"), y[2].alias("source_field")) for f, y in zip(rule.fields, fields)]) if fields else F.array().cast("array<struct<attribute:string,value:string,raw_value:string,source_field:string>>")
+    x = x.withColumns({"error": error, "id": F.when(error.isNull(), id_), "attributes": F.filter(facts_of, lambda a: a["value"].isNotNull())})
+    items = x.select(F.lit(block.name).alias("block"), F.lit(block.model).alias("model"), *place, "key", "item", "surface", "confidence", "model_self_score", F.col("id").alias("node_id"), "error")
+    made = x.where("id is not null")
+    nodes = made.select(*place, F.lit(number.get(name)).cast("int").alias("rule"), F.lit(spec.type_of(rule) if name else None).cast("string").alias("type"), "id", "attributes")
+    note = lambda d, node, edge, rule: d.select(node.alias("node_id"), edge.alias("edge_id"), "attribute", "value", "raw_value", "confidence", F.lit("llm_extraction").alias("extraction_method"), "source_file", "source_record_id", "source_field", "ordinal", rule.alias("rule"))
+    none = F.lit(None).cast("string")
+    facts = note(made.select(*place, "id", "confidence", F.explode("attributes").alias("a")).select(*place, "id", "confidence", "a.*"), F.col("id"), none, F.lit(number.get(name)).cast("int"))
+    edges = made.select(none.alias("id"), none.alias("src"), none.alias("dst"), none.alias("relation_type"), *place, "confidence", "surface").limit(0)
+    wanted = block.output_edge_rule.lstrip("@") if block.output_edge_rule else None
+    if wanted and name:
+        edge = next((e for e in spec.edges if e.canonical_type == wanted), None)
+        if edge is None:
+            raise ValueError(f"block {block.name} refers to {wanted}, no such edge rule")
+        end = lambda ref: F.col("id") if ref[1:] == name else F.col(f"n{number[ref[1:]]}.id")
+        edges = made.withColumns({"src": end(edge.source_node), "dst": end(edge.target_node)}).where("src is not null and dst is not null")
+        edges = edges.select(edge_id(F.col("src"), F.lit(wanted), F.col("dst")).alias("id"), "src", "dst", F.lit(wanted).alias("relation_type"), *place, "confidence", "surface")
+        said = edges.withColumns({"attribute": none, "value": none, "raw_value": F.col("surface"), "source_field": F.lit(block.input_source)})
+        facts = facts.unionByName(note(said, none, F.col("id"), F.lit(None).cast("int")))
+    return nodes, edges.drop("confidence", "surface"), facts, items, answers
+
+
+def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = None, extractor=None, cache: DataFrame | None = None) -> Ingested:
+    """`records`: source_file, ordinal, record. `ledger`: what earlier runs have seen. Specs with
+    model blocks need an `extractor` (a picklable Extractor); `cache`: the answers of earlier runs."""
+    if spec.llm_blocks and extractor is None:
+        raise ValueError(f"spec {spec.tenant!r} has llm_blocks, but there is no extractor")
     v = F.col("v")
     r = records.withColumn("v", F.try_parse_json("record")).withColumn("spec_version", F.lit(spec.spec_version))
     r = r.withColumn("content_hash", F.when(F.col("v").isNotNull(), content_hash(F.col("record"))))
@@ -107,7 +195,12 @@ def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = Non
         links = out.select(*[F.lit(None).cast("string").alias(c) for c in ("id", "src", "dst", "relation_type")], *place).limit(0)
     raw = r.where("status <> 'skipped' and source_record_id is not null").select("source_file", "source_record_id", F.col("record").alias("raw_record"), "content_hash", "ordinal")
     dead = r.where("status = 'dead'").select("source_file", "ordinal", F.lit(None).cast("string").alias("source_record_id"), "error", F.col("record").alias("raw_record"))
-    return Ingested(r, nodes, links, provenance, raw, dead, out.select(*SEEN).distinct())
+    items = answers = None
+    for block in spec.llm_blocks:
+        n, e, p, i, a = _materialised(out, spec, block, extractor, cache)
+        nodes, links, provenance = nodes.unionByName(n), links.unionByName(e), provenance.unionByName(p)
+        items, answers = (i, a) if items is None else (items.unionByName(i), answers.unionByName(a))
+    return Ingested(r, nodes, links, provenance, raw, dead, out.select(*SEEN).distinct(), items, answers)
 
 
 def report(run: Ingested) -> DataFrame:

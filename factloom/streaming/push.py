@@ -13,14 +13,14 @@ from factloom.operators.store import Store, raw_upsert
 from factloom.plans.spec import MappingSpec
 
 
-def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True) -> Callable[[DataFrame, int], None]:
+def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True, extractor=None, cache: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: ingests (source_file, ordinal, record) and commits all tables of
     the batch at once. With `mark_seen`, a batch that is run again changes nothing."""
 
     def run(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
         try:
-            got = ingest.ingest(batch, spec, store.read("seen") if mark_seen and store.has("seen") else None)
+            got = ingest.ingest(batch, spec, store.read("seen") if mark_seen and store.has("seen") else None, extractor, cache)
             if not got.records.where("status <> 'skipped'").limit(1).count():
                 return
             raw = got.raw.groupBy("source_file", "source_record_id").agg(F.max_by(F.struct("raw_record", "content_hash"), "ordinal").alias("r")).select("source_file", "source_record_id", "r.*").withColumn("ingested_at", F.current_timestamp())
@@ -38,18 +38,18 @@ def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True) -> Call
     return run
 
 
-def start(stream: DataFrame, store: Store, spec: MappingSpec, checkpoint: str, mark_seen: bool = True, **trigger) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(apply_batch(store, spec, mark_seen)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def start(stream: DataFrame, store: Store, spec: MappingSpec, checkpoint: str, mark_seen: bool = True, extractor=None, **trigger) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(apply_batch(store, spec, mark_seen, extractor)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def apply_record(spark, store: Store, spec: MappingSpec, source_file: str, record: str, expect_id: str | None = None, mark_seen: bool = False) -> list[str]:
+def apply_record(spark, store: Store, spec: MappingSpec, source_file: str, record: str, expect_id: str | None = None, mark_seen: bool = False, extractor=None) -> list[str]:
     """One record pushed: fails fast on a bad one; gives the ids of the nodes it touched."""
     one = spark.createDataFrame([(source_file, 0, record)], "source_file string, ordinal long, record string")
-    got = ingest.ingest(one, spec)
+    got = ingest.ingest(one, spec, extractor=extractor)
     row = got.records.select("status", "error", "source_record_id").first()
     if row["status"] == "dead":
         raise ValueError(row["error"])
     if expect_id is not None and row["source_record_id"] != expect_id:
         raise ValueError(f"the record's id is {row['source_record_id']}, not {expect_id}")
-    apply_batch(store, spec, mark_seen)(one, 0)
+    apply_batch(store, spec, mark_seen, extractor, got.answers)(one, 0)
     return [r["id"] for r in got.nodes.select("id").distinct().orderBy("id").collect()]

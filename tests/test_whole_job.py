@@ -75,3 +75,46 @@ def test_thread_asks_for_every_participant_and_token():
 
     got = workflows.thread_summary(box, people, [], Greedy())
     assert got["tool_calls"] == 6 and got["brief"] == "after 6"
+
+
+class Names:
+    """Finds capitalised words; one that is not there is added, and a marked text breaks it."""
+
+    def extract(self, prompt, schema):
+        text = prompt.split("INPUT:\n")[1]
+        if "broken" in text:
+            return ["no object"]
+        return {"items": [{"name": w, "surface_form": w, "confidence": 0.9} for w in [*re.findall(r"\b[A-Z][a-z]+\b", text), "Ghost"]]}
+
+
+@pytest.mark.parametrize("grounding", [True, False])
+def test_ingest_materialises_model_blocks(spark, grounding):
+    field = lambda a, p: {"attribute": a, "source": p}
+    data = {
+        "tenant": "t", "source": {"file_pattern": "f.json", "format": "json"},
+        "nodes": [{"name": "doc", "canonical_type": "Document", "id_template": "doc:{id}", "fields": [field("body", "$.body")]}, {"name": "who", "canonical_type": "Person", "id_template": "person:{name}", "when": {"exists": "$.name"}, "fields": [field("name", "$.name")]}],
+        "edges": [{"canonical_type": "MENTIONS", "source_node": "@doc", "target_node": "@who"}],
+        "llm_blocks": [{"name": "names", "input_source": "$.body", "prompt_template": "Names?", "output_schema": {"type": "object"}, "cache_key": ["$.body"], "output_node_rule": "who", "output_edge_rule": "MENTIONS", "require_grounding": grounding, "max_extractions_per_record": 3}],
+    }
+    spec = S.load(data)
+    long = "x " * 5000 + "Zoe"  # the name stands past any prefix
+    bodies = ["met Ann", "broken Bob", "Ann Bo Cy Di", long, "met Ann"]
+    records = spark.createDataFrame([("f.json", i, f'{{"id": "{i}", "body": "{b}"}}') for i, b in enumerate(bodies)], "source_file string, ordinal long, record string")
+    with pytest.raises(ValueError, match="extractor"):
+        ingest.ingest(records, spec)
+    got = ingest.ingest(records, spec, extractor=Names())
+    ghost = [] if grounding else ["Ghost"]
+    found = {0: ["Ann", *ghost], 2: ["Ann", "Bo", "Cy"], 3: ["Zoe", *ghost], 4: ["Ann", *ghost]}
+    assert {(r["src"], r["dst"]) for r in got.edges.collect()} == {(f"doc:{i}", f"person:{w}") for i, ws in found.items() for w in ws}
+    people = got.nodes.where("type = 'Person'").collect()
+    assert sorted((r["ordinal"], r["id"]) for r in people) == sorted((i, f"person:{w}") for i, ws in found.items() for w in ws)
+    facts = got.provenance.where("extraction_method = 'llm_extraction' and node_id is not null").collect()
+    assert {(r["node_id"], r["confidence"]) for r in facts} == {(f"person:{w}", "inferred" if w == "Ghost" else "grounded") for ws in found.values() for w in ws}
+    assert got.answers.count() == 4 and got.answers.where("error is not null").count() == 1  # equal inputs are asked once
+    again = ingest.ingest(records.where("ordinal <> 1"), spec, extractor=Silent(), cache=got.answers)
+    assert again.edges.count() == got.edges.count()
+
+
+class Silent:
+    def extract(self, prompt, schema):
+        raise RuntimeError("the cache holds every answer")
