@@ -47,3 +47,24 @@ def test_katz_uses_bigrams_seen_once(spark, tmp_path):
     for i, t in enumerate(texts):
         w = [*t.split(), "</s>"]
         assert abs(got[i] - sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w))) < 1e-6
+
+
+def test_url_prefixes_end_anywhere(spark):
+    urls = ["http://example.com/ads/x.js", "http://EXAMPLE.com/adserver?q", "http://example.com/ads", "http://example.com/Ads", "http://example.com/", "http://example.community/x", "http://example.com.evil.net/ads", "http://other.net/a/b/c", None, "nonsense"]
+    patterns = ["example.com/ads", "EXAMPLE.com/ad", "Example.COM/ads/", "example.com/ads/x.js", "example.com", "other.net/a/b/c/d", "other.net/", "other.net/A"]
+    p = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls)], "page_id long, url string, at string")
+    e = spark.createDataFrame([(x, "prefix", "add", "2024-01-01") for x in patterns], "pattern string, kind string, action string, at string")
+
+    def blocking(u):
+        if u is None or "://" not in u:
+            return []
+        host, _, rest = u.split("://")[1].partition("/")
+        whole = host.lower() + "/" + rest.split("?")[0]
+        folded = [x.partition("/")[0].lower() + "".join(x.partition("/")[1:]) for x in patterns]
+        return sorted("prefix:" + x for x in set(folded) if whole.startswith(x))
+
+    got = {r["page_id"]: r for r in url_filter.filtered(p, e, "page_id", "url", "at").collect()}
+    for i, u in enumerate(urls):
+        want = blocking(u)
+        assert (got[i]["n_matches"], got[i]["matched"]) == (len(want), want[0] if want else None), u
+    assert got[0]["n_matches"] == 5 and got[1]["n_matches"] == 3
