@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 from factloom.llm import bpe, langid, minhash, mixing, suffix
 from factloom.session import shared_dir, table
 
-#: Documents whose language is not certain by half are rejected.
-LEAST_SCORE = 0.5
 #: Repeated strings of so many bytes are removed: fewer than 50 words of one letter have.
 REPEAT_BYTES = 100
 WEIGHTS, SHARE, CAP = [5, 2, 1], 1.5, 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those with no language for most of their words."""
+    """Drops documents without letters and those none of whose words speaks for a known language,
+    which score an even guess; with nothing to learn from, all stay. Several languages are no fault."""
     model = langid.fit(docs)
-    return langid.identified(docs, model, spans=False).where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    n = len(model.languages)
+    if not n:
+        return docs
+    found = langid.identified(docs, model, spans=True)
+    known = F.lit(n == 1) | (F.size("spans") > 1) | (F.col("score") > 1 / n + 1e-9)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & known).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,15 @@ def test_url_prefixes_end_anywhere(spark):
         want = blocking(u)
         assert (got[i]["n_matches"], got[i]["matched"]) == (len(want), want[0] if want else None), u
     assert got[0]["n_matches"] == 5 and got[1]["n_matches"] == 3
+
+
+def test_pipeline_keeps_mixed_and_short_texts(spark):
+    words = {"en": "the of and house water green", "de": "der und nicht große über straße", "fr": "le les être garçon où même", "pl": "się jest że dzień być może"}
+    data = [(i, " ".join(w.split() * 8), lang, "s", 0) for i, (lang, w) in enumerate([*words.items()] * 6)]
+    mixed = " ".join(" ".join(words[k].split() * 20) for k in ("en", "de", "fr"))
+    data += [(100, mixed, "en", "s", 0), (101, "house", None, "s", 0), (102, "123 !!!", None, "s", 0), (103, None, None, "s", 0), (104, "қазақ тілі", None, "s", 0)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    assert langid.identified(docs.where("doc_id = 100"), langid.fit(docs)).first()["score"] < 0.5
+    assert {r["doc_id"] for r in C.language(spark, docs, "").collect()} == {*range(24), 100, 101}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert C.language(spark, unlabelled, "").count() == len(data)
