@@ -11,8 +11,9 @@ more than one penalty over the best single language, that language's path is the
 the other texts are decoded step by step, all of a batch side by side.
 
 Learning takes about ``sample_rows`` labelled rows per language (whole texts, chosen by a hash
-of the id), so the model and what reaches the driver (features x languages) are bounded;
-prediction covers every row.
+of the id). Every label is learned, ``BLOCK_LANGUAGES`` at a time, so what reaches the driver at
+once is bounded; the model itself takes 256 KiB for each language (at most 32,767). Prediction
+covers every row.
 
 Defined results: null texts and texts without any letter are ``und`` with score 0; words without
 letters are neutral and take the language around them; a script seen in no language is neutral;
@@ -38,7 +39,7 @@ FEATURES = 1 << 16
 FLOOR = -8.0
 PENALTY = 12.0
 PIECE = 1 << 20
-MAX_LANGUAGES = 500
+BLOCK_LANGUAGES = 500
 UNDETERMINED = "und"
 
 #: First code points of script ranges and the script that starts there.
@@ -117,10 +118,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     small_batches(spark)
     ship(spark)
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     languages = sorted(counts, key=lambda s: s.encode())
     if not languages:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
+    if len(languages) > np.iinfo(np.int16).max:
+        raise ValueError("more languages than a path can number")
     million = 1_000_000
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(million, -(-million * sample_rows // counts[k]))))])
     sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(million)) < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -141,16 +144,31 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     g = np.flatnonzero(s)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * (len(f) + len(g)), pa.string()), pa.array(np.concatenate([f, -1 - g])), pa.array(np.concatenate([n[f], s[g]]))], names=["lang", "f", "n"])
 
-    got = sample.mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros((FEATURES, len(languages)))
-    scripts = np.zeros((len(_NAMES), len(languages)))
-    at = got["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-    f, v = got["f"].to_numpy(), got["n"].to_numpy()
-    n[f[f >= 0], at[f >= 0]] = v[f >= 0]
-    scripts[-1 - f[f < 0], at[f < 0]] = v[f < 0]
-    p = np.log((n + 0.5) / (n.sum(0) + 0.5 * FEATURES))
-    allowed = scripts > 0.001 * np.maximum(scripts.sum(0), 1)
-    return Model(languages, (p - p.mean(1, keepdims=True)).astype(np.float32), allowed)
+    # what reaches the driver at once are the counts of one block of languages
+    scores = np.zeros((FEATURES, len(languages)), np.float32)
+    total = np.zeros((FEATURES, 1))
+    allowed = np.zeros((len(_NAMES), len(languages)), bool)
+    for first in range(0, len(languages), BLOCK_LANGUAGES):
+        block = languages[first : first + BLOCK_LANGUAGES]
+        here = slice(first, first + len(block))
+        some = sample if len(block) == len(languages) else sample.where(F.col("lang").isin(block))
+        got = some.mapInArrow(count, "lang string, f long, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
+        n = np.zeros((FEATURES, len(block)))
+        scripts = np.zeros((len(_NAMES), len(block)))
+        at = got["lang"].map({k: i for i, k in enumerate(block)}).to_numpy()
+        f, v = got["f"].to_numpy(), got["n"].to_numpy()
+        n[f[f >= 0], at[f >= 0]] = v[f >= 0]
+        scripts[-1 - f[f < 0], at[f < 0]] = v[f < 0]
+        p = np.log((n + 0.5) / (n.sum(0) + 0.5 * FEATURES))
+        if len(block) == len(languages):
+            p -= p.mean(1, keepdims=True)
+        else:
+            total += p.sum(1, keepdims=True)
+        scores[:, here] = p
+        allowed[:, here] = scripts > 0.001 * np.maximum(scripts.sum(0), 1)
+    if total.any():
+        scores -= (total / len(languages)).astype(np.float32)
+    return Model(languages, scores, allowed)
 
 
 def word_scores(padded: np.ndarray, start: np.ndarray, script: np.ndarray, model: Model) -> np.ndarray:

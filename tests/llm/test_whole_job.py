@@ -80,3 +80,15 @@ def test_pipeline_keeps_mixed_and_short_texts(spark):
     assert {r["doc_id"] for r in C.language(spark, docs, "").collect()} == {*range(24), 100, 101}
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert C.language(spark, unlabelled, "").count() == len(data)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    words = {f"l{k}": " ".join(f"{a}{b}{a}" for b in ("um", "or", "ist", "en")) for k, a in enumerate(("qu", "zy", "ph", "kw", "gh"))}
+    docs = spark.createDataFrame([(i, " ".join([w] * 5), lang, "s", 0) for i, (lang, w) in enumerate([*words.items()] * 5)], SCHEMA)
+    whole = langid.fit(docs)
+    for name in ("MAX_LANGUAGES", "BLOCK_LANGUAGES"):
+        monkeypatch.setattr(langid, name, 2, raising=False)
+    model = langid.fit(docs)
+    assert model.languages == whole.languages == sorted(words)
+    assert abs(model.scores - whole.scores).max() < 1e-5 and (model.allowed == whole.allowed).all()
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identified(docs, model).collect())
