@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import zipfile
 
@@ -14,10 +15,12 @@ _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in ``spark.checkpoint.dir``;
-    only where that is unset (tests, a laptop) a temporary one is made."""
+    only where that is unset and the master is local (tests, a laptop) a temporary one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     made = getattr(spark.sparkContext, "_factloom_scratch", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="factloom-")
@@ -32,6 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the checkpoint that `cut` made of `df`: Spark itself keeps checkpoints for good.
+    Only for what nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints nothing refers to any more."""
     gc.collect()
