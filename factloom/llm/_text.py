@@ -8,6 +8,8 @@ word, not the batch.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -150,13 +152,15 @@ def shingles(words: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Zero-copy parts of a batch whose texts hold about `limit` bytes each (one row at least)."""
+    """Zero-copy parts of a batch whose texts hold about `limit` bytes each (one row at least);
+    of a list column, about `limit` items."""
     i = batch.schema.get_field_index(column)
     col = batch.column(i)
     n = batch.num_rows
     if n == 0:
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    measure = pa.compute.list_value_length if pa.types.is_list(col.type) or pa.types.is_large_list(col.type) else pa.compute.binary_length
+    size = pa.compute.fill_null(measure(col), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
@@ -164,6 +168,16 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Spark keeps its Python workers, and
+    what they hold on to counts against the executor while other tasks run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep the batches sent to Python workers small where the session has the stock limits:
     long texts would make batches of 10,000 rows too large."""

@@ -12,6 +12,8 @@ Counts are kept in tables partitioned by the n-gram's hash. Texts are packed; a
 partition for its own distinct n-grams once and gets their counts back, so a frequent word costs
 a pack one entry. One pack, named by the partition, reports an n-gram to its context's
 partition, where the weights come from; then each pack evaluates its texts token by token.
+A pack meets its replies by one shuffle keyed by the pack; what a step no longer needs is
+deleted, so the disk holds one step's exchange beside packs and replies.
 
 Defined results: a null text is an empty one (its end mark only); a row with a null id is not held
 out, so it is learned from; rows repeat as they come and count each; with nothing to learn from,
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm._text import pair, pieces, small_batches, word_hashes
+from factloom.llm._text import give_back, pair, pieces, small_batches, word_hashes
 from factloom.session import cut, release, ship
 
 LARGE = 5
-PACK_BYTES = 12 << 20
+PACK_BYTES = 14 << 20
 BUCKET_TOKENS = 2_000_000
 END = 0x5851F42D4C957F2D
 BEGIN = [0, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x4A39B70D5C9C9A5B, 0x5B5E0D1C3A7F9E11]  # of contexts of 1, 2, … tokens
@@ -144,18 +146,23 @@ def _probabilities(p: Pack, model: Model, counts: list[np.ndarray], weights: lis
     return lp
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+TEXTS, ASK, COUNTS, MINE, TOTALS, REPORT, WEIGHTS = range(7)
+_MESSAGE = {"pack": ("string", pa.string()), "level": ("int", pa.int32()), "bucket": ("int", pa.int32()), "what": ("int", pa.int32()), "a": ("binary", pa.binary()), "b": ("binary", pa.binary())}
+_PACK = _MESSAGE | {"ids": ("binary", pa.binary()), "flags": ("binary", pa.binary()), "sizes": ("long", pa.int64())}
 
 
-_REQUEST = (["kind", "pack", "level", "bucket", "ids", "flags", "sizes", "a", "b"], [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
-_REQUEST_SCHEMA = "kind int, pack string, level int, bucket int, ids binary, flags binary, sizes long, a binary, b binary"
-_REPLY = (["pack", "level", "bucket", "what", "data"], [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()])
-_REPLY_SCHEMA = "pack string, level int, bucket int, what int, data binary"
+def _ddl(columns: dict) -> str:
+    return ", ".join(f"{k} {v[0]}" for k, v in columns.items())
+
+
+def _message(rows: list[tuple], columns: dict = _MESSAGE) -> pa.Table:
+    """Rows of what packs and buckets tell each other."""
+    values = zip(*rows) if rows else [[] for _ in columns]
+    return pa.table({k: pa.array(v, t) for (k, (_, t)), v in zip(columns.items(), values)})
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(id, text, held) as packs of compressed texts (kind 0)."""
+    """(id, text, held) as packs of compressed texts."""
 
     def close(parts):
         t = pa.concat_tables([pa.Table.from_batches([x]) for x in parts]).combine_chunks()
@@ -168,7 +175,7 @@ def packed(docs: DataFrame) -> DataFrame:
         lengths = pa.compute.binary_length(texts).to_numpy().astype(np.int64)
         held = t.column("held").to_numpy().astype(np.uint8)
         name = uuid.uuid4().hex  # the rows are checkpointed before anything refers to it
-        return _rows([(0, name, 0, None, sink.getvalue().to_pybytes(), _press(held), len(data), pa.compress(data, codec="zstd", asbytes=True), _press(lengths))], *_REQUEST)
+        return _message([(name, 0, 0, TEXTS, pa.Codec("zstd", 9).compress(data, asbytes=True), _press(lengths), sink.getvalue().to_pybytes(), _press(held), len(data))], _PACK).to_batches()[0]
 
     def collect(batches):
         held, size = [], 0
@@ -181,174 +188,191 @@ def packed(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield close(held)
+        give_back()
 
-    return docs.mapInArrow(collect, _REQUEST_SCHEMA)
+    return docs.mapInArrow(collect, _ddl(_PACK))
 
 
-def _asking(levels: list[int], buckets: int, counted: bool):
-    """What packs ask each bucket for (kind 1): n-grams as a and, if `counted`, their counts in
-    texts to learn from as b."""
+def _asking(level: int, buckets: int):
+    """What packs ask each bucket for: their n-grams of the level (a) and how often texts to learn
+    from have them (b)."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                _, held, p = _opened(r, max(levels))
-                for k in levels:
-                    keys = p.keys[k - 1]
-                    n = p.counts(k, ~held).astype(np.uint32) if counted else None
-                    edges = _bucket_edges(keys, buckets)
-                    rows = []
-                    for b in range(buckets):
-                        lo, hi = edges[b], edges[b + 1]
-                        if hi > lo:
-                            rows.append((1, r["pack"], k, b, None, None, None, _press_sorted(keys[lo:hi]), _press(n[lo:hi]) if counted else None))
-                    yield _rows(rows, *_REQUEST)
+                table = pa.Table.from_batches([batch.slice(i, 1)])
+                _, held, p = _opened(table, level)
+                pack, keys, n = _cell(table, "pack", 0), p.keys[level - 1], p.counts(level, ~held).astype(np.uint32)
+                del p, table
+                edges = _bucket_edges(keys, buckets)
+                rows = [(pack, level, b, ASK, _press_sorted(keys[edges[b] : edges[b + 1]]), _press(n[edges[b] : edges[b + 1]])) for b in np.flatnonzero(np.diff(edges)).tolist()]
+                yield from _message(rows).to_batches()
+        give_back()
 
     return run
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """One bucket of one level: replies to its packs (what 0: counts; 1: which n-grams the pack
-    reports) and its share of the global numbers (what 2)."""
-    level = table.column("level")[0].as_py()
-    bucket = table.column("bucket")[0].as_py()
+    """One bucket of one level: replies to its packs (counts, and which n-grams the pack reports)
+    and its share of the global numbers."""
+    level, bucket = _cell(table, "level", 0), _cell(table, "bucket", 0)
     packs = table.column("pack").to_pylist()
     order = np.argsort(np.array(packs, dtype=object), kind="stable").tolist()
-    keys = [_unpress_sorted(table.column("a")[i].as_py()) for i in order]
-    counts = [_unpress(table.column("b")[i].as_py(), np.uint32) for i in order]
+    keys = [_unpress_sorted(_cell(table, "a", i)) for i in order]
     every = np.concatenate(keys)
     u, first, inverse = np.unique(every, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts).astype(np.float64)).astype(np.int64)
-    mine = np.zeros(len(every), dtype=bool)
+    del every
+    counts = np.concatenate([_unpress(_cell(table, "b", i), np.uint32) for i in order])
+    del table
+    total = np.bincount(inverse, weights=counts.astype(np.float64)).astype(np.int64)
+    mine = np.zeros(len(counts), dtype=bool)
     mine[first] = True
+    del counts, first
     rows, at = [], 0
     for i, k in zip(order, keys):
         part = slice(at, at + len(k))
         at += len(k)
-        rows.append((packs[i], level, bucket, 0, _press(total[inverse[part]])))
-        rows.append((packs[i], level, bucket, 1, pa.compress(np.packbits(mine[part]).tobytes(), codec="zstd", asbytes=True)))
+        rows.append((packs[i], level, bucket, COUNTS, _press(total[inverse[part]]), None))
+        rows.append((packs[i], level, bucket, MINE, pa.compress(np.packbits(mine[part]).tobytes(), codec="zstd", asbytes=True), None))
     real = total[(u != np.uint64(BEGIN[level])) & (total > 0)]
     stats = np.array([real.sum(), len(real), *[(real == r).sum() for r in range(1, LARGE + 2)]], dtype=np.int64)
-    rows.append((None, level, bucket, 2, stats.tobytes()))
-    return pa.Table.from_batches([_rows(rows, *_REPLY)])
-
-
-def _weighed(level: int):
-    """One bucket of contexts: from what packs report (kind 2) the weights, for packs that ask (kind 1)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind = np.array(table.column("kind").to_pylist())
-        bucket = table.column("bucket")[0].as_py()
-        keys, s1, s2, c = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
-        for i in np.flatnonzero(kind == 2).tolist():
-            keys.append(_unpress_sorted(table.column("a")[i].as_py()))
-            x = _unpress(table.column("b")[i].as_py(), np.float64).reshape(3, -1)
-            s1.append(x[0])
-            s2.append(x[1])
-            c.append(x[2])
-        every = np.concatenate(keys)
-        u, first, inverse = np.unique(every, return_index=True, return_inverse=True)
-        kept = np.bincount(inverse, weights=np.concatenate(s1), minlength=len(u))
-        lower = np.bincount(inverse, weights=np.concatenate(s2), minlength=len(u))
-        divisor = np.concatenate(c)[first] if len(u) else np.zeros(0)
-        # a context all of whose mass is taken gets one more count, so that something is left
-        divisor = np.where(divisor - kept < 1e-9, divisor + 1, divisor)
-        weight = np.log10(np.maximum(1 - kept / divisor, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12)) if len(u) else divisor
-        rows = []
-        for i in np.flatnonzero(kind == 1).tolist():
-            k = _unpress_sorted(table.column("a")[i].as_py())
-            at = np.minimum(np.searchsorted(u, k), max(len(u) - 1, 0))
-            hit = np.flatnonzero(u[at] == k) if len(u) else np.zeros(0, np.int64)
-            data = _press(hit.astype(np.int32))
-            rows.append((table.column("pack")[i].as_py(), level, bucket, 3, len(data).to_bytes(8, "little") + data + _press(np.concatenate([weight[at[hit]], divisor[at[hit]]])) if len(hit) else b""))
-        if not rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(*_REPLY)})
-        return pa.Table.from_batches([_rows(rows, *_REPLY)])
-
-    return run
-
-
-def _opened(r: dict, order: int) -> tuple[pa.Array, np.ndarray, Pack]:
-    ids = pa.ipc.open_stream(r["ids"]).read_all().column(0).combine_chunks()
-    held = _unpress(r["flags"], np.uint8).astype(bool)
-    data = pa.decompress(r["a"], decompressed_size=r["sizes"], codec="zstd", asbytes=True) if r["sizes"] else b""
-    lengths = _unpress(r["b"], np.int64)
+    rows.append((None, level, bucket, TOTALS, stats.tobytes(), None))
+    give_back()
+    return _message(rows)
+
+
+def _weighed(table: pa.Table) -> pa.Table:
+    """One bucket of contexts: from what packs report the weights, for packs that ask."""
+    what = np.asarray(table.column("what"))
+    level, bucket = _cell(table, "level", 0), _cell(table, "bucket", 0)
+    told = np.flatnonzero(what == REPORT).tolist()
+    keys = [_unpress_sorted(_cell(table, "a", i)) for i in told]
+    sums = [_unpress(_cell(table, "b", i), np.float64).reshape(3, -1) for i in told]
+    u, first, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_index=True, return_inverse=True)
+    kept, lower, divisor = np.concatenate([np.zeros((3, 0)), *sums], axis=1)
+    del keys, sums
+    kept = np.bincount(inverse, weights=kept, minlength=len(u))
+    lower = np.bincount(inverse, weights=lower, minlength=len(u))
+    divisor = divisor[first]
+    # a context all of whose mass is taken gets one more count, so that something is left
+    extra = divisor - kept < 1e-9
+    divisor = divisor + extra
+    weight = np.log10(np.maximum(1 - kept / divisor, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12))
+    rows = []
+    for i in np.flatnonzero(what == ASK).tolist():
+        k = _unpress_sorted(_cell(table, "a", i))
+        at = np.searchsorted(u, k)
+        hit = np.flatnonzero(u[np.minimum(at, len(u) - 1)] == k) if len(u) else np.zeros(0, np.int64)
+        if len(hit):
+            rows.append((_cell(table, "pack", i), level, bucket, WEIGHTS, _press(weight[at[hit]]), _press((hit.astype(np.int32) << 1) | extra[at[hit]])))
+    give_back()
+    return _message(rows)
+
+
+def _cell(table: pa.Table, name: str, i: int):
+    return table.column(name)[i].as_py()
+
+
+def _place(table: pa.Table) -> int:
+    return int(np.flatnonzero(np.asarray(table.column("what")) == TEXTS)[0])
+
+
+def _opened(table: pa.Table, order: int) -> tuple[pa.Array, np.ndarray, Pack]:
+    """The pack that stands among the table's rows, cut into n-grams."""
+    i = _place(table)
+    ids = pa.ipc.open_stream(_cell(table, "ids", i)).read_all().column(0).combine_chunks()
+    held = _unpress(_cell(table, "flags", i), np.uint8).astype(bool)
+    size = _cell(table, "sizes", i)
+    data = pa.decompress(table.column("a")[i].as_buffer(), decompressed_size=size, codec="zstd") if size else pa.py_buffer(b"")
+    lengths = _unpress(_cell(table, "b", i), np.int64)
     off = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64())
-    texts = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, off.buffers()[1], pa.py_buffer(data)])
+    texts = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, off.buffers()[1], data])
     return ids, held, Pack(texts, order)
 
 
-def _answered(p: Pack, replies: list[dict], levels: int, buckets: int):
-    """Counts, reported flags and weights of the pack's n-grams by level, from all replies."""
+def _answered(p: Pack, table: pa.Table, levels: int, buckets: int, flags: bool):
+    """Counts, reported flags (of level `levels`, if asked for) and weights of the pack's n-grams
+    by level, from the replies."""
     counts = [np.zeros(len(p.keys[k]), np.int64) for k in range(levels)]
-    mine = [np.zeros(len(p.keys[k]), bool) for k in range(levels)]
-    weights = [np.stack([np.zeros(len(p.keys[k])), np.ones(len(p.keys[k]))]) for k in range(levels)]
+    mine = np.zeros(len(p.keys[levels - 1]), bool) if flags else None
+    weights = [np.stack([np.zeros(len(p.keys[k])), np.ones(len(p.keys[k]))]) for k in range(levels - 1)]
     edges = [_bucket_edges(p.keys[k], buckets) for k in range(levels)]
-    for r in replies:
-        k, b, what, data = r["level"], r["bucket"], r["what"], r["data"]
-        if what == 3:  # weights of level k belong to contexts, n-grams of level k - 1
-            if data:
-                n = int.from_bytes(data[:8], "little")
-                at = _unpress(data[8 : 8 + n], np.int32) + edges[k - 2][b]
-                weights[k - 2][:, at] = _unpress(data[8 + n :], np.float64).reshape(2, -1)
+    level, bucket, what = (table.column(c).to_pylist() for c in ("level", "bucket", "what"))
+    # counts before weights: a weight's place is among the contexts with a count
+    for i in np.argsort(np.array(what), kind="stable").tolist():
+        k, b = level[i], bucket[i]
+        if what[i] == TEXTS or k > levels:
             continue
-        if k > levels:
+        data = _cell(table, "a", i)
+        if what[i] == WEIGHTS:  # weights of level k belong to contexts, n-grams of level k - 1
+            # places among the asked contexts, those with a count, and whether it is one more
+            asked = np.flatnonzero(counts[k - 2][edges[k - 2][b] : edges[k - 2][b + 1]] > 0)
+            place = _unpress(_cell(table, "b", i), np.int32)
+            at = asked[place >> 1] + edges[k - 2][b]
+            weights[k - 2][0, at] = _unpress(data, np.float64)
+            weights[k - 2][1, at] = counts[k - 2][at] + (place & 1)
             continue
         part = slice(edges[k - 1][b], edges[k - 1][b + 1])
-        if what == 0:
+        if what[i] == COUNTS:
             counts[k - 1][part] = _unpress(data, np.int64)
-        elif what == 1:
+        elif flags and k == levels:
             n = part.stop - part.start
-            mine[k - 1][part] = np.unpackbits(np.frombuffer(pa.decompress(data, decompressed_size=(n + 7) // 8, codec="zstd", asbytes=True), np.uint8), count=n).astype(bool)
+            mine[part] = np.unpackbits(np.frombuffer(pa.decompress(data, decompressed_size=(n + 7) // 8, codec="zstd", asbytes=True), np.uint8), count=n).astype(bool)
     return counts, mine, weights
 
 
-def _reporting(order: int, level: int, buckets: int, model: Model):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                _, _, p = _opened(r, level)
-                counts, mine, weights = _answered(p, r["replies"] or [], level, buckets)
-                use = mine[level - 1] & (counts[level - 1] >= model.min_count)
-                use[p.begin[level - 1]] = False
-                lower = 10.0 ** _probabilities(p, model, counts, weights, level - 1)
-                # a token that shows each n-gram
-                token = np.zeros(len(use), dtype=np.int64)
-                token[p.gram[level - 1]] = np.arange(len(p.tokens))
-                at = token[use]
-                context = p.context[level - 2][at]
-                if not len(at):
-                    continue
-                u, inverse = np.unique(context, return_inverse=True)
-                s1 = np.bincount(inverse, weights=_discounted(counts[level - 1][use], model.d[level]))
-                s2 = np.bincount(inverse, weights=lower[at])
-                c = counts[level - 2][u].astype(np.float64)
-                keys = p.keys[level - 2][u]
-                edges = _bucket_edges(keys, buckets)
-                rows = [(2, r["pack"], level, b, None, None, None, _press_sorted(keys[edges[b] : edges[b + 1]]), _press(np.concatenate([x[edges[b] : edges[b + 1]] for x in (s1, s2, c)]))) for b in range(buckets) if edges[b + 1] > edges[b]]
-                yield _rows(rows, *_REQUEST)
+def _reporting(level: int, buckets: int, model: Model):
+    """A pack with its replies: what it reports of the n-grams of `level` to their contexts'
+    buckets, and which contexts it asks for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, _, p = _opened(table, level)
+        counts, mine, weights = _answered(p, table, level, buckets, True)
+        pack = _cell(table, "pack", 0)
+        del table
+        rows = []
+        use = mine & (counts[level - 1] >= model.min_count)
+        use[p.begin[level - 1]] = False
+        if use.any():
+            lower = 10.0 ** _probabilities(p, model, counts, weights, level - 1)
+            # a token that shows each n-gram
+            token = np.zeros(len(use), dtype=np.int64)
+            token[p.gram[level - 1]] = np.arange(len(p.tokens))
+            at = token[use]
+            u, inverse = np.unique(p.context[level - 2][at], return_inverse=True)
+            sums = np.stack([np.bincount(inverse, weights=_discounted(counts[level - 1][use], model.d[level])), np.bincount(inverse, weights=lower[at]), counts[level - 2][u]])
+            keys = p.keys[level - 2][u]
+            edges = _bucket_edges(keys, buckets)
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[b], edges[b + 1])
+                rows.append((pack, level, b, REPORT, _press_sorted(keys[part]), _press(sums[:, part].reshape(-1))))
+        # a context that training never saw has no weight
+        keys = p.keys[level - 2][counts[level - 2] > 0]
+        edges = _bucket_edges(keys, buckets)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            rows.append((pack, level, b, ASK, _press_sorted(keys[edges[b] : edges[b + 1]]), None))
+        give_back()
+        return _message(rows)
 
     return run
 
 
-def _scoring(order: int, buckets: int, model: Model):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                ids, held, p = _opened(r, order)
-                counts, _, weights = _answered(p, r["replies"] or [], order, buckets)
-                # contexts nobody reported keep weight 1
-                lp = _probabilities(p, model, counts, weights, order)
-                c = counts[0][p.gram[0]]
-                base = np.log10((c + 1.0) / (model.tokens + 1.0 * (model.distinct + 1)))
-                start = p.off[:-1]
-                yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(held), pa.array(np.diff(p.off)), pa.array(np.add.reduceat((c > 0).astype(np.int64), start)),
-                    pa.array(np.full(len(start), model.tokens, np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(lp, start)),
-                ], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def _scoring(order: int, buckets: int, model: Model, names: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        ids, held, p = _opened(table, order)
+        counts, _, weights = _answered(p, table, order, buckets, False)
+        del table
+        # contexts nobody reported keep weight 1
+        lp = _probabilities(p, model, counts, weights, order)
+        c = counts[0][p.gram[0]]
+        base = np.log10((c + 1.0) / (model.tokens + 1.0 * (model.distinct + 1)))
+        start = p.off[:-1]
+        out = pa.Table.from_arrays([
+            ids, pa.array(held), pa.array(np.diff(p.off)), pa.array(np.add.reduceat((c > 0).astype(np.int64), start)),
+            pa.array(np.full(len(start), model.tokens, np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(lp, start)),
+        ], names=names)
+        give_back()
+        return out
 
     return run
 
@@ -364,17 +388,19 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = int(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_TOKENS))
-    packs = cut(packed(rows)).select("pack", "ids", "flags", "sizes", "a", "b")
-    asked = packs.mapInArrow(_asking(list(range(1, order + 1)), buckets, True), _REQUEST_SCHEMA)
-    replies = cut(asked.select("level", "bucket", "pack", "a", "b").groupBy("level", "bucket").applyInArrow(_counted, _REPLY_SCHEMA))
-    release(spark)
+    packs = cut(packed(rows))
+    stats: dict[int, np.ndarray] = {}
+    replies: list[DataFrame] = []
+    for k in range(1, order + 1):
+        asked = packs.mapInArrow(_asking(k, buckets), _ddl(_MESSAGE))
+        replies.append(cut(asked.groupBy("level", "bucket").applyInArrow(_counted, _ddl(_MESSAGE))))
+        release(spark)
+        # one small row for each bucket, summed into one for the level
+        for r in replies[-1].where(F.col("what") == TOTALS).select("level", "a").groupBy("level").applyInArrow(_summed, "level int, a binary").collect():
+            stats[r["level"]] = np.frombuffer(r["a"], np.int64)
     model = Model(min_count)
-    stats = {}
-    # one small row for each bucket
-    for r in replies.where("what = 2").select("level", "data").groupBy("level").applyInArrow(_summed, "level int, data binary").collect():
-        stats[r["level"]] = np.frombuffer(r["data"], np.int64)
-    for k, x in stats.items():
-        model.d[k] = discounts({i: int(x[1 + i]) for i in range(1, LARGE + 2)})
+    for k in range(1, order + 1):
+        model.d[k] = discounts({i: int(stats[k][1 + i]) for i in range(1, LARGE + 2)} if k in stats else {})
     if 1 in stats and stats[1][0] > 0:
         x = stats[1]
         model.tokens, model.distinct = int(x[0]), int(x[1])
@@ -382,26 +408,27 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
         # where nothing was discounted the unknown class counts as one token more
         model.divisor = model.tokens if left > 0 else model.tokens + 1
         model.unknown = (left or 1) / model.divisor
-    replies = replies.where("what < 2")
     for k in range(2, order + 1):
-        model.d.setdefault(k, discounts({}))
-        told = packs.join(_by_pack(replies.where(F.col("level") <= k)), "pack", "left").mapInArrow(_reporting(order, k, buckets, model), _REQUEST_SCHEMA)
-        told = cut(told)
-        release(spark)
-        both = told.unionByName(packs.mapInArrow(_asking([k - 1], buckets, False), _REQUEST_SCHEMA)).select("kind", "pack", "bucket", "a", "b")
-        weights = cut(both.groupBy("bucket").applyInArrow(_weighed(k), _REPLY_SCHEMA))
-        replies = replies.unionByName(weights)
+        told = _with_replies(packs, replies, F.when(F.col("what") == MINE, F.col("level") == k).otherwise((F.col("what") != TOTALS) & (F.col("level") <= k)))
+        told = told.groupBy("pack").applyInArrow(_reporting(k, buckets, model), _ddl(_MESSAGE))
+        replies.append(cut(told.groupBy("bucket").applyInArrow(_weighed, _ddl(_MESSAGE))))
+        del told
         release(spark)
-    key_type = rows.schema["id"].dataType.simpleString()
-    final = packs.join(_by_pack(replies.where("what <> 1")), "pack", "left")
-    out = final.mapInArrow(_scoring(order, buckets, model), f"id {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    final = _with_replies(packs, replies, ~F.col("what").isin(MINE, TOTALS))
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [rows.schema["id"].dataType.simpleString(), "boolean", "long", "long", "long", "double", "double"]
+    out = final.groupBy("pack").applyInArrow(_scoring(order, buckets, model, names), ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
     return out.withColumnRenamed("id", key)
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("data").to_pylist())
-    return pa.table({"level": pa.array([table.column("level")[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+def _with_replies(packs: DataFrame, replies: list[DataFrame], wanted: Column) -> DataFrame:
+    """The packs' rows and those of their replies that are wanted, to be grouped by pack."""
+    out = packs
+    for r in replies:
+        out = out.unionByName(r.where(wanted), allowMissingColumns=True)
+    return out
 
 
-def _by_pack(replies: DataFrame) -> DataFrame:
-    return replies.groupBy("pack").agg(F.collect_list(F.struct("level", "bucket", "what", "data")).alias("replies"))
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("a").to_pylist())
+    return pa.table({"level": pa.array([table.column("level")[0].as_py()], pa.int32()), "a": pa.array([total.tobytes()], pa.binary())})
