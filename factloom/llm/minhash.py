@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm._graph import components
 from factloom.llm.ego_join import _least_reached
-from factloom.llm._text import mix, pieces, shingles, small_batches, word_hashes
-from factloom.session import cut, release, ship
+from factloom.llm._text import give_back, mix, pieces, shingles, small_batches, word_hashes
+from factloom.session import cut, discard, release, ship
 
 COORDINATES = 512
 #: So many ids are broadcast at most; beyond, their join is shuffled.
@@ -124,6 +124,7 @@ def sketched(docs: DataFrame, key: str, text: str, width: int, rows: int, t: int
                 ends = np.concatenate([[0], np.cumsum(np.where(mine >= 0, b, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(mine < 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(c1), pa.array(c2), bands], names=["id", "n_shingles", "c1", "c2", "bands"])
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, bands array<long>")
 
@@ -136,6 +137,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             for part in pieces(batch, "text", 2 << 20):
                 h, off = shingles(*word_hashes(part.column(1)), width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "s"])
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, "id long, s array<long>")
 
@@ -157,6 +159,9 @@ def block_links(rest: DataFrame, percent: int) -> DataFrame:
     step = (100 / percent) ** 0.5075 if percent < 100 else 1.01
     rest = rest.withColumn("z", F.floor(F.log(F.size("s").cast("double")) / F.log(F.lit(step))).cast("int"))
     n = rest.groupBy("g", "z").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    n = cut(n)
+    if n.count() <= SMALL:  # a large group's rows stay where they are
+        n = F.broadcast(n)
     rest = rest.join(n, ["g", "z"]).withColumn("h", F.pmod(F.xxhash64("v"), F.col("n")).cast("int"))
 
     def packed(t: pa.Table) -> pa.Table:
@@ -167,13 +172,13 @@ def block_links(rest: DataFrame, percent: int) -> DataFrame:
         one = lambda c: [t.column(c)[0].as_py()]
         return pa.table({"g": pa.array(one("g"), pa.int64()), "z": pa.array(one("z"), pa.int32()), "h": pa.array(one("h"), pa.int32()), "vs": pa.array([get("v")]), "cs": pa.array([get("c")]), "n": pa.array([np.diff(off).tobytes()]), "s": pa.array([el.tobytes()])})
 
-    blocks = cut(rest.select("g", "z", "h", "v", "c", "s").groupBy("g", "z", "h").applyInArrow(packed, "g long, z int, h int, vs binary, cs binary, n binary, s binary"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cut(rest.select("g", "z", "h", "v", "c", "s").repartition(parts, "g", "z", "h").groupBy("g", "z", "h").applyInArrow(packed, "g long, z int, h int, vs binary, cs binary, n binary, s binary"))
     box = blocks.select("g", "z", "h")
     near = F.col("g") == F.col("g2")
     near = near & ((F.col("z") < F.col("z2")) | ((F.col("z") == F.col("z2")) & (F.col("h") <= F.col("h2")))) & (F.col("z2") - F.col("z") <= 2)
     pairs = box.join(box.select(*[F.col(c).alias(f"{c}2") for c in box.columns]), near)
     other = blocks.select(*[F.col(c).alias(f"{c}2") for c in blocks.columns])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = pairs.join(blocks, ["g", "z", "h"]).join(other, ["g2", "z2", "h2"]).repartition(parts, "g", "z", "h", "z2", "h2")
 
     def compare(batches):
@@ -218,6 +223,8 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     shared = b.groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "m")
     b = cut(b.join(shared, "k"))  # members of buckets of two and more
     classes = cut(own.groupBy("c1", "c2").agg(F.min("id").alias("v")))
+    narrow = cut(a.select("id", "n_shingles", "c1", "c2"))
+    discard(a)
     release(spark)
     members = cut(b.select("v").distinct())
     vertices = members.count()
@@ -226,19 +233,33 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     sets = cut(full_sets(texts.join(some, texts["id"] == members["v"], "left_semi"), width))
     release(spark)
     stars = cut(b.where("v <> m").groupBy(F.col("m").alias("a"), F.col("v").alias("b")).agg(F.count(F.lit(1)).alias("c")))
+    discard(b)
     likely = stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
     links = cut(verified(likely, sets, percent))
     release(spark)
     comp = cut(components(links))
-    # what shares buckets with what, and the groups of it that are still in several components
-    x = components(stars).withColumnRenamed("component", "g").join(comp, "v", "left").select("g", "v", F.coalesce("component", "v").alias("c"))
-    x = cut(x)
-    several = x.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    rest = x.join(several, "g", "left_semi").join(sets.withColumnRenamed("id", "v"), "v")
-    found = cut(block_links(rest, percent))
-    if found.limit(1).count():
-        comp = cut(components(links.unionByName(found)))
-    out = a.select("id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left").join(comp, "v", "left")
+    discard(links)
+    # components that share buckets but no verified link yet, and the groups of them
+    ends = stars.select("a", "b")
+    for end in ("a", "b"):
+        c = comp.select(F.col("v").alias("_v"), "component")
+        ends = ends.join(c, ends[end] == c["_v"], "left").select(*[x for x in ends.columns if x != end], F.coalesce("component", end).alias(end))
+    groups = components(ends)
+    if groups.limit(1).count():
+        g = cut(groups.select(F.col("v").alias("c"), F.col("component").alias("g")))
+        x = members.join(comp, "v", "left").select("v", F.coalesce("component", "v").alias("c"))
+        found = cut(block_links(x.join(g, "c").join(sets.withColumnRenamed("id", "v"), "v").select("g", "v", "c", "s"), percent))
+        # what they link are components as a whole
+        for end in ("a", "b"):
+            c = x.select(F.col("v").alias("_v"), "c")
+            found = found.join(c, found[end] == c["_v"]).select(*[y for y in found.columns if y != end], F.col("c").alias(end))
+        more = cut(components(found).select(F.col("v").alias("component"), F.col("component").alias("top")))
+        comp = cut(x.join(more, x["c"] == more["component"], "left").select("v", F.coalesce("top", "c").alias("component")))
+    discard(sets)
+    discard(stars)
+    discard(members)
+    release(spark)
+    out = narrow.join(classes, ["c1", "c2"], "left").join(comp, "v", "left")
     out = out.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "v", "id")).otherwise(F.col("id")).alias("component_id"))
     # a null id has a class only through others' ids: it stays by itself
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
@@ -247,5 +268,5 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the documents whose group has one of a smaller id."""
-    gone = grouped(docs, key, text, width, percent).where("not kept").select(F.col(key).alias("_gone"))
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = grouped(docs, key, text, width, percent).where("not kept").select(F.col(key).alias("gone"))
+    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
