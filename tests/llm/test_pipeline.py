@@ -49,3 +49,33 @@ def test_stages(spark, corpus):
     assert len(t) == m.count() and all(r["exact"] and r["n_tokens"] == len(r["token_ids"]) for r in t)
     whole = C.run(spark, d).collect()
     assert sorted(r["doc_id"] for r in whole) == sorted(r["doc_id"] for r in t)
+
+
+def test_odd_rows(spark, corpus, tmp_path):
+    """Nulls in every column, repeated rows, no rows, very long texts and names of the operators' own."""
+    d, data, _ = corpus
+    base = spark.read.parquet(f"{d}/documents.parquet")
+    rows = [tuple(r) for r in base.collect()]
+    rows += [(3, rows[3][1], None, None, None), (None, rows[4][1], "en", None, 5), (None, None, None, None, None), (60, "the ofly " * 40_000, None, "src0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("lang_pred", "score", "spans", "id", "_id", "_kept", "k", "_row", "gone", "token_ids", "exact", "_n"):
+        docs = docs.withColumn(c, docs["n_chars"].cast("string"))
+    for k, stage in enumerate(f for _, f in C.STAGES):
+        nothing = stage(spark, docs.limit(0), d)
+        assert nothing.count() == 0
+        out = stage(spark, docs, d)
+        out.write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert got and all(r["n_chars"] is None or k >= 2 or r["score"] == str(r["n_chars"]) for r in got)
+            docs = out
+        else:
+            assert out.where("exact").count() == docs.count() == out.count()
+        if k == 0:
+            filled = {r["doc_id"]: r["lang"] for r in got}
+            assert filled[60] == "en" and None not in filled.values()
+            assert sum(r["doc_id"] == 3 for r in got) == 2 and all(r["text"] for r in got)
+        if k == 1:
+            assert sum(r["doc_id"] == 3 for r in got) == 2 and sum(r["doc_id"] is None for r in got) == 1
