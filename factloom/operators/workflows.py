@@ -17,7 +17,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import preview
+from factloom.functions.text import MESSAGE_ID, preview
 from factloom.operators import graph
 from factloom.operators.search import Cascade, Result
 
@@ -152,8 +152,8 @@ def customer_email(box: Toolbox, people: DataFrame, from_address: str, subject:
     return {"sender": sender, "neighbors": near, "hits": hits, "brief": "\n".join(lines)}
 
 
-#: Fixed value: id-like tokens of a thread, those of `light_entities` and the reference's further kinds.
-THREAD_TOKEN = re.compile(r"(?i)\b(?:emp|cust|customer|clnt|vend|org|ticket|conv|order|sale|prod|product)[-_:]\w+\b")
+#: Inline ids of a thread, as `light_entities` finds them.
+THREAD_TOKEN = re.compile(MESSAGE_ID)
 
 
 def thread_summary(box: Toolbox, participants: list[str], messages: list[str], client: Client | None = None, calls: int = 6) -> dict:

@@ -55,7 +55,11 @@ def _transforms(which):
         if which == "email":
             return c.select("c_custkey", X.transformed(F.concat(F.lit(" "), "c_name", F.lit("@EXAMPLE.com ")), ["normalize_email"]).alias("value"))
         e = table(s, d, "events")
-        return e.select("event_id", X.iso_datetime(F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.lit(" IST"))).alias("value"))
+        # in turn: junk after the time, no offset, an offset, a day, no date
+        tail = F.element_at(F.array(*map(F.lit, [" IST", "", "+05:30", None, "x"])), (F.col("event_id") % 5 + 1).cast("int"))
+        raw = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+        raw = F.when(F.col("event_id") % 5 == 4, F.concat(F.lit("on "), raw)).when(F.col("event_id") % 5 == 3, F.substring(raw, 1, 10)).otherwise(F.concat(raw, tail))
+        return e.select("event_id", X.iso_datetime(raw).alias("value"))
 
     return run
 
@@ -163,7 +167,7 @@ def _diff(s, d):
 QUERIES = {
     "transform_lower_strip": (_transforms("lower_strip"), "SELECT c_custkey, lower(c_name) || ' x' AS value FROM customer"),
     "transform_email": (_transforms("email"), "SELECT c_custkey, lower(c_name) || '@example.com' AS value FROM customer"),
-    "transform_iso": (_transforms("iso"), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS value FROM events"),
+    "transform_iso": (_transforms("iso"), "SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+05:30') WHEN 3 THEN strftime(ts, '%Y-%m-%dT00:00:00') END AS value FROM events"),
     "content_hash": (lambda s, d: table(s, d, "customer").select("c_custkey", X.content_hash(F.concat(F.lit('{"seg": "'), "c_mktsegment", F.lit('", "id": "'), "c_name", F.lit('"}'))).alias("hash")), """SELECT c_custkey, sha256('{"id":"' || c_name || '","seg":"' || c_mktsegment || '"}') AS hash FROM customer"""),
     "coalesce_path": (lambda s, d: (lambda v: v.select("k", jsonpath.as_string(jsonpath.coalesced(F.col("v"), ["$.work.email", "$.email"])[0]).alias("value"), jsonpath.coalesced(F.col("v"), ["$.work.email", "$.email"])[1].alias("path")))(_variant(s, d)), "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_name || '@Example.ORG ' WHEN c_custkey % 3 <> 0 THEN c_name || '@home.net' END AS value, CASE WHEN c_custkey % 2 = 0 THEN '$.work.email' WHEN c_custkey % 3 <> 0 THEN '$.email' END AS path FROM customer"),
     "predicate_and_or": (lambda s, d: _variant(s, d).where(S.predicate(_PREDICATE, F.col("v"))).select("k"), "SELECT c_custkey AS k FROM customer WHERE (c_custkey // 4 = 3 AND c_custkey % 2 = 0 AND c_custkey > 0) OR c_custkey IN (1, 2)"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import graph, store, subgraph, vfs
-from factloom.plans.sql import BOTH, GRAPH, TYPES, slug
+from factloom.plans.sql import GRAPH, TYPES, slug
 from factloom.session import cut, table
 from factloom.sources import bench_graph as g
 
@@ -109,6 +109,14 @@ def _find(s, d):
     return vfs.find(n, "Asset", {"brand": '"Brand#1"'}, limit=100).select("id", F.col("updated_at").cast("string").alias("updated_at"))
 
 
+_MEMBERS = " UNION ALL ".join([
+    "SELECT 'person:' || c_custkey, 'org:nation:' || c_nationkey FROM customer",
+    "SELECT 'org:nation:' || n_nationkey, 'org:region:' || n_regionkey FROM nation",
+    "SELECT 'org:supplier:' || s_suppkey, 'org:nation:' || s_nationkey FROM supplier",
+    f"SELECT 'person:' || c_custkey, 'org:segment:' || {slug('c_mktsegment')} FROM customer",
+])
+
+
 QUERIES = {
     "pattern_member_of": (_pattern("(Person)-[MEMBER_OF]->(Organization)"), _pattern_sql("Person", "MEMBER_OF", "Organization")),
     "pattern_purchased": (_pattern("(Person)-[PURCHASED]->(Asset)"), _pattern_sql("Person", "PURCHASED", "Asset")),
@@ -123,7 +131,10 @@ QUERIES = {
     "vfs_stat_dir": (lambda s, d: vfs.stat(g.nodes(s, d), "/Event/"), f"{GRAPH} SELECT 'Event' AS type, count(*) AS n FROM nodes WHERE type = 'Event'"),
     "vfs_cat_relations": (
         lambda s, d: graph.grouped_neighbors(g.nodes(s, d), g.edges(s, d), g.nodes(s, d).where("type = 'Organization'").select("id")),
-        f"{GRAPH}, {BOTH}, r AS (SELECT at_id, rel, direction, other, row_number() OVER (PARTITION BY at_id, rel ORDER BY other, direction) AS k FROM (SELECT DISTINCT b.* FROM both_ways b JOIN nodes n ON b.at_id = n.id AND n.type = 'Organization')) SELECT at_id AS id, rel AS relation_type, direction, other, n.type FROM r JOIN nodes n ON r.other = n.id WHERE k <= 25",
+        # organisations have edges of one relation only, and these lead to persons and organisations
+        f"""WITH e(src, dst) AS ({_MEMBERS}), b AS (SELECT dst AS at_id, src AS other, 'in' AS direction FROM e UNION SELECT src, dst, 'out' FROM e WHERE src LIKE 'org:%'),
+r AS (SELECT *, row_number() OVER (PARTITION BY at_id ORDER BY other, direction) AS k FROM b)
+SELECT at_id AS id, 'MEMBER_OF' AS relation_type, direction, other, CASE WHEN other LIKE 'person:%' THEN 'Person' ELSE 'Organization' END AS type FROM r WHERE k <= 25""",
     ),
     "vfs_find_where": (_find, "SELECT id, CAST(u AS VARCHAR) AS updated_at FROM (SELECT 'asset:' || p_partkey AS id, p_brand, TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 30 AS INTEGER)) AS u FROM part ORDER BY u DESC, id LIMIT 400) WHERE p_brand = 'Brand#1' ORDER BY u DESC, id LIMIT 100"),
     "vfs_find_recent": (

@@ -82,6 +82,7 @@ def test_text_functions(spark):
     r = d.select(X.stripped(F.col("t")), X.casefolded(F.col("t")), X.casefolded(F.lit("STRASSE")), X.normalized_email(F.lit(" É@X.ORG"))).first()
     assert tuple(r) == ("Straße", "strasse", "strasse", "é@x.org")
     assert X.iso_text("2024-01-02 03:04:05 IST") == "2024-01-02T03:04:05+00:00" and X.iso_text("2024-01-02T03:04:05Z").endswith("+00:00") and X.iso_text("soon") is None
+    assert X.iso_text("2024-01-02 03:04:05") == "2024-01-02T03:04:05" and X.iso_text(" 2024-01-02") == "2024-01-02T00:00:00" and X.iso_text("2024-01-02T03:04:05+05:30").endswith("+05:30")
     assert X.canonical('{"b": 1.0, "a": "é"}') == '{"a":"é","b":1.0}'
     with pytest.raises(Exception, match="direction"):
         spark.range(1).select(X.unit(F.array(F.lit(0.0), F.lit(0.0)))).collect()

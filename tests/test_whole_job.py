@@ -14,15 +14,15 @@ from factloom.plans import spec as S
 
 def test_texts_are_read_to_the_end(spark, tmp_path):
     filler = "some words of a turn that go on for well over forty characters "
-    data = [(0, 0, "user", filler + "emp_901 [node:doc:77] ticket-z9"), (0, 1, "user", filler * 3 + "CUST-55 Ab"), (1, 0, "assistant", "short emp_3")]
+    data = [(0, 0, "user", filler + "emp_901 [node:doc:77] ticket-z9 customer_1 cust_2 CUST_2"), (0, 1, "user", filler * 3 + "CUST-55 Ab"), (1, 0, "assistant", "short emp_3")]
     spark.createDataFrame(data, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     run = lambda name: queries_search.QUERIES[name][0](spark, str(tmp_path)).collect()
     found = lambda name: {(r["conv_id"], r["turn"]): r["found"].split(",") for r in run(name)}
-    made = lambda c, t: [f"emp_{t}", f"CUST-{c}", f"order-x{t}"]
+    made = lambda c, t: [f"emp_{t}", f"CUST-{c}", f"order-x{t}", f"sale_{t}"]
     ids, cited, light = found("id_tokens"), found("cited_nodes"), found("light_ner")
-    assert ids[0, 0] == ["emp_901", "emp_0", "CUST-0", "ticket-z9", "order-x0"] and set(ids[0, 1]) == {"CUST-55", *made(0, 1)}
+    assert ids[0, 0] == ["emp_901", "emp_0", "CUST-0", "ticket-z9", "order-x0", "sale_0"] and set(ids[0, 1]) == {"CUST-55", *made(0, 1)}
     assert cited == {(0, 0): ["doc:77", "person:0"], (0, 1): ["person:0"], (1, 0): ["person:1"]}
-    assert light[0, 0] == ["emp_901", "ticket-z9", *made(0, 0)] and light[0, 1] == ["CUST-55", *made(0, 1)]
+    assert light[0, 0] == ["emp_901", "customer_1", "cust_2", "emp_0", "sale_0"] and light[0, 1] == ["emp_1", "sale_1"]
     tp, n = Counter(), Counter()
     for _, _, role, text in data:
         words = set(text.split(" "))
@@ -64,8 +64,8 @@ def test_thread_asks_for_every_participant_and_token():
 
     box = workflows.Toolbox(None, None, search.Cascade({"exact": search.stub, "hybrid": hybrid}))
     people = [f"person {i}" for i in range(8)]
-    got = workflows.thread_summary(box, [*people, " ", people[0].upper()], ["see ticket-a1 and ORDER-7, order-7", "conv-3 product-x9 emp_12 CUST-5 sale_4"])
-    want = [*people, "ticket-a1", "ORDER-7", "conv-3", "product-x9", "emp_12", "CUST-5", "sale_4"]
+    got = workflows.thread_summary(box, [*people, " ", people[0].upper()], ["see ticket_a1 and order_7, order_7", "prod_3 product_x9 emp_12 CUST-5 customer_5 sale_4"])
+    want = [*people, "ticket_a1", "order_7", "prod_3", "product_x9", "emp_12", "customer_5", "sale_4"]
     assert asked == want and {i for i, _ in got["hits"]} == {f"node-{q.lower()}" for q in want} | {"shared"}
     assert dict(got["hits"])["shared"] == pytest.approx(0.1 * len(want))
 
