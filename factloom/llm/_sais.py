@@ -183,32 +183,31 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each position the length of the prefix it shares with the suffix before it in the
     array. Only irreducible positions are compared; behind one, the length falls by one a step."""
     n = len(t)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
-    i = np.arange(n)
-    reducible = (i > 0) & (phi > 0)
-    reducible[reducible] = t[i[reducible] - 1] == t[phi[reducible] - 1]
-    at = np.flatnonzero(~reducible & (phi >= 0))
-    value = np.zeros(n, dtype=np.int64)
-    # four characters of 16 bits at a time; past the end stand characters that differ by place
-    if int(t.max(initial=0)) < 1 << 16:
-        four = np.zeros(n, dtype=np.uint64)
-        for c in range(4):
-            four[: max(n - c, 0)] |= t[c:].astype(np.uint64) << np.uint64(16 * c)
-        x, y, k, step = at, phi[at], 0, 4
-        while len(at):
-            ok = (x + k + 3 < n) & (y + k + 3 < n)
-            ok[ok] = four[x[ok] + k] == four[y[ok] + k]
-            value[at[~ok]] = k
-            at, x, y = at[ok], x[ok], y[ok]
-            k += step
-        at = np.flatnonzero(~reducible & (phi >= 0))
+    reducible = phi > 0
+    reducible[0] = False
+    reducible[1:] &= t[:-1] == t[phi[1:] - 1]
+    at = np.flatnonzero(~reducible & (phi >= 0)).astype(np.int32)
+    value = np.zeros(n, dtype=np.int32)
     x, y = at, phi[at]
+    # four characters of 16 bits at a time; the last character occurs once, so no step goes past it
+    lanes = 4 if int(t.max(initial=0)) < 1 << 16 else 1
+    block = np.zeros(n, dtype=np.uint64)
+    for c in range(lanes):
+        block[: max(n - c, 0)] |= t[c:].astype(np.uint64) << np.uint64(16 * c)
+    k = 0
     while len(at):
-        k = value[at]
-        ok = (x + k < n) & (y + k < n)
-        ok[ok] = t[x[ok] + k[ok]] == t[y[ok] + k[ok]]
-        at, x, y = at[ok], x[ok], y[ok]
-        value[at] += 1
-    from_ = np.maximum.accumulate(np.where(reducible, 0, i))
+        differ = block[x] ^ block[y]
+        stop = differ != 0
+        rest = differ[stop]
+        same = np.full(len(rest), k, dtype=np.int32)
+        for c in range(1, lanes):
+            same += (rest & np.uint64((1 << 16 * c) - 1)) == 0
+        value[at[stop]] = same
+        go = ~stop
+        at, x, y = at[go], x[go] + lanes, y[go] + lanes
+        k += lanes
+    i = np.arange(n, dtype=np.int32)
+    from_ = np.maximum.accumulate(np.where(reducible, np.int32(0), i))
     return np.maximum(value[from_] - (i - from_), 0)

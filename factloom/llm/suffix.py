@@ -15,7 +15,8 @@ mostly share their key; such a run of windows is one segment of text.
 3. Shards: the distinct segments of a shard are concatenated, their suffix array is induced
    (`_sais.suffix_array`), permuted common prefixes tell which neighbours share ``width`` bytes,
    and each group of equal windows has its least document. Windows with an earlier document are
-   sent back to the packs.
+   sent back to the packs, as intervals. Long stretches of one short period, which would be
+   induced one character at a time, are cut to what holds all their windows before that.
 4. Packs mark the windows of all their documents, and cut.
 
 Defined results: null texts are empty; texts shorter than ``width`` lose nothing; strings are
@@ -36,19 +37,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._sais import permuted_common_prefixes, suffix_array
-from factloom.llm._text import mix, pieces, small_batches, utf8
-from factloom.session import cut, release, ship
+from factloom.llm._text import give_back, mix, pieces, small_batches, utf8
+from factloom.session import cut, discard, release, ship
 
 WIDTH = 50
 GRAM = 24
 PACK_BYTES = 4 << 20
 SHARD_BYTES = 3 << 20
 BUCKET_BYTES = 24 << 20
+STRETCH = 1 << 15
+#: Segments of so many widths hold a short period.
+LONG = 8
 #: So many ids are broadcast at most; beyond, their join is shuffled.
 SMALL = 1_000_000
 _NONE = np.iinfo(np.int64).max
 
 
+def _zipped(data: bytes) -> bytes:
+    return pa.Codec("zstd", 5).compress(data, asbytes=True)
+
+
 def _pressed(a: np.ndarray) -> bytes:
     """An integer array as compressed planes of its bytes."""
     raw = np.ascontiguousarray(a)
@@ -72,14 +80,7 @@ def runs(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM
     none = np.zeros(0, np.int64)
     if n < width:
         return np.zeros(0, np.uint64), none, none
-    h = _gram_hashes(data, gram)
-    span = width - gram + 1
-    m, step = h, 1
-    while step * 2 <= span:
-        m = np.minimum(m[:-step], m[step:])
-        step *= 2
-    if step < span:
-        m = np.minimum(m[: len(m) - (span - step)], m[span - step :])
+    m = _window_keys(data, width, gram)
     # m[j] is the key of the window at j; those that cross an offset do not count
     start, end = off[:-1], off[1:]
     long = end - start >= width
@@ -98,16 +99,36 @@ def runs(data: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int = GRAM
     return m[a], a, b
 
 
+def _window_keys(data: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The least gram hash of each window, computed in stretches that fit a processor's cache."""
+    n = len(data) - width + 1
+    out = np.empty(n, dtype=np.uint64)
+    span = width - gram + 1
+    for a in range(0, n, STRETCH):
+        m, step = _gram_hashes(data[a : a + STRETCH + width - 1], gram), 1
+        while step * 2 <= span:
+            m = np.minimum(m[:-step], m[step:])
+            step *= 2
+        if step < span:
+            m = np.minimum(m[: len(m) - (span - step)], m[span - step :])
+        out[a : a + STRETCH] = m
+    return out
+
+
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     n = len(data) - gram + 1
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1))
-    w = np.ascontiguousarray(word).view(np.uint64).reshape(-1)
+    size = (len(data) + 8) // 8 * 8
+    padded = np.zeros(size + 8, np.uint8)
+    padded[: len(data)] = data
+    w = np.empty(size, np.uint64)
+    for k in range(8):
+        w[k::8] = padded[k : k + size].view(np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, gram, 8):
             at = min(k, gram - 8)
-            h = (h ^ w[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= w[at : at + n]
+            h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     return mix(h)
 
@@ -183,6 +204,7 @@ def repeated_runs(texts: DataFrame, buckets: int, width: int, gram: int) -> Data
                     held, size = [], 0
         if held:
             yield batch_of(list(emit(held)))
+        give_back()
 
     def find(table: pa.Table) -> pa.Table:
         """Of one bucket: the runs whose key more than one task has, and those known before."""
@@ -289,9 +311,9 @@ def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
             for s, j in _split(shard):
                 blob = b"".join(contents[x] for x in j.tolist())
                 sizes = np.array([len(contents[x]) for x in j.tolist()], np.int32)
-                rows.append((2, pack, s, None, len(blob), None, pa.compress(blob, codec="zstd", asbytes=True), _pressed(sizes), _pressed(np.array(least, np.int64)[j]), _pressed(j.astype(np.int32))))
+                rows.append((2, pack, s, None, len(blob), None, _zipped(blob), _pressed(sizes), _pressed(np.array(least, np.int64)[j]), _pressed(j.astype(np.int32))))
         index = _pressed(ids_) + b"" if len(ids) else b""
-        body = pa.compress(raw, codec="zstd", asbytes=True)
+        body = _zipped(raw)
         lengths = _pressed(np.diff(off))
         place = np.stack([at * 0 + a[at], b[at]], 1).astype(np.int64) if len(at) else np.zeros((0, 2), np.int64)
         more = _joined_bytes([_pressed(place[:, 0]), _pressed((place[:, 1] - place[:, 0]).astype(np.int32)), _pressed(seg), _pressed(np.array(least, np.int64))])
@@ -319,6 +341,7 @@ def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
                 yield out(done)
         if ids:
             yield close(ids, texts, flags)
+        give_back()
 
     return rows.select("id", "text", "size", "runs").mapInArrow(collect, "kind int, pack string, shard int, id long, n_bytes long, sha string, text binary, a binary, b binary, c binary")
 
@@ -356,21 +379,70 @@ def least_holders(segments: np.ndarray, sizes: np.ndarray, least: np.ndarray, wi
     return np.where(np.repeat(ends - width, sizes) >= np.arange(n), found[moved], _NONE)
 
 
-def _shard(width: int):
+def squeezed(segment: bytes, width: int, most: int) -> tuple[bytes, list[list[tuple[int, int, int]]]]:
+    """The segment with long stretches of a period of 1 to `most` bytes cut, keeping each of its
+    windows of `width` bytes; and per step the cuts (c, p, k): k periods of p bytes gone at c."""
+    d, steps = np.frombuffer(segment, np.uint8), []
+    for p in range(1, most + 1):
+        if len(d) < LONG * width:
+            break
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], d[p:] == d[:-p], [False]]).astype(np.int8)))
+        a, size = edge[::2], edge[1::2] - edge[::2] + p
+        k = (size - 2 * width - p) // p
+        cuts = [(a_ + width + p, p, k_) for a_, k_ in zip(a[k > 0].tolist(), k[k > 0].tolist())]
+        if not cuts:
+            continue
+        kept, at, gone, step = [], 0, 0, []
+        for c, p_, k_ in cuts:
+            kept.append(d[at:c])
+            at = c + k_ * p_
+            step.append((c - gone, p_, k_))
+            gone += k_ * p_
+        d = np.concatenate([*kept, d[at:]])
+        steps.append(step)
+    return d.tobytes(), steps
+
+
+def unsqueezed(flags: np.ndarray, steps: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """Flags of a squeezed segment's positions as flags of the segment's own."""
+    for step in reversed(steps):
+        parts, at = [], 0
+        for c, p, k in step:
+            parts += [flags[at:c], np.tile(flags[c - p : c], k)]
+            at = c
+        flags = np.concatenate([*parts, flags[at:]])
+    return flags
+
+
+def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of true flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def _shard(width: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         # segments of equal content are one, with the least document of all packs
         number: dict[bytes, int] = {}
         packs = []
-        for p, x, n, s, m, j in zip(*(table.column(c).to_pylist() for c in ("pack", "text", "n_bytes", "a", "b", "c"))):
+        for i in range(table.num_rows):
+            p, x, n, s, m, j = (table.column(c)[i].as_py() for c in ("pack", "text", "n_bytes", "a", "b", "c"))
             blob = pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True)
             ends = np.cumsum(_unpressed(s, np.int32)).tolist()
             own = np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip([0, *ends], ends)), np.int64, len(ends))
             packs.append((p, own, _unpressed(m, np.int64), _unpressed(j, np.int32)))
-        sizes = np.fromiter(map(len, number), np.int64, len(number))
         least = np.full(len(number), _NONE)
         for _, own, m, _ in packs:
             np.minimum.at(least, own, m)
-        holder = least_holders(np.frombuffer(b"".join(number), np.uint8), sizes, least, width)
+        contents, steps = [], {}
+        for i, c in enumerate(number):
+            if len(c) >= LONG * width:
+                c, steps[i] = squeezed(c, width, width - gram + 1)
+            contents.append(c)
+        del number
+        sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+        holder = least_holders(np.frombuffer(b"".join(contents), np.uint8), sizes, least, width)
+        del contents
         start = np.cumsum(sizes) - sizes
         out_pack, out_at = [], []
         for p, own, m, index in packs:
@@ -378,9 +450,26 @@ def _shard(width: int):
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             seg = np.repeat(np.arange(len(own)), size)
             hit = np.flatnonzero(holder[start[own][seg] + at] < m[seg])
-            if len(hit):
+            long_ = np.array([o in steps for o in own.tolist()], dtype=bool)
+            usual = hit[~long_[seg[hit]]]
+            which, first, count = [], [], []
+            if len(usual):
+                lead = np.flatnonzero(np.append(True, (np.diff(usual) != 1) | (np.diff(seg[usual]) != 0)))
+                which.append(seg[usual[lead]])
+                first.append(at[usual[lead]])
+                count.append(np.diff(np.append(lead, len(usual))))
+            for k in np.unique(seg[hit[long_[seg[hit]]]]).tolist():
+                o = own[k]
+                flags = unsqueezed(holder[start[o] : start[o] + sizes[o]] < m[k], steps[o])
+                a, n = _intervals(flags)
+                which.append(np.full(len(a), k))
+                first.append(a)
+                count.append(n)
+            if which:
+                which = np.concatenate(which)
                 out_pack.append(p)
-                out_at.append(_joined_bytes([_pressed(index[seg[hit]]), _pressed(at[hit].astype(np.int32))]))
+                out_at.append(_joined_bytes([_pressed(index[which]), _pressed(np.concatenate(first).astype(np.int32)), _pressed(np.concatenate(count).astype(np.int32))]))
+        give_back()
         return pa.table({"pack": pa.array(out_pack, pa.string()), "hits": pa.array(out_at, pa.binary())})
 
     return run
@@ -414,14 +503,17 @@ def _marked(width: int, keep_text: bool):
                 window = np.cumsum(window)[:-1] > 0 if len(raw) else np.zeros(0, bool)
                 hits = [_parts(h) for h in r["hits"] or []]
                 if hits:
-                    s = np.concatenate([_unpressed(h[0], np.int32) for h in hits])
-                    at = np.concatenate([_unpressed(h[1], np.int32) for h in hits])
+                    s, at, size = (np.concatenate([_unpressed(h[k], np.int32) for h in hits]) for k in range(3))
                     order = np.argsort(s, kind="stable")
-                    s, at = s[order], at[order]
+                    s, at, size = s[order], at[order], size[order]
                     lo, hi = np.searchsorted(s, seg), np.searchsorted(s, seg, "right")
                     n = hi - lo
                     which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    window[np.repeat(first, n) + at[which]] = True
+                    begin = np.repeat(first, n) + at[which]
+                    found = np.zeros(len(raw) + 1, dtype=np.int32)
+                    np.add.at(found, begin, 1)
+                    np.add.at(found, begin + size[which], -1)
+                    window |= np.cumsum(found)[:-1] > 0
                 cover = np.zeros(len(raw) + 1, dtype=np.int32)
                 w = np.flatnonzero(window)
                 cover[w] += 1
@@ -439,6 +531,7 @@ def _marked(width: int, keep_text: bool):
                         more = [zlib.crc32(own.tobytes()), own[~_whole(g, own)].tobytes().decode()]
                     rows.append((d, len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *more))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        give_back()
 
     return run
 
@@ -448,7 +541,7 @@ def _smaller(batches):
     for batch in batches:
         for part in pieces(batch, "text", 1 << 20):
             texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "text", "size"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_zipped(t) if t else b"" for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "text", "size"])
 
 
 def _copies(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -457,7 +550,11 @@ def _copies(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     own = texts.where(F.col("id").isNotNull() & (F.octet_length("text") >= width)).select("id", h(1).alias("h1"), h(2).alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("crc"))
     own = cut(own)
     several = own.groupBy("h1", "h2").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m <> x").select("h1", "h2", "m")
+    several = cut(several)
+    if several.count() <= SMALL:  # a very common text is then no task's alone
+        several = F.broadcast(several)
     copies = cut(own.join(several, ["h1", "h2"]).where("id <> m").select("id", "h1", "n_bytes", "crc"))
+    discard(own)
     ids = copies.select(F.col("id").alias("_i"), F.col("h1").alias("_h")).distinct()
     if copies.count() <= SMALL:
         ids = F.broadcast(ids)
@@ -484,8 +581,9 @@ def repeats_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     small = texts.mapInArrow(_smaller, "id long, text binary, size long")
     rows = small.join(f, small["id"] == f["_id"], "left")
     made = cut(packed(rows, shards, width, gram))
+    discard(flags)
     release(spark)
-    hits = made.where("kind = 2").select("shard", "pack", "text", "n_bytes", "a", "b", "c").groupBy("shard").applyInArrow(_shard(width), "pack string, hits binary")
+    hits = made.where("kind = 2").select("shard", "pack", "text", "n_bytes", "a", "b", "c").groupBy("shard").applyInArrow(_shard(width, gram), "pack string, hits binary")
     hits = cut(hits.groupBy("pack").agg(F.collect_list("hits").alias("hits")))
     packs = made.where("kind = 1").select("pack", "text", "n_bytes", "a", "b", "c").join(hits, "pack", "left")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", crc long, kept string" if keep_text else "")
@@ -499,7 +597,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """`docs` with its texts less the strings that an earlier document holds (in whole
     characters); rows of which nothing is left go."""
     lost = repeats_removed(docs, key, text, width, gram, keep_text=True).where("n_removed > 0")
-    lost = lost.select(F.col(key).alias("_id"), F.col("n_bytes").alias("_n"), F.col("crc").alias("_crc"), "kept").groupBy("_id", "_crc", "_n").agg(F.first("kept").alias("_kept"))
-    own = (F.col(key).cast("long") == F.col("_id")) & (F.crc32(F.col(text).cast("binary")) == F.col("_crc")) & (F.octet_length(text) == F.col("_n"))
-    out = docs.join(lost, own, "left").where("_kept is null or _kept <> ''")
-    return out.select(*[F.coalesce("_kept", text).alias(c) if c == text else docs[c] for c in docs.columns])
+    lost = lost.groupBy(F.col(key).alias("id"), "crc", "n_bytes").agg(F.first("kept").alias("kept"))
+    # the rows travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    mine = F.col("row").getField(text)
+    own = (F.col("row").getField(key).cast("long") == F.col("id")) & (F.crc32(mine.cast("binary")) == F.col("crc")) & (F.octet_length(mine) == F.col("n_bytes"))
+    out = rows.join(lost, own, "left").where("kept is null or kept <> ''")
+    return out.select(*[(F.coalesce("kept", mine) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
