@@ -23,14 +23,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm._graph import components
 from factloom.session import cut, ship
 
-BLOCK = 1024
-LEAF = 128
+BLOCK = 4096
+LEAF = 256
 LEADING = 6
 SAMPLE = 20_000
 
@@ -48,20 +49,32 @@ def principal(vectors: DataFrame, leading: int, sample: int = SAMPLE) -> dict[in
     if not n:
         return {}
     million = 1_000_000
-    some = vectors.where(F.pmod(F.xxhash64(F.lit(5), "v"), F.lit(million)) < min(million, -(-million * sample // n))).select("e").toPandas()["e"]
+    some = vectors.where(F.pmod(F.xxhash64(F.lit(5), "v"), F.lit(million)) < min(million, -(-million * sample // n))).select("e").toArrow().column("e").to_pylist()
     out = {}
     by: dict[int, list] = {}
     for e in some:
         by.setdefault(len(e), []).append(e)
     for d, rows in by.items():
-        x = np.array(rows, dtype=np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.array(rows))
         x -= x.mean(0)
         _, directions = np.linalg.eigh(x.T @ x)
         out[d] = directions[:, ::-1][:, : min(leading, d)]
     return out
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The components of all vectors of a list column without nulls, and the vectors' n+1 offsets."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[off[0] : off[-1]], off - off[0]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision at length 1; scaled first, as squares of large ones overflow."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _cells(x: np.ndarray, directions: np.ndarray | None, eps: float, leading: int) -> np.ndarray:
     c = np.zeros((len(x), leading), dtype=np.int32)
     p = x @ directions if directions is not None else x[:, :leading]
@@ -122,13 +135,12 @@ def linked(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: st
 
     def place(batches):
         for batch in batches:
-            vectors = batch.column(batch.schema.get_field_index("e")).to_pylist()
-            c = np.zeros((len(vectors), LEADING), dtype=np.int32)
-            lengths = np.array([len(e) for e in vectors])
-            for d in np.unique(lengths):
+            values, off = _flat(batch.column(batch.schema.get_field_index("e")))
+            lengths = np.diff(off)
+            c = np.zeros((len(lengths), LEADING), dtype=np.int32)
+            for d in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == d)
-                x = np.array([vectors[i] for i in at], dtype=np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(values[off[at][:, None] + np.arange(d)])
                 c[at] = _cells(x, axes.value.get(int(d)), eps, LEADING)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths.astype(np.int32)), *[pa.array(c[:, k]) for k in range(LEADING)]], names=[*batch.schema.names, "d", *[f"c{k}" for k in range(LEADING)]])
 
@@ -140,25 +152,37 @@ def linked(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: st
     placed = placed.drop("part").repartitionByRange(count, *order).sortWithinPartitions(*order)
 
     def intervals(batches):
-        held: list = []
-
-        def out(rows):
-            x = np.array([r["e"] for r in rows], dtype=np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            c = np.array([[r[f"c{k}"] for k in range(LEADING)] for r in rows], dtype=np.int32)
-            return {"block": rows[0]["v"], "l": rows[0]["l"], "d": rows[0]["d"], "lo": c.min(0).tolist(), "hi": c.max(0).tolist(), "v": np.array([r["v"] for r in rows], np.int64).tobytes(), "n": np.array([r["n"] for r in rows], np.int64).tobytes(), "c": c.tobytes(), "x": x.tobytes()}
+        held: list[pa.Table] = []
+
+        def out(t: pa.Table) -> pa.RecordBatch:
+            values, off = _flat(t.column("e").combine_chunks())
+            c = np.stack([t.column(f"c{k}").to_numpy() for k in range(LEADING)], 1).astype(np.int32)
+            v, n = (np.ascontiguousarray(t.column(x).to_numpy().astype(np.int64)) for x in ("v", "n"))
+            row = {"block": int(v[0]), "l": t.column("l")[0].as_py(), "d": int(off[1]), "lo": c.min(0).tolist(), "hi": c.max(0).tolist(), "v": v.tobytes(), "n": n.tobytes(), "c": c.tobytes(), "x": values.tobytes()}
+            return pa.RecordBatch.from_pylist([row], schema=kind_of)
+
+        def closed(t: pa.Table, last: bool):
+            """Full intervals of the rows, and what is left over."""
+            while t.num_rows:
+                one = np.ones(t.num_rows, dtype=bool)
+                for x in ("l", "d"):
+                    one &= pc.equal(t.column(x), t.column(x)[0]).to_numpy(zero_copy_only=False)
+                size = min(block, int(np.argmin(one)) if not one.all() else t.num_rows)
+                if size == t.num_rows and size < block and not last:
+                    return t
+                yield out(t.slice(0, size))
+                t = t.slice(size)
+            return t
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (len(held) >= block or (held[-1]["l"], held[-1]["d"]) != (r["l"], r["d"])):
-                    yield pa.RecordBatch.from_pylist([out(held)], schema=kind_of)
-                    held = []
-                held.append(r)
+            t = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+            held = [(yield from closed(t, False))]
         if held:
-            yield pa.RecordBatch.from_pylist([out(held)], schema=kind_of)
+            yield from closed(held[0], True)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
+    component = to_arrow_type(classes.schema["e"].dataType.elementType).to_pandas_dtype()
     kind_of = pa.schema([("block", pa.int64()), ("l", to_arrow_type(classes.schema["l"].dataType)), ("d", pa.int32()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("v", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("x", pa.binary())])
     blocks = cut(placed.mapInArrow(intervals, f"block long, l {kind}, d int, lo array<int>, hi array<int>, v binary, n binary, c binary, x binary"))
 
@@ -182,7 +206,7 @@ def linked(rows: DataFrame, least: float = 0.98, key: str = "vec_id", vector: st
                 va, vb = np.frombuffer(r["av"], np.int64), np.frombuffer(r["bv"], np.int64)
                 na, nb = np.frombuffer(r["an"], np.int64), np.frombuffer(r["bn"], np.int64)
                 ca, cb = np.frombuffer(r["ac"], np.int32).reshape(-1, LEADING), np.frombuffer(r["bc"], np.int32).reshape(-1, LEADING)
-                xa, xb = np.frombuffer(r["ax"], np.float64).reshape(-1, d), np.frombuffer(r["bx"], np.float64).reshape(-1, d)
+                xa, xb = (_unit(np.frombuffer(r[x], component).reshape(-1, d)) for x in ("ax", "bx"))
                 same = r["a"] == r["b"]
                 i_, j_ = joined(xa, ca, xb, cb, least, same)
                 if not len(i_):
