@@ -139,8 +139,8 @@ def _report(s, d):
 
 
 def _unseen(s, d):
-    a = table(s, d, "part").select(_c("p_type").alias("query"))
-    return evals.unseen(a, table(s, d, "part").where("p_partkey % 97 = 0").select(_c("p_type").alias("query"))).select("query")
+    a = table(s, d, "part").select(_c("p_name").alias("query"))
+    return evals.unseen(a, table(s, d, "part").where("p_partkey % 97 = 0").select(_c("p_name").alias("query"))).select("query")
 
 
 def _macro(s, d):
@@ -208,7 +208,7 @@ QUERIES = {
     "golden_coverage": (lambda s, d: evals.coverage(evals.golden(_tasks(s, d))), f"WITH {_TASKS} SELECT count(*) AS items, CAST(coalesce(sum(n), 0) AS BIGINT) AS ids, CAST(coalesce(max(n), 0) AS BIGINT) AS most FROM gold"),
     "p95_exclusive": (lambda s, d: evals.p95_exclusive(table(s, d, "events"), "value").select(F.round("p95", 6).alias("p95")), "WITH v AS (SELECT value AS x, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), a AS (SELECT *, (n + 1) * 0.95::DOUBLE AS p FROM v) SELECT round(max(CASE WHEN r = floor(p) THEN x END) * (1 - (any_value(p) - floor(any_value(p)))) + max(CASE WHEN r = floor(p) + 1 THEN x END) * (any_value(p) - floor(any_value(p))), 6) AS p95 FROM a"),
     "macro_f1": (_macro, f"WITH {_WORDS}, t AS (SELECT role, count(CASE WHEN length(word) BETWEEN 4 AND 6 THEN 1 END) AS tp, count(CASE WHEN length(word) < 4 THEN 1 END) AS fp, count(CASE WHEN length(word) > 6 THEN 1 END) AS fn FROM w GROUP BY role) SELECT round(avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)), 6) AS macro_f1 FROM t"),
-    "unseen_queries": (_unseen, "SELECT DISTINCT p_type AS query FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 97 = 0)"),
+    "unseen_queries": (_unseen, "SELECT DISTINCT p_name AS query FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 97 = 0)"),
     "span_labels": (_span_labels, f"WITH {_WORDS} SELECT CASE length(word) WHEN 4 THEN 'four' ELSE 'six' END AS type, word AS span, count(*) AS n FROM w WHERE length(word) IN (4, 6) GROUP BY ALL"),
     "entity_seeds": (_seeds, "SELECT o_orderkey, unnest(['emp_id', 'customer_id', 'ticket_id', 'date']) AS type, unnest([array_to_string(list_slice(list_filter(['emp_' || o_custkey, 'emp_1', 'emp_2', 'emp_3', 'emp_4'], lambda x, i: i = 1 OR x <> 'emp_' || o_custkey), 1, 3), ','), 'CUST-' || o_orderkey, 'ticket-' || o_custkey, strftime(o_orderdate, '%Y-%m-%d')]) AS spans FROM orders"),
     "dataset_report": (_report, f"WITH {_WORDS} SELECT 'intent' AS kind, role AS name, count(*) AS n FROM conversations GROUP BY role UNION ALL SELECT 'entity', CASE length(word) WHEN 4 THEN 'four' ELSE 'six' END, count(*) FROM w WHERE length(word) IN (4, 6) GROUP BY ALL"),
