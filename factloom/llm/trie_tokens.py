@@ -5,7 +5,8 @@ pieces has the greatest sum (fewest pieces, then, among equals). Pre-tokens that
 share that part of the work: the distinct pre-tokens of a batch are put in a trie by sorting
 them, and each trie node (a prefix) gets its forward score, from the nodes above it on the
 path, once. Where a pre-token ends, the number of pieces of its best segmentation is stored, and a
-text's count is the sum over its pre-tokens.
+text's count is the sum over its pre-tokens. Pre-tokens of over ``LONG`` characters are scored by
+themselves, in memory that does not grow with them.
 
 Pieces are byte strings; every single byte counts as a piece with a low score, so each pre-token
 has a segmentation. The vocabulary is a public rank file: scores fall with the logarithm of the
@@ -32,6 +33,8 @@ from factloom.session import ship
 
 #: Counts of pre-tokens kept between the batches of a task (whole, or emptied when full).
 REMEMBERED = 200_000
+#: Pre-tokens of more characters are no part of the trie, whose path would hold each of their states.
+LONG = 4096
 
 
 class Vocabulary:
@@ -108,6 +111,31 @@ def counted(tokens: list[bytes], v: Vocabulary) -> tuple[list[int], list[float],
     return counts, totals, nodes
 
 
+def counted_alone(token: bytes, v: Vocabulary) -> tuple[int, float]:
+    """Pieces and score of one long token, with no more than the last `longest` scores kept."""
+    nxt, own, keep = v.next, v.score, v.longest + 1
+    best, least = [0.0] * keep, [0] * keep
+    states = [(0, 0)]
+    for k, b in enumerate(token):
+        top, few, ahead = -math.inf, 0, []
+        for node, start in states:
+            to = nxt[node].get(b)
+            if to is None:
+                continue
+            ahead.append((to, start))
+            s = own[to]
+            if s is not None:
+                at = start % keep
+                s += best[at]
+                if s > top or (s == top and least[at] + 1 < few):
+                    top, few = s, least[at] + 1
+        at = (k + 1) % keep
+        best[at], least[at] = top, few
+        ahead.append((0, k + 1))
+        states = ahead
+    return least[len(token) % keep], best[len(token) % keep]
+
+
 def tokens_counted(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "n_tokens", score: str = "token_score") -> DataFrame:
     """`docs` with the number of tokens and the score of each text; columns of those names are replaced."""
     spark = docs.sparkSession
@@ -123,14 +151,20 @@ def tokens_counted(docs: DataFrame, path: str, pattern: str, text: str = "text",
         for batch in batches:
             for part in pieces(batch, text):
                 found = [split.findall(t) if t else [] for t in part.column(text).to_pylist()]
-                fresh = {w for ws in found for w in ws}.difference(known)
+                words = {w for ws in found for w in ws}
+                # a very long one is scored by itself and not remembered
+                alone = {w: counted_alone(w.encode(), v) for w in words if len(w) > LONG}
+                fresh = words.difference(known, alone)
                 if len(known) + len(fresh) > REMEMBERED:
                     known.clear()
-                    fresh = {w for ws in found for w in ws}
+                    fresh = words.difference(alone)
                 new = sorted((w.encode(), w) for w in fresh)
                 n, s, _ = counted([b for b, _ in new], v)
                 known.update(zip((w for _, w in new), zip(n, s)))
+                known.update(alone)
                 sums = [[known[w] for w in ws] for ws in found]
+                for w in alone:
+                    del known[w]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array([sum(c for c, _ in x) for x in sums], np.int64)), pa.array(np.array([math.fsum(s for _, s in x) for x in sums], np.float64))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
