@@ -190,4 +190,7 @@ def searched(found: DataFrame, key: str = "doc_id", every: int = 20, radius: int
     sizes = found.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max((F.col(key) % every == 0).cast("int")).alias("q"))
     near = near_search(sizes.where("q = 1"), sizes, radius, count).groupBy("q1", "q2").agg(F.sum("n").alias("m"))
     s = sizes.where("q = 1").join(near, (F.col("f1") == F.col("q1")) & (F.col("f2") == F.col("q2")), "left").select(F.col("f1").alias("s1"), F.col("f2").alias("s2"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("near"))
-    return found.join(s, (F.col("f1") == F.col("s1")) & (F.col("f2") == F.col("s2")), "left").withColumn("n_near", F.when(F.col(key) % every == 0, F.col("near"))).drop("s1", "s2", "near")
+    # only the queries' rows are joined: equal fingerprints of all other rows never meet in a task
+    asks = F.coalesce(F.col(key) % every == 0, F.lit(False))
+    own = found.where(asks).join(s, (F.col("f1") == F.col("s1")) & (F.col("f2") == F.col("s2")), "left").select(*found.columns, F.col("near").alias("n_near"))
+    return own.unionByName(found.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
