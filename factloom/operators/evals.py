@@ -43,13 +43,16 @@ def latency(rows: DataFrame, value: str = "latency_ms") -> DataFrame:
 
 
 def p95_exclusive(rows: DataFrame, value: str) -> DataFrame:
-    """The 19th of 20 cut points by the exclusive method: position (n + 1) * 0.95 in the order, held
-    to the ends. That is the inclusive percentile of another share, which Spark finds from counts of
-    distinct values; nothing is collected. One value is its own cut point, none gives null."""
+    """The 19th of 20 cut points by the exclusive method: between, or beyond, the two values next to
+    position (n + 1) * 0.95 in the order. Spark finds the two from counts of distinct values; nothing
+    is collected. One value is its own cut point, none gives null."""
     n = rows.where(F.col(value).isNotNull()).count()
     if n < 2:
         return rows.agg(F.max(value).cast("double").alias("p95"))
-    return rows.agg(F.percentile(value, min(max(((n + 1) * 0.95 - 1) / (n - 1), 0.0), 1.0)).alias("p95"))
+    at = min(max((n + 1) * 19 // 20, 1), n - 1)
+    part = ((n + 1) * 19 - at * 20) / 20
+    both = rows.agg(F.percentile(value, [(at - 1) / (n - 1), at / (n - 1)]).alias("p"))
+    return both.select((F.col("p")[0] * (1 - part) + F.col("p")[1] * part).alias("p95"))
 
 
 def escalation(runs: DataFrame, tiers: list[str]) -> DataFrame:

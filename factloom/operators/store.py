@@ -1,7 +1,8 @@
 """The graph as versioned Parquet tables: writes make a new version, one pointer names the current.
 
-All tables of a write become visible at once, when the pointer file is replaced by a rename
-through Spark's file system; a failed write leaves the old version current.
+All tables of a write become visible at once, with a new pointer file of the next number; the
+highest whole one counts. A pointer is never overwritten: a failed write leaves the old version
+current, and of two writers at once the second fails.
 """
 
 from __future__ import annotations
@@ -22,11 +23,17 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
 
+    def _pointers(self) -> list[str]:
+        """The pointer files, the newest first."""
+        names = (str(f.getPath().getName()) for f in self._fs.listStatus(self._path(self.root)))
+        return sorted((n for n in names if n.startswith("CURRENT-")), reverse=True)
+
     def _current(self) -> dict[str, str]:
-        p = f"{self.root}/CURRENT"
-        if not self._fs.exists(self._path(p)):
-            return {}
-        return dict(line.split("\t") for (line,) in self.spark.read.text(p).collect() if line)
+        for name in self._pointers():
+            lines = [r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()]
+            if lines and lines[-1] == "end":  # else its writer failed
+                return dict(line.split("\t") for line in lines[:-1])
+        return {}
 
     def has(self, name: str) -> bool:
         return name in self._current()
@@ -39,17 +46,14 @@ class Store:
         if unknown := set(tables) - set(TABLES):
             raise ValueError(f"unknown tables {sorted(unknown)}")
         version = uuid.uuid4().hex
+        number = int(next(iter(self._pointers()), "CURRENT-0").split("-")[1]) + 1
         now = self._current()
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{version}")
             now[name] = f"{name}/{version}"
-        stage = f"{self.root}/CURRENT-{version}"
-        out = self._fs.create(self._path(stage))
-        out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(now.items())).encode()))
+        out = self._fs.create(self._path(f"{self.root}/CURRENT-{number:012d}"), False)
+        out.write(bytearray("".join([*(f"{k}\t{v}\n" for k, v in sorted(now.items())), "end\n"]).encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        if not self._fs.rename(self._path(stage), self._path(f"{self.root}/CURRENT")):
-            raise OSError("the new version could not be made current")
 
     def append(self, name: str, df: DataFrame) -> None:
         self.write(**{name: self.read(name).unionByName(df) if self.has(name) else df})

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import ingest, search, workflows
+from factloom.operators import ingest, search, store, views, workflows
 from factloom.plans import queries_search
 from factloom.plans import spec as S
 
@@ -118,3 +118,26 @@ def test_ingest_materialises_model_blocks(spark, grounding):
 class Silent:
     def extract(self, prompt, schema):
         raise RuntimeError("the cache holds every answer")
+
+
+def test_store_pointers(spark, tmp_path):
+    """An unfinished pointer is ignored, and one that is there is never overwritten."""
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.write(nodes=spark.range(3))
+    (tmp_path / "s" / "CURRENT-000000000002").write_text("nodes\tnodes/none\n")
+    assert s.read("nodes").count() == 3
+    s.write(nodes=spark.range(5))
+    assert s.read("nodes").count() == 5
+    other = store.Store(spark, str(tmp_path / "s"))
+    other._pointers = lambda: ["CURRENT-000000000001"]  # has not seen the last writes
+    with pytest.raises(Exception, match="(?i)exist"):
+        other.write(nodes=spark.range(1))
+    assert s.read("nodes").count() == 5
+
+
+def test_views(spark):
+    rows = spark.createDataFrame([(1, {"date": "1700000000000", "name": '" A "'}), (2, {"sent_at": '"x"', "title": "5"}), (3, None)], "id int, a map<string,string>")
+    got = {r["id"]: r for r in rows.select("id", views.derived_time(F.col("a")).alias("t"), views.workflow_preview(F.lit("T"), F.col("a")).alias("p")).collect()}
+    assert str(got[1]["t"]) == "2023-11-14 22:13:20" and got[1]["p"] == "T: A" and got[2]["t"] is None and got[2]["p"] == got[3]["p"] == "T: <no preview>"
+    with pytest.raises(ValueError):
+        views.within(rows, 5, F.current_timestamp())
