@@ -49,13 +49,15 @@ def stats_by_relation(edges: DataFrame) -> DataFrame:
 
 
 def stats(nodes: DataFrame, edges: DataFrame, provenance: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
-    """kind, name, n: counts by node type and relation, and totals."""
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
-    out = stats_by_type(nodes).select(F.lit("node").alias("kind"), F.col("type").alias("name"), "n")
-    out = out.unionByName(stats_by_relation(edges).select(F.lit("edge").alias("kind"), F.col("relation_type").alias("name"), "n"))
-    for df, name in ((nodes, "nodes"), (edges, "edges"), (provenance, "provenance"), (records, "source_records")):
-        if df is not None:
-            out = out.unionByName(one(df, name))
+    """kind, name, n: counts by node type and relation, and totals, which are sums of these counts
+    (so that nodes and edges are read once)."""
+    per = {"nodes": stats_by_type(nodes), "edges": stats_by_relation(edges)}
+    out = per["nodes"].select(F.lit("node").alias("kind"), F.col("type").alias("name"), "n")
+    out = out.unionByName(per["edges"].select(F.lit("edge").alias("kind"), F.col("relation_type").alias("name"), "n"))
+    totals = {k: df.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")) for k, df in per.items()}
+    totals |= {k: df.agg(F.count(F.lit(1)).alias("n")) for k, df in (("provenance", provenance), ("source_records", records)) if df is not None}
+    for name, df in totals.items():
+        out = out.unionByName(df.select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n"))
     return out
 
 
@@ -66,9 +68,10 @@ def type_directory(nodes: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """at, other, relation_type, direction for both ends of each edge."""
-    out = edges.select(F.col("src").alias("at"), F.col("dst").alias("other"), "relation_type", F.lit("out").alias("direction"))
-    return out.unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("other"), "relation_type", F.lit("in").alias("direction")))
+    """at, other, relation_type, direction for both ends of each edge, from one scan of the edges."""
+    way = lambda a, b, d: F.struct(F.col(a).alias("at"), F.col(b).alias("other"), F.lit(d).alias("direction"))
+    out = edges.select("relation_type", F.explode(F.array(way("src", "dst", "out"), way("dst", "src", "in"))).alias("w"))
+    return out.select("w.at", "w.other", "relation_type", "w.direction")
 
 
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, relation: str | None = None) -> DataFrame:
