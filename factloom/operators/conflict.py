@@ -44,12 +44,20 @@ def decide(e: Column, i: Column) -> Column:
 def reconcile(facts: DataFrame, mode: str = "reference") -> DataFrame:
     """Per (node_id, attribute): the stored value, the number of facts, and the open conflict
     (existing and incoming side, verdict, reason; null if none)."""
+    return fold(facts, mode=mode).select("node_id", "attribute", "value", "n_facts", "open")
+
+
+def fold(facts: DataFrame, state: DataFrame | None = None, mode: str = "reference") -> DataFrame:
+    """The state of every (node_id, attribute) that has facts: value, norm, the confidence and source
+    it is defended with, n_facts and the open conflict. With an earlier `state` the facts come after
+    its own, which is the same as folding all of them, so history is not read again."""
     if mode not in ("reference", "owner"):
         raise ValueError("mode is 'reference' or 'owner'")
+    key = ["node_id", "attribute"]
     fact = F.struct("seq", "value", "norm", F.coalesce("confidence", F.lit("exact")).alias("confidence"), F.coalesce("source_file", F.lit(UNATTRIBUTED)).alias("source_file"), F.coalesce("source_record_id", F.lit(UNATTRIBUTED)).alias("source_record_id"))
-    rows = facts.groupBy("node_id", "attribute").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    rows = facts.groupBy(*key).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
     side = lambda s, v: F.struct(v.alias("value"), s["confidence"].alias("confidence"), s["source_file"].alias("source_file"), s["source_record_id"].alias("source_record_id"))
-    state = lambda value, norm, by, open_: F.struct(value.alias("value"), norm.alias("norm"), by["confidence"].alias("confidence"), by["source_file"].alias("source_file"), by["source_record_id"].alias("source_record_id"), open_.alias("open"))
+    make = lambda value, norm, by, open_: F.struct(value.alias("value"), norm.alias("norm"), by["confidence"].alias("confidence"), by["source_file"].alias("source_file"), by["source_record_id"].alias("source_record_id"), open_.alias("open"))
 
     def step(s: Column, f: Column) -> Column:
         d = decide(s, f)
@@ -58,16 +66,21 @@ def reconcile(facts: DataFrame, mode: str = "reference") -> DataFrame:
         queued = ~equal & d["winner"].isNull()
         first = F.coalesce(s["open"]["existing"], side(s, s["value"]))
         open_ = F.when(queued, F.struct(first.alias("existing"), side(f, f["value"]).alias("incoming"), d["verdict"].alias("verdict"), d["reason"].alias("reason"))).otherwise(s["open"])
-        by = f if mode == "reference" else None
         value, norm = F.when(takes, f["value"]).otherwise(s["value"]), F.when(takes, f["norm"]).otherwise(s["norm"])
-        if by is not None:
-            return state(value, norm, by, open_)
+        if mode == "reference":
+            return make(value, norm, f, open_)
         keep = lambda c: F.when(takes | equal, f[c]).otherwise(s[c]).alias(c)
         return F.struct(value.alias("value"), norm.alias("norm"), keep("confidence"), keep("source_file"), keep("source_record_id"), open_.alias("open"))
 
-    zero = state(F.col("facts")[0]["value"], F.col("facts")[0]["norm"], F.col("facts")[0], F.lit(None).cast(OPEN))
-    folded = rows.withColumn("s", F.aggregate(F.slice("facts", F.lit(2), F.size("facts")), zero, step))
-    return folded.select("node_id", "attribute", F.col("s.value").alias("value"), F.size("facts").cast("long").alias("n_facts"), F.col("s.open").alias("open"))
+    fresh = make(F.col("facts")[0]["value"], F.col("facts")[0]["norm"], F.col("facts")[0], F.lit(None).cast(OPEN))
+    later, before = F.slice("facts", F.lit(2), F.size("facts")), F.lit(0).cast("long")
+    if state is not None:
+        held = F.struct("value", "norm", "confidence", "source_file", "source_record_id", "open")
+        rows = rows.join(state.select(*key, held.alias("held"), F.col("n_facts").alias("n_held")), key, "left")
+        known = F.col("held").isNotNull()
+        fresh, later, before = F.when(known, F.col("held")).otherwise(fresh), F.when(known, F.col("facts")).otherwise(later), F.coalesce("n_held", before)
+    folded = rows.withColumn("s", F.aggregate(later, fresh, step))
+    return folded.select(*key, "s.*", (F.size("facts") + before).cast("long").alias("n_facts"))
 
 
 def queue(reconciled: DataFrame) -> DataFrame:

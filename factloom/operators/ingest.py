@@ -149,9 +149,11 @@ def _materialised(out: DataFrame, spec: MappingSpec, block: ModelBlock, extracto
     return nodes, edges.drop("confidence", "surface"), facts, items, answers
 
 
-def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = None, extractor=None, cache: DataFrame | None = None) -> Ingested:
+def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = None, extractor=None, cache: DataFrame | None = None, once: bool = False) -> Ingested:
     """`records`: source_file, ordinal, record. `ledger`: what earlier runs have seen. Specs with
-    model blocks need an `extractor` (a picklable Extractor); `cache`: the answers of earlier runs."""
+    model blocks need an `extractor` (a picklable Extractor); `cache`: the answers of earlier runs.
+    With `once` the evaluated records are cut (a checkpoint the caller discards), for callers that
+    use several of the outputs."""
     if spec.llm_blocks and extractor is None:
         raise ValueError(f"spec {spec.tenant!r} has llm_blocks, but there is no extractor")
     v = F.col("v")
@@ -176,6 +178,8 @@ def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = Non
         r = r.withColumn("_old", F.lit(None).cast("boolean"))
     turn = F.row_number().over(W.partitionBy(*SEEN, F.col("error").isNull()).orderBy("ordinal"))
     r = r.withColumn("status", F.when(F.col("source_record_id").isNotNull() & F.coalesce("_old", F.lit(False)), F.lit("skipped")).when(F.col("error").isNotNull(), F.lit("dead")).when(turn > 1, F.lit("skipped")).otherwise(F.lit("out"))).drop("_old")
+    if once:
+        r = cut(r)
     out = r.where("status = 'out'")
     place = ["source_file", "source_record_id", "ordinal"]
     each = [out.where(F.col(f"n{k}.id").isNotNull()).select(*place, F.lit(k).alias("rule"), F.lit(spec.type_of(rule)).alias("type"), f"n{k}.id", f"n{k}.attributes") for k, rule in enumerate(spec.nodes)]

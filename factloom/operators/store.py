@@ -3,16 +3,25 @@
 All tables of a write become visible at once, with a new pointer file of the next number; the
 highest whole one counts. A pointer is never overwritten: a failed write leaves the old version
 current, and of two writers at once the second fails.
+
+A table is a list of parts. `add` writes one part more, so its cost is that of the new rows; in a
+table with a key the latest part's row of each key counts. Every ``PARTS`` parts a table is written
+as one.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache")
+TABLES = ("nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache", "attributes")
+#: Tables in which a later row of the same key replaces an earlier one.
+KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"]}
+#: So many parts a table has at most before it is written as one.
+PARTS = 16
 
 
 class Store:
@@ -39,25 +48,55 @@ class Store:
         return name in self._current()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._current()[name]}")
+        return self._latest(name, self._current()[name].split(","))
+
+    def touched(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """The rows of a keyed table whose keys are in `keys`, None without such a table. Parts are
+        filtered before their rows are compared, so only touched rows are shuffled."""
+        now = self._current()
+        return self._latest(name, now[name].split(","), keys.select(*KEYS[name]).distinct()) if name in now else None
+
+    def _latest(self, name: str, parts: list[str], keys: DataFrame | None = None) -> DataFrame:
+        only = (lambda d: d) if keys is None else lambda d: d.join(keys, KEYS[name], "left_semi")
+        if name not in KEYS or len(parts) == 1:
+            return only(self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts]))
+        each = [only(self.spark.read.parquet(f"{self.root}/{p}")).withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+        union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), each)
+        rest = [c for c in union.columns if c not in (*KEYS[name], "_part")]
+        if not rest:
+            return union.select(*KEYS[name]).distinct()
+        return union.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*rest), "_part").alias("_row")).select(*KEYS[name], "_row.*")
 
     def write(self, **tables: DataFrame) -> None:
         """Replace several tables at once."""
+        self._commit(tables, replace=True)
+
+    def add(self, **tables: DataFrame) -> None:
+        """Add rows to several tables at once; those of a keyed table are one for each key."""
+        self._commit(tables, replace=False)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        self.add(**{name: df})
+
+    def _commit(self, tables: dict[str, DataFrame], replace: bool) -> None:
         if unknown := set(tables) - set(TABLES):
             raise ValueError(f"unknown tables {sorted(unknown)}")
         version = uuid.uuid4().hex
         number = int(next(iter(self._pointers()), "CURRENT-0").split("-")[1]) + 1
         now = self._current()
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{version}")
-            now[name] = f"{name}/{version}"
+            new = f"{name}/{version}"
+            df.write.parquet(f"{self.root}/{new}")
+            parts = [new] if replace or name not in now else [*now[name].split(","), new]
+            if len(parts) > PARTS:
+                whole = f"{name}/{version}-whole"
+                self._latest(name, parts).write.parquet(f"{self.root}/{whole}")
+                parts = [whole]
+            now[name] = ",".join(parts)
         out = self._fs.create(self._path(f"{self.root}/CURRENT-{number:012d}"), False)
         out.write(bytearray("".join([*(f"{k}\t{v}\n" for k, v in sorted(now.items())), "end\n"]).encode()))
         out.close()
 
-    def append(self, name: str, df: DataFrame) -> None:
-        self.write(**{name: self.read(name).unionByName(df) if self.has(name) else df})
-
 
 def raw_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Records by (source_file, source_record_id): new ones are added, known ones replaced only
@@ -72,7 +111,8 @@ def raw_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def merge_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Nodes by id (id, type, created_at, updated_at, version); created_at stays, version counts merges."""
-    i = incoming.groupBy("id").agg(F.min("type").alias("t"), F.min("updated_at").alias("c"), F.max("updated_at").alias("u"), F.count(F.lit(1)).alias("k"))
+    one = F.when(F.min("type") == F.max("type"), F.min("type")).otherwise(F.raise_error(F.concat(F.lit("one id, two types: "), F.first("id"))))
+    i = incoming.groupBy("id").agg(one.alias("t"), F.min("updated_at").alias("c"), F.max("updated_at").alias("u"), F.count(F.lit(1)).alias("k"))
     j = stored.join(i, "id", "full_outer")
     same = F.when(F.col("type").isNull() | F.col("t").isNull() | (F.col("type") == F.col("t")), F.coalesce("type", "t")).otherwise(F.raise_error(F.concat(F.lit("one id, two types: "), F.col("id"))))
     return j.select("id", same.alias("type"), F.coalesce("created_at", "c").alias("created_at"), F.coalesce("u", "updated_at").alias("updated_at"), (F.coalesce("version", F.lit(0)) + F.coalesce("k", F.lit(0))).cast("long").alias("version"))

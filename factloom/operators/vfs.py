@@ -49,17 +49,26 @@ def stat(nodes: DataFrame, p: str, provenance: DataFrame | None = None) -> DataF
     return own.join(p_, own["id"] == p_["node_id"], "left").drop("node_id")
 
 
-def tree(nodes: DataFrame, depth: int = 1, per_type: int = 100) -> DataFrame:
-    """(depth, path, name, kind, type, node_id, child_count) from the root."""
+def tree(nodes: DataFrame, depth: int = 1, per_type: int = 100, at: str = "/") -> DataFrame:
+    """(depth, path, name, kind, type, node_id, child_count) below the root, or below the directory
+    `at`, whose files are its first level; of a file, that file. At most `per_type` files a directory."""
     if not 1 <= depth <= 3:
         raise ValueError("depth must be from 1 to 3")
+    t, i = parse(at)
+    own = nodes.select("id", "type")
+    if t is not None:
+        own = own.where(F.col("type") == t)
+    if i is not None:
+        own = own.where(F.col("id") == i)
+    r = F.row_number().over(W.partitionBy("type").orderBy("id"))
+    level = 2 if t is None else 1
+    files = own.withColumn("_r", r).where(F.col("_r") <= per_type)
+    files = files.select(F.lit(level).alias("depth"), path(F.col("type"), F.col("id")).alias("path"), F.col("id").alias("name"), F.lit("file").alias("kind"), "type", F.col("id").alias("node_id"), F.lit(0).cast("long").alias("child_count"))
+    if t is not None:
+        return files
     d = graph.type_directory(nodes)
     top = d.select(F.lit(1).alias("depth"), F.concat(F.lit("/"), "type", F.lit("/")).alias("path"), F.col("type").alias("name"), F.lit("dir").alias("kind"), "type", F.lit(None).cast("string").alias("node_id"), F.col("n").alias("child_count"))
-    if depth == 1:
-        return top
-    r = F.row_number().over(W.partitionBy("type").orderBy("id"))
-    files = nodes.select("id", "type").withColumn("_r", r).where(F.col("_r") <= per_type)
-    return top.unionByName(files.select(F.lit(2).alias("depth"), path(F.col("type"), F.col("id")).alias("path"), F.col("id").alias("name"), F.lit("file").alias("kind"), "type", F.col("id").alias("node_id"), F.lit(0).cast("long").alias("child_count")))
+    return top if depth == 1 else top.unionByName(files)
 
 
 def cat(nodes: DataFrame, edges: DataFrame, p: str, provenance: DataFrame, records: DataFrame) -> dict[str, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import MESSAGE_ID, preview
-from factloom.operators import graph
+from factloom.operators import graph, search, vfs
 from factloom.operators.search import Cascade, Result
 
 
@@ -53,39 +53,153 @@ def grounded(items: DataFrame, source: str = "source_text", surface: str = "surf
     return items.withColumn("confidence", F.when(F.contains(F.lower(source), F.lower(surface)), F.lit("grounded")).otherwise(F.lit("inferred")))
 
 
+def _parameter(p: inspect.Parameter) -> dict:
+    kinds = {"int": "integer", "str": "string", "dict": "object", "float": "number"}
+    return {"type": kinds[str(p.annotation).split(" ")[0]], **({} if p.default in (p.empty, None) else {"default": p.default})}
+
+
+def _whole(value, least: int, most: int | None, name: str) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < least or (most is not None and value > most):
+        raise ValueError(f"{name} must be an integer from {least}{'' if most is None else f' to {most}'}")
+    return value
+
+
 @dataclass
 class Toolbox:
-    """The agent's tools over the graph; arguments are capped."""
+    """The agent's tools over the graph. Arguments outside their bounds are errors: at most 25 hits,
+    three hops; neighbours come 50 at most. Tools whose tables are missing (search: `index`, `vectors`
+    and `embed`; sources and files: `provenance` and `records`) are not offered. What tools return is
+    noted in `cited`, each node or source record once."""
 
     nodes: DataFrame
     edges: DataFrame
     cascade: Cascade
+    provenance: DataFrame | None = None
+    records: DataFrame | None = None
+    index: search.TextIndex | None = None
+    vectors: DataFrame | None = None
+    embed: Callable[[str], list[float]] | None = None
+    cited: dict[tuple, None] = field(default_factory=dict)
 
     def tools(self) -> dict[str, Callable]:
-        return {n: getattr(self, n) for n in ("search", "get_node", "neighbors", "shortest_path", "pattern", "stats")}
+        names = ["search", "get_node", "get_neighbors", "shortest_path", "pattern_query", "stats", "vfs_ls", "vfs_stat", "vfs_tree", "vfs_grep", "vfs_find"]
+        names += ["fulltext_search"] if self.index is not None else []
+        names += ["vector_search"] if self.vectors is not None and self.embed is not None else []
+        names += ["get_source_record", "vfs_cat"] if self.provenance is not None and self.records is not None else []
+        return {n: getattr(self, n) for n in names}
 
     def schemas(self) -> list[dict]:
-        return [{"name": n, "parameters": [p for p in inspect.signature(f).parameters]} for n, f in self.tools().items()]
+        """Name, description and a JSON schema of the arguments of each tool."""
+        out = []
+        for n, f in self.tools().items():
+            takes = inspect.signature(f).parameters
+            must = [k for k, p in takes.items() if p.default is p.empty]
+            out.append({"name": n, "description": inspect.getdoc(f) or n, "parameters": {"type": "object", "properties": {k: _parameter(p) for k, p in takes.items()}, "required": must}})
+        return out
+
+    def _cite(self, ids: list[str]) -> None:
+        self.cited.update(dict.fromkeys(("node", i) for i in ids))
+
+    def _shown(self, ids: DataFrame) -> DataFrame:
+        return ids.join(self.nodes.select("id", "type", preview(F.col("attributes")).alias("preview")), "id")
+
+    def _rows(self, df: DataFrame, id_: str | None = "id") -> list[dict]:
+        rows = [r.asDict(recursive=True) for r in df.collect()]
+        if id_:
+            self._cite([r[id_] for r in rows])
+        return rows
+
+    def _query(self, **columns) -> DataFrame:
+        kinds = {"query": "string", "vector": "array<double>"}
+        return self.nodes.sparkSession.createDataFrame([(0, *columns.values())], ", ".join(["qid int", *[f"{k} {kinds[k]}" for k in columns]]))
 
     def search(self, query: str, k: int = 10) -> list:
-        return self.cascade.run(query).hits[: min(int(k), 25)]
+        """Nodes by the tiers of the cascade."""
+        hits = self.cascade.run(query).hits[: _whole(k, 1, 25, "k")]
+        self._cite([i for i, _ in hits])
+        return hits
+
+    def fulltext_search(self, query: str, k: int = 10) -> list[dict]:
+        """Nodes by the words of a text, the best first."""
+        hits = search.fulltext(self.index, self._query(query=query), _whole(k, 1, 25, "k"))
+        return self._rows(self._shown(hits.select("id", "score", "rank")).orderBy("rank"))
+
+    def vector_search(self, query: str, k: int = 10) -> list[dict]:
+        """Nodes by the nearness of their vectors to a text's, the nearest first."""
+        hits = search.vector_search(self.vectors, self._query(vector=[float(x) for x in self.embed(query)]), _whole(k, 1, 25, "k"))
+        return self._rows(self._shown(hits.select("id", "score", "rank")).orderBy("rank"))
 
     def get_node(self, id: str) -> dict | None:
-        r = self.nodes.where(F.col("id") == id).select("id", "type", preview(F.col("attributes")).alias("preview")).first()
-        return r.asDict() if r else None
+        """A node's type and preview."""
+        rows = self._rows(self.nodes.where(F.col("id") == id).select("id", "type", preview(F.col("attributes")).alias("preview")).limit(1))
+        return rows[0] if rows else None
 
-    def neighbors(self, id: str, depth: int = 1) -> list[str]:
+    def get_neighbors(self, id: str, depth: int = 1, relation: str | None = None) -> list[str]:
+        """Ids within some hops, over one relation if given."""
         seed = self.nodes.sparkSession.createDataFrame([(id,)], "id string")
-        return [r["id"] for r in graph.neighbors(self.edges, seed, min(int(depth), 3)).orderBy("id").limit(50).collect()]
+        return [r["id"] for r in self._rows(graph.neighbors(self.edges, seed, _whole(depth, 1, 3, "depth"), relation).orderBy("id").limit(50))]
 
     def shortest_path(self, source: str, target: str, max_hops: int = 6) -> list[str] | None:
-        return graph.shortest_path(self.edges, source, target, min(int(max_hops), 20))
-
-    def pattern(self, pattern: str, limit: int = 25) -> list[dict]:
-        return [r.asDict() for r in graph.page(graph.pattern_query(self.nodes, self.edges, pattern), min(int(limit), 25), 0, "src", "dst", "edge_id").collect()]
+        """Ids of a shortest path."""
+        found = graph.shortest_path(self.edges, source, target, _whole(max_hops, 1, 20, "max_hops"))
+        self._cite(found or [])
+        return found
+
+    def pattern_query(self, pattern: str, limit: int = 25, offset: int = 0) -> dict:
+        """Matches of (Type)-[RELATION]->(Type), and how many there are."""
+        found = graph.pattern_query(self.nodes, self.edges, pattern)
+        rows = self._rows(graph.page(found, _whole(limit, 1, 25, "limit"), _whole(offset, 0, None, "offset"), "src", "dst", "edge_id"), None)
+        self._cite([r[e] for r in rows for e in ("src", "dst")])
+        return {"matches": rows, "total": found.count()}
 
     def stats(self) -> list[dict]:
-        return [r.asDict() for r in graph.stats(self.nodes, self.edges).orderBy("kind", "name").collect()]
+        """Counts by type and relation."""
+        return self._rows(graph.stats(self.nodes, self.edges).orderBy("kind", "name"), None)
+
+    def get_source_record(self, source_file: str, record_id: str) -> dict:
+        """The raw record behind facts."""
+        found = self.records.where((F.col("source_file") == source_file) & (F.col("source_record_id") == record_id)).select("source_file", "source_record_id", "raw_record").first()
+        if found is None:
+            raise KeyError(f"no record {source_file}/{record_id}")
+        self.cited[("record", source_file, record_id)] = None
+        return found.asDict()
+
+    def vfs_ls(self, path: str = "/", limit: int = 25, offset: int = 0) -> list[dict]:
+        """What a directory holds."""
+        rows = self._rows(vfs.ls(self.nodes, path, _whole(limit, 1, 100, "limit"), _whole(offset, 0, None, "offset")), None)
+        self._cite([r["name"] for r in rows if r["kind"] == "file"])
+        return rows
+
+    def vfs_cat(self, path: str) -> dict:
+        """A file: the node, its relations, provenance and raw records."""
+        out = {k: self._rows(d, None) for k, d in vfs.cat(self.nodes, self.edges, path, self.provenance, self.records).items()}
+        if not out["node"]:
+            raise KeyError(f"no file {path}")
+        self._cite([r["id"] for r in out["node"]])
+        self.cited.update(dict.fromkeys(("record", r["source_file"], r["source_record_id"]) for r in out["evidence"]))
+        return out
+
+    def vfs_stat(self, path: str) -> dict:
+        """What a path names."""
+        rows = self._rows(vfs.stat(self.nodes, path, self.provenance), None)
+        if not rows:
+            raise KeyError(f"nothing at {path}")
+        self._cite([rows[0]["id"]] if "id" in rows[0] else [])
+        return rows[0]
+
+    def vfs_tree(self, path: str = "/", depth: int = 1) -> list[dict]:
+        """Directories and files below a path, three levels at most."""
+        return self._rows(vfs.tree(self.nodes, _whole(depth, 1, 3, "depth"), at=path).orderBy("path"), None)
+
+    def vfs_grep(self, query: str, path: str = "/", limit: int = 20) -> list[dict]:
+        """Files by the words of their attributes."""
+        return self._rows(vfs.grep(self.nodes, query, path, _whole(limit, 1, 25, "limit")).orderBy("rank"))
+
+    def vfs_find(self, type: str | None = None, where: dict | None = None, limit: int = 25) -> list[dict]:
+        """The newest files with the given attribute values."""
+        json_where = {k: None if v is None else json.dumps(v, ensure_ascii=False) for k, v in (where or {}).items()}
+        found = vfs.find(self.nodes, type, json_where, limit=_whole(limit, 1, 25, "limit"))
+        return self._rows(found.select("id", "type", "updated_at"))
 
     def call(self, name: str, arguments: dict) -> dict:
         """A tool's answer; its errors are answers too."""
@@ -108,7 +222,8 @@ def agent(client: Client, box: Toolbox, query: str, iterations: int = 10, second
         reply = client.turn(messages, box.schemas())
         if "answer" in reply:
             cited = cited_ids(reply["answer"])
-            return Result("agentic", 0.7 if cited else 0.3, [(i, 1.0) for i in cited], extras={"answer": reply["answer"], "messages": messages})
+            extras = {"answer": reply["answer"], "messages": messages, "citations": list(box.cited)}
+            return Result("agentic", 0.7 if cited else 0.3, [(i, 1.0) for i in cited], extras=extras)
         for c in reply.get("calls", []):
             messages.append({"role": "tool", "name": c["name"], "content": box.call(c["name"], c.get("arguments", {}))})
     return Result("agentic", 0.0, extras={"messages": messages})
@@ -146,7 +261,7 @@ def customer_email(box: Toolbox, people: DataFrame, from_address: str, subject:
     if not found:
         return {"sender": None, "hits": [], "brief": f"No one is known by {from_address}."}
     sender = found[0]["id"]
-    near = [(i, 1.0) for i in box.neighbors(sender)[:25]]
+    near = [(i, 1.0) for i in box.get_neighbors(sender)[:25]]
     hits = box.cascade.run(f"{subject} {body}").hits[:5]
     lines = [f"From {sender}: {subject}", *[f"- {i} ({s:.2f})" for i, s in [*near[:5], *hits]]]
     return {"sender": sender, "neighbors": near, "hits": hits, "brief": "\n".join(lines)}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import jsonpath
 from factloom.functions import text as X
-from factloom.operators import conflict, ingest, store
+from factloom.operators import conflict, ingest, merge, store
 from factloom.plans import spec as S
-from factloom.session import table
+from factloom.session import cut, table
 
 #: The mapping of the made-up staff records below.
 SPEC = S.load({
@@ -24,16 +24,19 @@ SPEC = S.load({
 })
 
 
-def _records(s, d):
-    """Staff records of customers: every 17th without a name, every 5th twice."""
-    c = table(s, d, "customer")
-    body = F.to_json(F.struct(
-        F.concat(F.lit("emp_"), "c_custkey").alias("emp_id"), F.when(F.col("c_custkey") % 17 != 0, F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("Name"),
+def _body(name):
+    return F.to_json(F.struct(
+        F.concat(F.lit("emp_"), "c_custkey").alias("emp_id"), name.alias("Name"),
         F.when(F.col("c_custkey") % 2 == 0, F.struct(F.concat(F.lit(" "), "c_name", F.lit("@Example.ORG ")).alias("email"))).alias("work"),
         F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit("@home.net"))).alias("email"),
         F.when(F.col("c_custkey") > 0, F.concat(F.lit("emp_"), F.floor(F.col("c_custkey") / 4))).alias("reports_to"),
     ))
-    r = c.select(F.lit("staff.json").alias("source_file"), F.col("c_custkey").alias("ordinal"), body.alias("record"))
+
+
+def _records(s, d):
+    """Staff records of customers: every 17th without a name, every 5th twice."""
+    body = _body(F.when(F.col("c_custkey") % 17 != 0, F.concat(F.lit("  "), "c_name", F.lit(" "))))
+    r = table(s, d, "customer").select(F.lit("staff.json").alias("source_file"), F.col("c_custkey").alias("ordinal"), body.alias("record"))
     again = r.where("ordinal % 5 = 0").withColumn("ordinal", F.col("ordinal") + 10_000_000)
     return r.unionByName(again)
 
@@ -47,6 +50,31 @@ _GOOD = """WITH r AS (SELECT c_custkey AS k, 'person:emp_' || c_custkey AS id, t
   CASE WHEN c_custkey > 0 THEN 'person:emp_' || (c_custkey // 4) END AS boss FROM customer), good AS (SELECT * FROM r WHERE k % 17 <> 0)"""
 
 
+def _merged(s, d):
+    """The staff records, and a second batch of every 5th with another name, half of it from
+    another file: people by id with what they are called, their facts and open conflicts."""
+    file = F.when(F.col("c_custkey") % 2 == 0, F.lit("crm.json")).otherwise(F.lit("staff.json"))
+    later = table(s, d, "customer").where("c_custkey % 5 = 0").select(file.alias("source_file"), F.col("c_custkey").alias("ordinal"), _body(F.concat("c_name", F.lit(" Jr"))).alias("record"))
+    one, at = ingest.ingest(_records(s, d), SPEC, once=True), F.lit("2024-01-01").cast("timestamp")
+    two = ingest.ingest(later, SPEC, one.seen, once=True)
+    a = {k: cut(v) for k, v in merge.merged(one, at).items()}  # what a store would hold in between
+    b = merge.merged(two, at, a["nodes"], a["edges"], a["attributes"])
+    b["attributes"] = cut(b["attributes"])
+    state = merge.replaced(a["attributes"], b["attributes"], ["node_id", "attribute"])
+    seen = state.groupBy(F.col("node_id").alias("id")).agg(F.sum("n_facts").alias("n_facts"), F.count("open").alias("n_open"))
+    value = lambda k: jsonpath.as_string(F.try_element_at("attributes", F.lit(k))).alias(k)
+    people = merge.graph_nodes(b["nodes"], state).join(seen, "id", "left")
+    return people.select("id", "type", "version", value("name"), value("email"), F.coalesce("n_facts", F.lit(0)).alias("n_facts"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
+
+
+_MERGED = _GOOD + """, fed AS (SELECT *, 1 AS batch FROM good UNION ALL SELECT *, 2 FROM r WHERE k % 5 = 0),
+  v AS (SELECT id, count(*) AS version FROM (SELECT id FROM fed UNION ALL SELECT boss FROM fed WHERE boss IS NOT NULL) GROUP BY id),
+  p AS (SELECT id, any_value(k) AS k, any_value(name) AS name, any_value(email) AS email, count(*) AS n, max(batch) AS last FROM fed GROUP BY id)
+SELECT v.id, 'Person' AS type, v.version, CASE WHEN last = 2 AND (n = 1 OR k % 2 = 1) THEN name || ' Jr' ELSE name END AS name, email,
+  coalesce(n * CASE WHEN email IS NULL THEN 2 ELSE 3 END, 0) AS n_facts, CASE WHEN n = 2 AND k % 2 = 0 THEN 1 ELSE 0 END AS n_open
+FROM v LEFT JOIN p ON v.id = p.id"""
+
+
 def _transforms(which):
     def run(s, d):
         c = table(s, d, "customer").withColumn("raw", F.concat(F.lit(" \t"), "c_name", F.lit(" X  ")))
@@ -133,7 +161,7 @@ def _edited(s, d):
 
 def _resolved(s, d):
     q = conflict.queue(conflict.reconcile(_lines(s, d)))
-    decisions = q.where(F.pmod(F.crc32(F.col("node_id").cast("binary")), F.lit(1)) == 0).where("incoming_value like 'Q%'").select("node_id", "attribute", F.col("incoming_value").alias("value"))
+    decisions = q.where("incoming_value like 'Q%'").select("node_id", "attribute", F.col("incoming_value").alias("value"))
     return conflict.resolve(q, decisions)[0].groupBy("status", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -181,6 +209,7 @@ QUERIES = {
     "type_fingerprint": (_leaf, "SELECT * FROM (VALUES ('$.k', 'int'), ('$.emp_id', 'str'), ('$.Name', 'str'), ('$.email', 'email_like'), ('$.reports_to', 'str'), ('$.work.email', 'str')) t(path, tag)"),
     "fingerprint_diff": (_diff, "SELECT * FROM (VALUES ('$.Name', 'changed int to str'), ('$.gone', 'missing')) t(path, problem)"),
     "decide_table": (_decisions, _DECIDE),
+    "merged_graph": (_merged, _MERGED),
     "reconcile_orders": (lambda s, d: conflict.reconcile(_lines(s, d)).select("node_id", "value", "n_facts", F.col("open.verdict").alias("verdict")), f"{_FACTS} SELECT node_id, value, n AS n_facts, verdict FROM last"),
     "conflict_queue": (_queue, f"{_FACTS} SELECT node_id, ev AS existing_value, ec AS existing_confidence, iv AS incoming_value, ic AS incoming_confidence, verdict FROM last WHERE verdict IS NOT NULL"),
     "resolve_conflict": (_resolved, f"{_FACTS} SELECT CASE WHEN iv LIKE 'Q%' THEN 'resolved' ELSE 'open' END AS status, verdict, count(*) AS n FROM last WHERE verdict IS NOT NULL GROUP BY ALL"),

@@ -8,32 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators import ingest
-from factloom.operators.store import Store, raw_upsert
+from factloom.operators import ingest, merge
+from factloom.operators.store import Store
 from factloom.plans.spec import MappingSpec
+from factloom.session import discard
 
 
 def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True, extractor=None, cache: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function: ingests (source_file, ordinal, record) and commits all tables of
-    the batch at once. With `mark_seen`, a batch that is run again changes nothing."""
+    """A `foreachBatch` function: ingests (source_file, ordinal, record), merges what it touches and
+    commits all tables of the batch at once. With `mark_seen`, a batch that is run again changes nothing."""
 
     def run(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+        seen = store.read("seen") if mark_seen and store.has("seen") else None
+        known = cache if cache is not None else merge.cached_answers(store)
+        got = ingest.ingest(batch, spec, seen, extractor, known, once=True)
         try:
-            got = ingest.ingest(batch, spec, store.read("seen") if mark_seen and store.has("seen") else None, extractor, cache)
-            if not got.records.where("status <> 'skipped'").limit(1).count():
-                return
-            raw = got.raw.groupBy("source_file", "source_record_id").agg(F.max_by(F.struct("raw_record", "content_hash"), "ordinal").alias("r")).select("source_file", "source_record_id", "r.*").withColumn("ingested_at", F.current_timestamp())
-            new = {"provenance": got.provenance, "dead_letters": got.dead}
-            if mark_seen:
-                new["seen"] = got.seen
-            tables = {k: store.read(k).unionByName(v) if store.has(k) else v for k, v in new.items()}
-            tables["source_records"] = raw_upsert(store.read("source_records"), raw) if store.has("source_records") else raw
-            for name, df in (("nodes", got.nodes.select("id", "type", "ordinal")), ("edges", got.edges.select("id", "src", "dst", "relation_type", "ordinal"))):
-                tables[name] = store.read(name).unionByName(df) if store.has(name) else df
-            store.write(**tables)
+            if got.records.where("status <> 'skipped'").limit(1).count():
+                merge.commit(store, got, mark_seen)
         finally:
-            batch.unpersist()
+            discard(got.records)
 
     return run
 
@@ -53,3 +46,20 @@ def apply_record(spark, store: Store, spec: MappingSpec, source_file: str, recor
         raise ValueError(f"the record's id is {row['source_record_id']}, not {expect_id}")
     apply_batch(store, spec, mark_seen, extractor, got.answers)(one, 0)
     return [r["id"] for r in got.nodes.select("id").distinct().orderBy("id").collect()]
+
+
+def push(spark, store: Store, spec: MappingSpec, source_file: str, record: str, expect_id: str | None = None, extractor=None) -> dict:
+    """One record pushed: the ids it touched, and the conflicts that are open on them."""
+    ids = apply_record(spark, store, spec, source_file, record, expect_id, extractor=extractor)
+    own = merge.open_conflicts(store, spark.createDataFrame([(i,) for i in ids], "id string")) if store.has("attributes") else None
+    return {"nodes": ids, "conflicts": [] if own is None else [r.asDict() for r in own.orderBy("node_id", "attribute").collect()]}
+
+
+def spec_for(specs: list[MappingSpec], source_file: str, tenant: str | None = None) -> MappingSpec:
+    """The newest spec of a file: KeyError if there is none, ValueError if several tenants have one."""
+    fits = [s for s in specs if s.source.file_pattern == source_file and tenant in (None, s.tenant)]
+    if not fits:
+        raise KeyError(f"no spec for {source_file}")
+    if len({s.tenant for s in fits}) > 1:
+        raise ValueError(f"several tenants have a spec for {source_file}: name one")
+    return max(fits, key=lambda s: s.spec_version)

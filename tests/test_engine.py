@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import jsonpath
 from factloom.functions import text as X
-from factloom.operators import conflict, evals, graph, ingest, onboard, search, store, subgraph, vfs, workflows
+from factloom.operators import conflict, evals, graph, ingest, merge, onboard, search, store, subgraph, vfs, workflows
 from factloom.plans import spec as S
 from factloom.sources import records
 from factloom.streaming import push
@@ -243,7 +243,7 @@ def test_agent_and_workflows(spark, net):
         def turn(self, messages, tools):
             return self.turns.pop(0)
 
-    r = workflows.agent(Scripted({"calls": [{"name": "neighbors", "arguments": {"id": "p0"}}, {"name": "nope"}]}, {"answer": "see [node:p1]"}), box, "who?")
+    r = workflows.agent(Scripted({"calls": [{"name": "get_neighbors", "arguments": {"id": "p0"}}, {"name": "nope"}]}, {"answer": "see [node:p1]"}), box, "who?")
     assert r.relevance == 0.7 and r.hits == [("p1", 1.0)]
     assert r.extras["messages"][1]["content"]["result"] == ["o1", "p1", "p11"] and "error" in r.extras["messages"][2]["content"]
     w = workflows.Workflows()
@@ -278,3 +278,88 @@ def test_facade(spark, net):
             bad()
     assert "| a | 0.5 |" in engine.eval_report("t", {"a": 0.5})
     assert engine.sanitised_schema({"$defs": {"X": {"type": "string", "title": "x"}}, "type": "object", "properties": {"x": {"$ref": "#/$defs/X"}, "y": {"anyOf": [{"type": "integer"}, {"type": "null"}]}}}) == {"type": "object", "properties": {"x": {"type": "string"}, "y": {"type": "integer", "nullable": True}}}
+
+
+def test_merge_into_a_stored_graph(spark, tmp_path):
+    """Batches merged one after the other give what one batch of all would, at one row a node; runs are
+    noted, conflicts are closed by people, equal addresses are linked."""
+    s = store.Store(spark, str(tmp_path / "g"))
+    how = spec("{id}", "$.name", "$.email", None)
+
+    def records(file, *data):
+        return spark.createDataFrame([(file, k, json.dumps(x)) for k, x in enumerate(data)], "source_file string, ordinal long, record string")
+
+    first = records("a.json", {"id": 1, "name": "Ann", "email": "x@y.org"}, {"id": 2, "name": "Bob", "email": "X@y.org"})
+    assert merge.run(s, how, first)["records_out"] == 2
+    assert merge.run(s, how, first)["skipped"] == 2
+    assert merge.run(s, how, records("b.json", {"id": 1, "name": " ANN"}, {"id": 2, "name": "Rob"}, {"id": 3}), limit=2)["records_in"] == 2
+    assert merge.run(s, how, records("c.json", {"id": 7, "name": "dry"}), dry_run=True)["records_out"] == 1
+    nodes = merge.graph_nodes(s.read("nodes"), s.read("attributes"))
+    got = {r["id"]: (r["version"], r["attributes"]["name"]) for r in nodes.collect()}
+    assert got == {"person:v:1": (2, '"Ann"'), "person:v:2": (2, '"Bob"')}
+    whole = conflict.fold(merge.facts(s.read("provenance"))).orderBy("node_id", "attribute")
+    assert whole.collect() == s.read("attributes").select(*whole.columns).orderBy("node_id", "attribute").collect()
+    assert s.read("runs").where("status = 'completed'").count() == 3
+    assert [r["incoming_value"] for r in merge.open_conflicts(s).collect()] == ['"Rob"']
+    # pushed twice: one node, two versions more, and its open conflict comes along
+    for _ in range(2):
+        out = push.push(spark, s, how, "c.json", '{"id": 2, "name": "Bobby"}')
+    assert out["nodes"] == ["person:v:2"] and [c["attribute"] for c in out["conflicts"]] == ["name"]
+    assert s.read("nodes").where("id = 'person:v:2'").collect()[0]["version"] == 4
+    merge.resolve(s, "person:v:2", "name", '"Rob"')
+    assert merge.open_conflicts(s).count() == 0
+    with pytest.raises(ValueError):
+        merge.resolve(s, "person:v:2", "name", '"Bob"')
+    with pytest.raises(KeyError):
+        merge.resolve(s, "person:v:1", "name", '"Bob"')
+    with pytest.raises(KeyError):
+        merge.edit(s, "person:v:99", {"name": '"x"'})
+    # a person's value stands against later records
+    push.push(spark, s, how, "d.json", '{"id": 2, "name": "Zed"}')
+    assert s.read("attributes").where("node_id = 'person:v:2' and attribute = 'name'").first()["value"] == '"Rob"'
+    assert merge.link_identities(s) == 1 and merge.link_identities(s) == 0
+    assert s.read("edges").where("relation_type = 'SAME_AS'").count() == 1
+    assert store.problems(s.read("provenance"), s.read("source_records")).count() == 0
+    # one id of another type fails the run, which the ledger tells; the graph stays
+    other = S.load({"tenant": "t", "source": {"file_pattern": "e.json", "format": "json"}, "nodes": [{"name": "n", "canonical_type": "Event", "id_template": "person:v:{id}", "fields": []}]})
+    before = s.read("nodes").count()
+    with pytest.raises(Exception, match="two types"):
+        merge.run(s, other, records("e.json", {"id": 1}))
+    assert s.read("nodes").count() == before and s.read("runs").where("status = 'failed'").count() == 1
+    assert push.spec_for([how, other], "e.json") is other
+    with pytest.raises(KeyError):
+        push.spec_for([how], "nope.json")
+
+
+def test_store_parts_are_joined(spark, tmp_path, monkeypatch):
+    """Later rows replace earlier ones of their key, and many parts become one."""
+    monkeypatch.setattr(store, "PARTS", 3)
+    s = store.Store(spark, str(tmp_path / "g"))
+    for k in range(5):
+        s.add(nodes=spark.range(k + 1).selectExpr("cast(id as string) id", f"{k} as version"), dead_letters=spark.range(1))
+    assert {r["id"]: r["version"] for r in s.read("nodes").collect()} == {str(i): 4 for i in range(5)}
+    assert s.read("dead_letters").count() == 5
+    assert len(s._current()["nodes"].split(",")) == 2
+
+
+def test_toolbox(spark, net):
+    nodes, edges = net
+    assert "vfs_cat" not in workflows.Toolbox(nodes, edges, search.Cascade({"stub": search.stub})).tools()
+    prov = spark.createDataFrame([("p0", "f", "1")], "node_id string, source_file string, source_record_id string")
+    raw = spark.createDataFrame([("f", "1", "{}")], "source_file string, source_record_id string, raw_record string")
+    vectors = spark.createDataFrame([("p0", [1.0, 0.0]), ("p1", [0.0, 1.0])], "id string, vector array<double>")
+    index = search.text_index(nodes.select("id", X.attributes_json(F.col("attributes")).alias("text")))
+    box = workflows.Toolbox(nodes, edges, search.Cascade({"stub": search.stub}), prov, raw, index, vectors, lambda t: [0.0, 2.0])
+    assert len(box.schemas()) == 15
+    by = {x["name"]: x["parameters"] for x in box.schemas()}
+    assert by["vector_search"]["required"] == ["query"] and by["get_neighbors"]["properties"]["depth"] == {"type": "integer", "default": 1}
+    assert box.call("vector_search", {"query": "x", "k": 1})["result"][0]["id"] == "p1"
+    assert box.call("get_source_record", {"source_file": "f", "record_id": "1"})["result"]["raw_record"] == "{}"
+    assert "error" in box.call("get_source_record", {"source_file": "f", "record_id": "2"})
+    assert "error" in box.call("vector_search", {"query": "x", "k": 26}) and "error" in box.call("get_neighbors", {"id": "p0", "depth": 4})
+    kind = nodes.where("id = 'p0'").first()["type"]
+    assert box.call("vfs_cat", {"path": f"/{kind}/p0"})["result"]["evidence"] == [{"source_file": "f", "source_record_id": "1", "raw_record": "{}"}]
+    assert [r["node_id"] for r in box.call("vfs_tree", {"path": f"/{kind}/p0"})["result"]] == ["p0"]
+    assert box.call("vfs_stat", {"path": "/"})["result"]["n"] == nodes.count()
+    assert {r["type"] for r in box.call("vfs_find", {"type": kind})["result"]} == {kind}
+    assert ("node", "p1") in box.cited and ("record", "f", "1") in box.cited
