@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, ego_join, katz, langid, minhash, mixing, repair, simhash, suffix, trie_tokens, url_filter
+from factloom.llm import bpe, ego_join, katz, langid, minhash, mixing, prefix_tree, repair, simhash, suffix, trie_tokens, url_filter
 from factloom.session import cut, table
 
 
@@ -80,8 +80,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.Repair(*repair.damaged(table(spark, sf_dir, "conversations"))).report()
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.nodes(*prefix_tree.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op9_katz_scores, op10_minhash, op12_conversation_repair)
+    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op9_katz_scores, op10_minhash, op12_conversation_repair, op13_prefix_trie)
     return {f.__name__: f for f in named}
 
 

@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from factloom.llm import repair  # noqa: E402
+from factloom.llm import prefix_tree, repair  # noqa: E402
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -139,3 +139,75 @@ def test_repair_across_partitions(spark):
 
 def test_repair_of_no_rows(spark):
     assert repair.Repair(*repair.damaged(spark.createDataFrame([], SCHEMA))).report().collect() == []
+
+
+def paths(rows, led=True):
+    """By conversation its (rebuilt) turns."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn, role or "", text or ""))
+    own = {c: [x[1:] for x in sorted(r, key=order)] for c, r in own.items()}
+    if not led:
+        return own
+    h = {c: zlib.crc32(str(c).encode()) % 9 for c in own}
+    return {c: own.get(c - c % 5, [])[: h[c]] + r[h[c] :] for c, r in own.items()}
+
+
+def plain_tree(made):
+    members = defaultdict(list)
+    for c, r in made.items():
+        for d in range(len(r) + 1):
+            members[tuple(r[:d])].append(c)
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    total = {}
+    for p in sorted(members, key=len, reverse=True):
+        below = [total[c] for c in children[p]]
+        own = (len(members[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        total[p] = (sum(x for x, _ in below) or 1, own + sum(y for _, y in below))
+    ends = lambda p: ",".join(map(str, sorted(c for c in members[p] if len(made[c]) == len(p))))
+    return sorted((min(m), len(p), min(members[p[:-1]]) if p else -1, len(m), len(children[p]), *total[p], hashlib.sha256(ends(p).encode()).hexdigest()) for p, m in members.items())
+
+
+def grown(df):
+    return sorted(tuple(-1 if x is None else x for x in r) for r in df.select(*prefix_tree.COLUMNS).collect())
+
+
+@pytest.mark.parametrize("limit", [0, 6, prefix_tree.LOCAL_ROWS])
+def test_tree_of_odd_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(prefix_tree, "LOCAL_ROWS", limit)
+    monkeypatch.setattr(prefix_tree, "PACK_ROWS", 16)
+    rng = random.Random(4)
+    rows = conversations(6, 60)
+    start = [("user", "Hi."), ("assistant", "Yes?"), ("user", "é")]
+    for c in range(60, 160):  # snapshots of one conversation, and copies
+        n = rng.randrange(1, 9)
+        rows += [(c, t, *(start + [("user", f"{t % 3}")] * 9)[t]) for t in range(n)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", key string, depth int")
+    assert grown(prefix_tree.nodes(*prefix_tree.rebuilt(df))) == plain_tree(paths(rows))
+    assert grown(prefix_tree.tree(df)) == plain_tree(paths(rows, led=False))
+
+
+def test_tree_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(prefix_tree, "CHAIN", 7)
+    monkeypatch.setattr(prefix_tree, "PIECE", 20)
+    rows = [(c, t, "user", f"{t}") for c in (3, 4, 10) for t in range(400)] + [(c, 0, "user", "same") for c in range(20, 300)]
+    rows += [(11, 0, "user", "same")] * 50
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    try:
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert grown(prefix_tree.tree(df)) == plain_tree(paths(rows, led=False))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_tree_of_few_rows(spark):
+    assert prefix_tree.nodes(*prefix_tree.rebuilt(spark.createDataFrame([], SCHEMA))).collect() == []
+    for rows in ([(None, 0, "user", "x")], [(6, 0, "user", "x")], [(c, 0, "user", None) for c in (1, 2)]):
+        df = spark.createDataFrame(rows, SCHEMA)
+        made = paths(rows)
+        assert grown(prefix_tree.nodes(*prefix_tree.rebuilt(df))) == (plain_tree(made) if made else [])
