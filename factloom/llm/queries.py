@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, ego_join, katz, langid, minhash, mixing, prefix_tree, repair, simhash, suffix, trie_tokens, url_filter
+from factloom.llm import bpe, ego_join, katz, langid, minhash, mixing, prefix_tree, quality, repair, simhash, suffix, trie_tokens, url_filter
 from factloom.session import cut, table
 
 
@@ -76,6 +76,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.grouped(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~langid.held_out(F.col("doc_id"), 4, 2)))
+    return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.Repair(*repair.damaged(table(spark, sf_dir, "conversations"))).report()
 
@@ -85,7 +91,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op9_katz_scores, op10_minhash, op12_conversation_repair, op13_prefix_trie)
+    named = (op1_language_id, op2_simhash, op3_byte_bpe, op4_suffix_dedup, op5_token_counts, op6_embedding_near_dedup, op7_url_filter, op8_source_mix, op9_katz_scores, op10_minhash, op11_quality, op12_conversation_repair, op13_prefix_trie)
     return {f.__name__: f for f in named}
 
 
