@@ -18,7 +18,8 @@ covers every row.
 Defined results: null texts and texts without any letter are ``und`` with score 0; words without
 letters are neutral and take the language around them; a script seen in no language is neutral;
 equal scores go to the language first in code point order; with nothing to learn from all is
-``und``. Extra columns are carried through.
+``und``. Rows that repeat are labelled each, and alike: what stands beside a text does not matter.
+Empty tables give no rows. Extra columns are carried through.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ UNDETERMINED = "und"
 #: First code points of script ranges and the script that starts there.
 SCRIPTS = [
     (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"), (0x00AB, "none"),
-    (0x00C0, "latin"), (0x0250, "latin"), (0x02B0, "none"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
+    (0x00C0, "latin"), (0x00D7, "none"), (0x00D8, "latin"), (0x00F7, "none"), (0x00F8, "latin"), (0x0250, "latin"), (0x02B0, "none"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
     (0x0600, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "other_indic"), (0x0E00, "thai"), (0x0E80, "lao"),
     (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x1380, "other"),
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"),
-    (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0xFF00, "none"), (0xFF21, "latin"), (0xFF5B, "kana"),
+    (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "other"), (0xFF00, "none"), (0xFF21, "latin"), (0xFF3B, "none"), (0xFF41, "latin"), (0xFF5B, "none"), (0xFF66, "kana"),
     (0xFFA0, "hangul"), (0xFFE0, "none"), (0x10000, "other"), (0x20000, "han"),
 ]
 _NAMES = sorted({s for _, s in SCRIPTS} - {"none"})
@@ -75,11 +76,11 @@ def _words(column: pa.Array):
     """The padded lower-cased bytes of a column, the words' starts in them, the row offsets in
     the words, and the words' scripts (-1: no letter)."""
     data, off = utf8(column)
-    padded = np.insert(_LOWER[data], off[:-1], 32)
+    padded = np.insert(_LOWER[data], np.repeat(off[:-1], 2), 32)  # two, so that no 4-gram reaches the next text
     padded = np.concatenate([padded, np.full(3, 32, np.uint8)])
     space = padded == 32
     start = np.flatnonzero(~space[1:] & space[:-1]) + 1
-    rows = np.searchsorted(start, off + np.arange(len(off))).astype(np.int64)
+    rows = np.searchsorted(start, off + 2 * np.arange(len(off))).astype(np.int64)
     script = np.full(len(start), -1, dtype=np.int8)
     if len(start):
         ascii_letter = _ASCII_LETTER[padded]
@@ -250,10 +251,10 @@ def label(column: pa.Array, model: Model, penalty: float = PENALTY) -> list[tupl
     hard = np.flatnonzero(most > penalty)
     paths = dict(zip(hard.tolist(), viterbi([s[rows[has[j]] : rows[has[j] + 1]] for j in hard], penalty)))
     texts = None
-    lettered = np.add.reduceat((script >= 0).astype(np.int64), rows[:-1][has]) > 0
+    plain = np.add.reduceat(_ASCII_LETTER[padded], start[rows[:-1][has]], dtype=np.int64) > 0
     out = [und] * n
     for j, i in enumerate(has.tolist()):
-        if not lettered[j] or script[rows[i] : rows[i + 1]].max() != _LATIN:
+        if not plain[j]:  # script ranges also hold signs and marks
             texts = column if texts is None else texts
             if not _LETTER.search(texts[i].as_py() or ""):
                 continue

@@ -121,6 +121,60 @@ def test_viterbi_against_all_paths():
             assert abs(value(path.tolist()) - best) < 1e-9
 
 
+@pytest.mark.parametrize("text", ["3 × 4 = 12", "÷", "［＿］", "｛｜｝", "²³ ½", "£ € ¥", "１２３", "· — …"])
+def test_no_letter_no_language(docs, text):
+    model = langid.fit(docs)
+    got = langid.label(pa.array([text, f"{text} nicht größe"]), model)
+    assert got[0] == ("und", 0.0, []) and got[1][0] == "de"
+
+
+def plain_grams(text):
+    """(word, features) of a text: hashed 3- and 4-grams around each byte of a word."""
+    b = b"  " + re.sub(rb"[\x09-\x0D]", b" ", text.translate(LOWER).encode()) + b"   "
+    out, word = [], None
+    for i in range(1, len(b) - 3):
+        if b[i] == 32:
+            word = None
+            continue
+        if word is None:
+            word = []
+            out.append((b[i : b.index(32, i)], word))
+        three = b[i - 1] | b[i] << 8 | b[i + 1] << 16
+        four = three | b[i + 2] << 24
+        word += [(three * 2654435761 & 0xFFFFFFFF) >> 16, ((four ^ four >> 15) * 2246822519 & 0xFFFFFFFF) >> 16]
+    return out
+
+
+def test_predictions_against_a_plain_version(spark, docs, texts):
+    """Texts of Latin letters: counts, posteriors by word and the best path, all recomputed."""
+    rows = [(t, lang) for _, t, lang, _, _ in texts if t and lang]
+    langs = sorted({lang for _, lang in rows})
+    counts = {k: Counter(f for t, lang in rows if lang == k for _, w in plain_grams(t) for f in w) for k in langs}
+    log = lambda k, f: math.log((counts[k][f] + 0.5) / (sum(counts[k].values()) + 0.5 * langid.FEATURES))
+    model = langid.fit(docs)
+    assert model.languages == langs
+    asked = [t for t, _ in rows if len(t) < 400 and t.isascii() and re.search("[a-zA-Z]", t)] + ["the größe", "with the that das ist nicht auf große on are by"]
+    for text, (lang, score, spans) in zip(asked, langid.label(pa.array(asked), model)):
+        s = []
+        for w, feats in plain_grams(text):
+            x = np.array([sum(log(k, f) for f in feats) for k in langs])
+            x = np.maximum(x - x.max() - math.log(np.exp(x - x.max()).sum()), langid.FLOOR)
+            s.append(x if any(65 <= c < 123 or c > 127 for c in w) else 0 * x)
+        best, back = s[0], []
+        for x in s[1:]:
+            step = best[None] - langid.PENALTY * (1 - np.eye(len(langs)))
+            back.append(step.argmax(1))
+            best = step.max(1) + x
+        path = [int(best.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        path = path[::-1]
+        if len(set(path)) == 1:
+            total = sum(s)
+            assert (lang, score) == (langs[path[0]], pytest.approx(np.exp(total.max() - total.max()) / np.exp(total - total.max()).sum(), abs=1e-3))
+        assert [langs[p] for p in path] == [x for x, a, z in spans for _ in range(a, z)]
+
+
 # ---- 2 ------------------------------------------------------------------------------------
 
 
