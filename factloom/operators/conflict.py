@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.registry import HUMAN_EDITS, RUNGS, UNATTRIBUTED
+from factloom.session import cut
+
+#: Facts of one key up to which they are folded in one row, and so many longer histories are broadcast at most.
+HOT_FACTS, BROADCAST_KEYS = 10_000, 100_000
 
 SIDE = "struct<value:string,confidence:string,source_file:string,source_record_id:string>"
 DECISION = "struct<verdict:string,winner:string,reason:string>"
@@ -47,39 +51,69 @@ def reconcile(facts: DataFrame, mode: str = "reference") -> DataFrame:
     return fold(facts, mode=mode).select("node_id", "attribute", "value", "n_facts", "open")
 
 
+def _side(s: Column, value: Column) -> Column:
+    return F.struct(value.alias("value"), s["confidence"].alias("confidence"), s["source_file"].alias("source_file"), s["source_record_id"].alias("source_record_id"))
+
+
+def _state(value: Column, norm: Column, by: Column, open_: Column) -> Column:
+    return F.struct(value.alias("value"), norm.alias("norm"), by["confidence"].alias("confidence"), by["source_file"].alias("source_file"), by["source_record_id"].alias("source_record_id"), open_.alias("open"))
+
+
+def fresh(f: Column) -> Column:
+    """The state after a key's first fact."""
+    return _state(f["value"], f["norm"], f, F.lit(None).cast(OPEN))
+
+
+def step(s: Column, f: Column, mode: str = "reference") -> Column:
+    """The state after one more fact."""
+    d = decide(s, f)
+    equal = s["value"].eqNullSafe(f["value"])
+    takes = ~equal & d["winner"].eqNullSafe(F.lit("incoming"))
+    queued = ~equal & d["winner"].isNull()
+    first = F.coalesce(s["open"]["existing"], _side(s, s["value"]))
+    open_ = F.when(queued, F.struct(first.alias("existing"), _side(f, f["value"]).alias("incoming"), d["verdict"].alias("verdict"), d["reason"].alias("reason"))).otherwise(s["open"])
+    value, norm = F.when(takes, f["value"]).otherwise(s["value"]), F.when(takes, f["norm"]).otherwise(s["norm"])
+    if mode == "reference":
+        return _state(value, norm, f, open_)
+    keep = lambda c: F.when(takes | equal, f[c]).otherwise(s[c]).alias(c)
+    return F.struct(value.alias("value"), norm.alias("norm"), keep("confidence"), keep("source_file"), keep("source_record_id"), open_.alias("open"))
+
+
 def fold(facts: DataFrame, state: DataFrame | None = None, mode: str = "reference") -> DataFrame:
     """The state of every (node_id, attribute) that has facts: value, norm, the confidence and source
     it is defended with, n_facts and the open conflict. With an earlier `state` the facts come after
-    its own, which is the same as folding all of them, so history is not read again."""
+    its own, which is the same as folding all of them, so history is not read again.
+
+    Keys of more than HOT_FACTS facts, which are counted first, are folded in pieces over many tasks
+    (`fold_pieces`), the others as a row each. In mode "owner" every key is a row: what a value is
+    defended with then depends on all facts before, and its history has to fit."""
     if mode not in ("reference", "owner"):
         raise ValueError("mode is 'reference' or 'owner'")
+    if mode == "owner":
+        return _fold_rows(facts, state, mode)
+    from factloom.operators import fold_pieces
+
+    key = ["node_id", "attribute"]
+    hot = cut(facts.groupBy(*key).count().where(F.col("count") > HOT_FACTS).select(*key))
+    n = hot.limit(BROADCAST_KEYS + 1).count()
+    if not n:
+        return _fold_rows(facts, state, mode)
+    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    return _fold_rows(facts.join(hot, key, "left_anti"), state, mode).unionByName(fold_pieces.fold(facts.join(hot, key, "left_semi"), state))
+
+
+def _fold_rows(facts: DataFrame, state: DataFrame | None, mode: str) -> DataFrame:
     key = ["node_id", "attribute"]
     fact = F.struct("seq", "value", "norm", F.coalesce("confidence", F.lit("exact")).alias("confidence"), F.coalesce("source_file", F.lit(UNATTRIBUTED)).alias("source_file"), F.coalesce("source_record_id", F.lit(UNATTRIBUTED)).alias("source_record_id"))
     rows = facts.groupBy(*key).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
-    side = lambda s, v: F.struct(v.alias("value"), s["confidence"].alias("confidence"), s["source_file"].alias("source_file"), s["source_record_id"].alias("source_record_id"))
-    make = lambda value, norm, by, open_: F.struct(value.alias("value"), norm.alias("norm"), by["confidence"].alias("confidence"), by["source_file"].alias("source_file"), by["source_record_id"].alias("source_record_id"), open_.alias("open"))
-
-    def step(s: Column, f: Column) -> Column:
-        d = decide(s, f)
-        equal = s["value"].eqNullSafe(f["value"])
-        takes = ~equal & d["winner"].eqNullSafe(F.lit("incoming"))
-        queued = ~equal & d["winner"].isNull()
-        first = F.coalesce(s["open"]["existing"], side(s, s["value"]))
-        open_ = F.when(queued, F.struct(first.alias("existing"), side(f, f["value"]).alias("incoming"), d["verdict"].alias("verdict"), d["reason"].alias("reason"))).otherwise(s["open"])
-        value, norm = F.when(takes, f["value"]).otherwise(s["value"]), F.when(takes, f["norm"]).otherwise(s["norm"])
-        if mode == "reference":
-            return make(value, norm, f, open_)
-        keep = lambda c: F.when(takes | equal, f[c]).otherwise(s[c]).alias(c)
-        return F.struct(value.alias("value"), norm.alias("norm"), keep("confidence"), keep("source_file"), keep("source_record_id"), open_.alias("open"))
-
-    fresh = make(F.col("facts")[0]["value"], F.col("facts")[0]["norm"], F.col("facts")[0], F.lit(None).cast(OPEN))
+    begin = fresh(F.col("facts")[0])
     later, before = F.slice("facts", F.lit(2), F.size("facts")), F.lit(0).cast("long")
     if state is not None:
         held = F.struct("value", "norm", "confidence", "source_file", "source_record_id", "open")
         rows = rows.join(state.select(*key, held.alias("held"), F.col("n_facts").alias("n_held")), key, "left")
         known = F.col("held").isNotNull()
-        fresh, later, before = F.when(known, F.col("held")).otherwise(fresh), F.when(known, F.col("facts")).otherwise(later), F.coalesce("n_held", before)
-    folded = rows.withColumn("s", F.aggregate(later, fresh, step))
+        begin, later, before = F.when(known, F.col("held")).otherwise(begin), F.when(known, F.col("facts")).otherwise(later), F.coalesce("n_held", before)
+    folded = rows.withColumn("s", F.aggregate(later, begin, lambda s, f: step(s, f, mode)))
     return folded.select(*key, "s.*", (F.size("facts") + before).cast("long").alias("n_facts"))
 
 
