@@ -3,10 +3,19 @@ paths of many pairs, quantiles, identities, and vectors made once."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.operators import conflict
-from factloom.session import table
+from factloom.operators.store import Store
+from factloom.operators.text_store import TextStore
+from factloom.session import cut, remove, shared_dir, table
+
+
+def _scratch(s):
+    """A folder for what a query stores; it is removed when the query's rows are kept elsewhere."""
+    return f"{shared_dir(s)}/stored-{uuid.uuid4().hex}"
 
 
 def _pick(c, *v):
@@ -72,6 +81,32 @@ SELECT node_id, arg_max(value, seq) FILTER (start) AS value, count(*) AS n_facts
 FROM x GROUP BY node_id"""
 
 
+def _bm25_indexed(s, d):
+    """Documents indexed in two parts and one replaced text; every id divisible by 20 is a query."""
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("id"), "text")
+    root = _scratch(s)
+    index = TextStore(Store(s, root))
+    old = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("an earlier text "), F.col("text"))).otherwise(F.col("text"))
+    index.add(docs.where("doc_id % 3 <> 0").select("id", old.alias("text")))
+    index.add(docs.where("doc_id % 3 = 0 or doc_id % 7 = 0").select("id", "text"))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+    found = cut(index.search(asked, 10, digits=6).select("qid", "id", "score", F.col("rank").cast("long").alias("rank")))
+    remove(s, root)
+    return found
+
+
+_BM25_INDEXED = """
+WITH d AS (SELECT doc_id, 'doc:' || doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+l AS (SELECT id, coalesce(len(w), 0) AS dl FROM d), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+qt AS (SELECT DISTINCT doc_id AS qid, unnest(w) AS term FROM d WHERE doc_id % 20 = 0),
+p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+bm AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+  FROM qt JOIN p USING (term) JOIN df USING (term) JOIN l USING (id), tot GROUP BY qid, id)
+SELECT qid, id, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM bm) WHERE r <= 10"""
+
+
 QUERIES = {
     "reconcile_hot": (_reconcile_hot, _RECONCILE_HOT),
+    "bm25_indexed": (_bm25_indexed, _BM25_INDEXED),
 }
