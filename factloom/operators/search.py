@@ -67,56 +67,70 @@ def fulltext(index: TextIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked(bm25(index, queries).select("qid", "id", squash(F.col("score")).alias("score")), k)
 
 
-def _block_best(k: int, slack: float):
-    """The best k of one block of queries (side 0) in one block of vectors (side 1), and what is
-    within `slack` of the last of them. Products find candidates; their scores are added up from
-    left to right, so that equal vectors score alike wherever they stand."""
+def rounded(score: np.ndarray, digits: int | None) -> np.ndarray:
+    return score if digits is None else np.floor(score * 10.0**digits + 0.5) / 10.0**digits
+
+
+def block_best(k: int, digits: int | None = None):
+    """The k best of one block of queries (side 0) in one block of vectors (side 1), by score (rounded
+    to `digits`, if given) and then id: k rows a query at most, however many vectors are equal.
+    Products find candidates; their scores are added up from left to right, so that equal vectors
+    score alike wherever they stand. Zero vectors have no direction and no score."""
+    slack = 1e-9 + (0.0 if digits is None else 10.0**-digits)
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        key = table.column("key").to_pylist()
+        key = np.array(table.column("key").to_pylist(), dtype=object)
         v = table.column("vector").combine_chunks()
         v = v.flatten().to_numpy().reshape(len(v), -1)
         norm = np.sqrt(np.cumsum(v * v, axis=1)[:, -1])
-        if not norm.all():
-            raise ValueError("a zero vector has no direction")
-        q, d = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[tuple[list, list, np.ndarray]] = []
-        unit = v / norm[:, None]
+        q, d = np.flatnonzero((side == 0) & (norm > 0)), np.flatnonzero((side == 1) & (norm > 0))
+        if len(d):
+            d = d[np.argsort([x.encode() for x in key[d]], kind="stable")]  # so that places order as ids do
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        unit = v / np.where(norm > 0, norm, 1)[:, None]
         for a in range(0, len(q), 256) if len(d) else ():
             part = q[a : a + 256]
             s = unit[part] @ unit[d].T
             n = min(k, len(d))
             least = np.partition(s, len(d) - n, axis=1)[:, len(d) - n]
-            x, y = np.nonzero(s >= least[:, None] - slack - 1e-9)
-            x, y = part[x], d[y]
+            x, y = np.nonzero(s >= least[:, None] - slack)
+            score = np.empty(len(x))
             for b in range(0, len(x), 1 << 16):
-                i, j = x[b : b + (1 << 16)], y[b : b + (1 << 16)]
-                score = np.cumsum(v[j] * v[i], axis=1)[:, -1] / (norm[j] * norm[i])
-                out.append(([key[t] for t in i], [key[t] for t in j], score))
-        return pa.table({"qid": pa.array([t for o in out for t in o[0]], pa.string()), "id": pa.array([t for o in out for t in o[1]], pa.string()), "score": pa.array(np.concatenate([o[2] for o in out]) if out else [], pa.float64())})
+                i, j = part[x[b : b + (1 << 16)]], d[y[b : b + (1 << 16)]]
+                score[b : b + (1 << 16)] = np.cumsum(v[j] * v[i], axis=1)[:, -1] / (norm[j] * norm[i])
+            score = rounded(score, digits)
+            best = np.lexsort((y, -score, x))
+            start = np.searchsorted(x[best], np.arange(len(part)))
+            best = best[np.arange(len(best)) - start[x[best]] < k]
+            out.append((part[x[best]], d[y[best]], score[best]))
+        pick = lambda t: np.concatenate([o[t] for o in out]) if out else np.zeros(0, np.int64)
+        return pa.table({"qid": pa.array(key[pick(0)], pa.string()), "id": pa.array(key[pick(1)], pa.string()), "score": pa.array(pick(2), pa.float64())})
 
     return run
 
 
+#: Vectors that have a score: some length, and no element that is null or no finite number.
+WHOLE = "vector is not null and size(vector) > 0 and not exists(vector, x -> x is null or not abs(x) < double('Infinity'))"
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 30, digits: int | None = None) -> DataFrame:
     """Exact cosine top-k of queries (qid, vector) over vectors (id, vector), by score (rounded to
     `digits`, if given) and then id. Blocks of queries are compared with blocks of vectors, so both
-    sides may grow; what has a null vector, an element that is no finite number, or another length, has no score and is no hit."""
+    sides may grow; what is null or zero, has an element that is no finite number, or another length,
+    has no score and is no hit."""
     spark = vectors.sparkSession
     ship(spark)
-    whole = "vector is not null and size(vector) > 0 and not exists(vector, x -> x is null or not abs(x) < double('Infinity'))"
     as_doubles = F.col("vector").cast("array<double>").alias("vector")
-    q, v = queries.select(F.col("qid").cast("string").alias("key"), as_doubles).where(whole), vectors.select(F.col("id").alias("key"), as_doubles).where(whole)
+    q, v = queries.select(F.col("qid").cast("string").alias("key"), as_doubles).where(WHOLE), vectors.select(F.col("id").alias("key"), as_doubles).where(WHOLE)
     blocks = [max(1, -(-x.count() // BLOCK_ROWS)) for x in (q, v)]
     place = [F.pmod(F.xxhash64("key"), F.lit(n)).cast("int") for n in blocks]
     every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
     both = q.select(F.lit(0).alias("side"), "key", "vector", place[0].alias("a"), every[1].alias("b"))
     both = both.unionByName(v.select(F.lit(1).alias("side"), "key", "vector", every[0].alias("a"), place[1].alias("b")))
     both = both.withColumn("width", F.size("vector"))
-    found = both.groupBy("a", "b", "width").applyInArrow(_block_best(k, 0.0 if digits is None else 10.0**-digits), "qid string, id string, score double")
-    found = found.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType))
-    return ranked(found if digits is None else found.withColumn("score", F.round("score", digits)), k)
+    found = both.groupBy("a", "b", "width").applyInArrow(block_best(k, digits), "qid string, id string, score double")
+    return ranked(found.withColumn("qid", F.col("qid").cast(queries.schema["qid"].dataType)), k)
 
 
 def rrf(vector: DataFrame, lexical: DataFrame, k: int = 10) -> DataFrame:

@@ -17,9 +17,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache", "attributes", "text_docs", "text_terms", "text_totals", "text_postings", "text_stale")
+TABLES = (
+    "nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache", "attributes",
+    "text_docs", "text_terms", "text_totals", "text_postings", "text_stale", "vec_centroids", "vec_lists", "vec_ids", "vec_stats", "vec_stale",
+)
 #: Tables in which a later row of the same key replaces an earlier one.
-KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"], "text_docs": ["id"]}
+KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"], "text_docs": ["id"], "vec_ids": ["id"]}
 #: So many parts a table has at most before it is written as one.
 PARTS = 16
 

@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from factloom.operators import conflict
+from factloom.operators import conflict, search
 from factloom.operators.store import Store
 from factloom.operators.text_store import TextStore
+from factloom.operators.vector_store import VectorStore
 from factloom.session import cut, remove, shared_dir, table
 
 
@@ -106,7 +107,48 @@ bm AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUB
 SELECT qid, id, score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM bm) WHERE r <= 10"""
 
 
+def _indexed_vectors(s, d, root):
+    """The embeddings filed in two parts, the second of which replaces some vectors of the first."""
+    e = table(s, d, "embeddings").select("vec_id", F.concat(F.lit("doc:"), "vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    index = VectorStore(Store(s, root))
+    index.train(e)
+    old = F.when(F.col("vec_id") % 11 == 0, F.reverse("vector")).otherwise(F.col("vector"))
+    index.add(e.where("vec_id % 4 <> 0").select("id", old.alias("vector")))
+    index.add(e.where("vec_id % 4 = 0 or vec_id % 11 = 0"))
+    return index, e.select("id", "vector"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "vector")
+
+
+def _vector_indexed(s, d):
+    """Exact top 10 of every row whose id is divisible by 20, by way of the index."""
+    root = _scratch(s)
+    index, _, asked = _indexed_vectors(s, d, root)
+    found = cut(index.search(asked, 10, exact=True, digits=6).select("qid", "id", "score"))
+    remove(s, root)
+    return found
+
+
+def _vector_probed(s, d):
+    """By query, how many of its exact top 10 are found in its nearest lists."""
+    root = _scratch(s)
+    index, vectors, asked = _indexed_vectors(s, d, root)
+    found = index.search(asked, 10, digits=6).select("qid", "id", F.lit(1).alias("hit"))
+    exact = search.vector_search(vectors, asked, 10, digits=6)
+    out = cut(exact.join(found, ["qid", "id"], "left").groupBy("qid").agg(F.count("*").alias("n"), F.count("hit").alias("n_found")))
+    remove(s, root)
+    return out
+
+
+_VECTOR_INDEXED = """
+WITH vec AS (
+  SELECT b.vec_id AS qid, 'doc:' || a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0
+)
+SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vec) WHERE r <= 10"""
+
+
 QUERIES = {
     "reconcile_hot": (_reconcile_hot, _RECONCILE_HOT),
     "bm25_indexed": (_bm25_indexed, _BM25_INDEXED),
+    "vector_indexed": (_vector_indexed, _VECTOR_INDEXED),
+    "vector_probed": (_vector_probed, None),
 }
