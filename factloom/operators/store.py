@@ -2,31 +2,45 @@
 
 All tables of a write become visible at once, with a new pointer file of the next number; the
 highest whole one counts. A pointer is never overwritten: a failed write leaves the old version
-current, and of two writers at once the second fails.
+current. Of two writers at once the second takes the first one's tables over into its own pointer,
+unless both changed one table; then it fails. `cleaned` removes what no pointer names.
 
 A table is a list of parts. `add` writes one part more, so its cost is that of the new rows; in a
-table with a key the latest part's row of each key counts. Every ``PARTS`` parts a table is written
-as one.
+table with a key the latest part's row of each key counts. `delete` adds a part of conditions, which
+hold for all earlier parts: a row that equals one of them in its columns is gone, a later one is not.
+Every ``PARTS`` parts a table is written as one, without what is gone.
+
+Parts of keyed tables are range-partitioned and sorted by their key, with Bloom filters on it, and the
+range of each file is kept beside the part. `touched` opens only files that can hold one of few keys.
 """
 
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.session import cut
+
 TABLES = (
-    "nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache", "attributes",
+    "nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache", "attributes", "edge_attributes",
     "text_docs", "text_terms", "text_totals", "text_postings", "text_stale", "vec_centroids", "vec_lists", "vec_ids", "vec_stats", "vec_stale",
 )
 #: Tables in which a later row of the same key replaces an earlier one.
-KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"], "text_docs": ["id"], "vec_ids": ["id"]}
+KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "edge_attributes": ["edge_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"], "text_docs": ["id"], "vec_ids": ["id"]}
 #: So many parts a table has at most before it is written as one.
 PARTS = 16
 
 
+#: Keys, at most, that files are chosen by; beyond, a table is read and joined.
+FEW_KEYS = 1000
+#: Marks a part of conditions in a pointer.
+_GONE = "!"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -35,17 +49,21 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.root}/{folder}" if folder else self.root)
+        return [str(f.getPath().getName()) for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
     def _pointers(self) -> list[str]:
         """The pointer files, the newest first."""
-        names = (str(f.getPath().getName()) for f in self._fs.listStatus(self._path(self.root)))
-        return sorted((n for n in names if n.startswith("CURRENT-")), reverse=True)
+        return sorted((n for n in self._names("") if n.startswith("CURRENT-")), reverse=True)
+
+    def _pointer(self, name: str) -> dict[str, str] | None:
+        """The tables that a pointer names, None if its writer failed."""
+        lines = [r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()]
+        return dict(line.split("\t") for line in lines[:-1]) if lines and lines[-1] == "end" else None
 
     def _current(self) -> dict[str, str]:
-        for name in self._pointers():
-            lines = [r[0] for r in self.spark.read.text(f"{self.root}/{name}").collect()]
-            if lines and lines[-1] == "end":  # else its writer failed
-                return dict(line.split("\t") for line in lines[:-1])
-        return {}
+        return next((t for t in map(self._pointer, self._pointers()) if t is not None), {})
 
     def has(self, name: str) -> bool:
         return name in self._current()
@@ -55,16 +73,52 @@ class Store:
 
     def touched(self, name: str, keys: DataFrame) -> DataFrame | None:
         """The rows of a keyed table whose keys are in `keys`, None without such a table. Parts are
-        filtered before their rows are compared, so only touched rows are shuffled."""
+        filtered before their rows are compared, so only touched rows are shuffled; for few keys,
+        only files whose range has one of them are opened."""
         now = self._current()
         return self._latest(name, now[name].split(","), keys.select(*KEYS[name]).distinct()) if name in now else None
 
+    def _ranges(self, name: str, parts: list[str]) -> dict[str, list]:
+        """By part its files with the least and greatest first key; a part without ranges is read whole."""
+        kept = [f"{p}.ranges" for p in parts if self._fs.exists(self._path(f"{self.root}/{p}.ranges"))]
+        out: dict[str, list] = {k.removesuffix(".ranges"): [] for k in kept}
+        if kept:
+            rows = self.spark.read.parquet(*[f"{self.root}/{k}" for k in kept]).select("part", "file", "low", "high").collect()
+            for r in rows:
+                out[r["part"]].append((r["file"], r["low"], r["high"]))
+        return out
+
     def _latest(self, name: str, parts: list[str], keys: DataFrame | None = None) -> DataFrame:
-        only = (lambda d: d) if keys is None else lambda d: d.join(keys, KEYS[name], "left_semi")
-        if name not in KEYS or len(parts) == 1:
-            return only(self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts]))
-        each = [only(self.spark.read.parquet(f"{self.root}/{p}")).withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+        rows, gone = [(k, p) for k, p in enumerate(parts) if not p.startswith(_GONE)], [(k, p[1:]) for k, p in enumerate(parts) if p.startswith(_GONE)]
+        only, files = (lambda d: d), {}
+        if keys is not None:
+            first = KEYS[name][0]
+            few = sorted({r[0] for r in keys.select(first).where(F.col(first).isNotNull()).limit(FEW_KEYS + 1).collect()})
+            if len(few) <= FEW_KEYS:
+                ranges = self._ranges(name, [p for _, p in rows])
+                hit = lambda low, high: bisect_left(few, low) < bisect_right(few, high)
+                files = {p: [f"{self.root}/{p}/{f}" for f, low, high in r if low is None or hit(low, high)] for p, r in ranges.items()}
+                only = lambda d: d.where(F.col(first).isin(few)).join(F.broadcast(keys), KEYS[name], "left_semi")
+            else:
+                only = lambda d: d.join(keys, KEYS[name], "left_semi")
+        each = []
+        for k, p in rows:
+            whole = self.spark.read.schema(self.spark.read.parquet(f"{self.root}/{p}").schema)
+            d = whole.parquet(*files[p]) if files.get(p) else whole.parquet(f"{self.root}/{p}")
+            each.append((d.limit(0) if p in files and not files[p] else only(d)).withColumn("_part", F.lit(k)))
         union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), each)
+        conditions: dict[tuple, DataFrame] = {}
+        for k, p in gone:
+            d = self.spark.read.parquet(f"{self.root}/{p}").withColumn("_until", F.lit(k))
+            cols = tuple(sorted(d.columns))
+            conditions[cols] = conditions[cols].unionByName(d) if cols in conditions else d
+        for cols, d in conditions.items():
+            on = [c for c in cols if c != "_until"]
+            d = d.groupBy(*on).agg(F.max("_until").alias("_until")).withColumnsRenamed({c: f"_c_{c}" for c in on})
+            match = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_c_{c}") for c in on])
+            union = union.join(d, match & (F.col("_part") < F.col("_until")), "left_anti")
+        if name not in KEYS or len(rows) == 1:
+            return union.drop("_part")
         rest = [c for c in union.columns if c not in (*KEYS[name], "_part")]
         if not rest:
             return union.select(*KEYS[name]).distinct()
@@ -81,25 +135,112 @@ class Store:
     def append(self, name: str, df: DataFrame) -> None:
         self.add(**{name: df})
 
-    def _commit(self, tables: dict[str, DataFrame], replace: bool) -> None:
-        if unknown := set(tables) - set(TABLES):
+    def delete(self, **conditions: DataFrame | list[DataFrame]) -> None:
+        """Rows of several tables that equal a row of the table's conditions, in its columns, are gone,
+        all at once. Tables that are not there are left alone."""
+        self._commit({}, replace=False, gone={n: d if isinstance(d, list) else [d] for n, d in conditions.items() if self.has(n)})
+
+    def _written(self, name: str, part: str, df: DataFrame) -> None:
+        keys = KEYS.get(name)
+        if not keys:
+            df.write.parquet(f"{self.root}/{part}")
+            return
+        once = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{name}: several rows of one key in a part")))
+        df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(once).drop("_n")
+        sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        sorted_.write.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").parquet(f"{self.root}/{part}")
+        stored = self.spark.read.parquet(f"{self.root}/{part}").select(keys[0], F.col("_metadata.file_name").alias("file"))
+        stored.groupBy("file").agg(F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")).withColumn("part", F.lit(part)).coalesce(1).write.parquet(f"{self.root}/{part}.ranges")
+
+    def _commit(self, tables: dict[str, DataFrame], replace: bool, gone: dict[str, list[DataFrame]] | None = None) -> None:
+        gone = gone or {}
+        if unknown := (set(tables) | set(gone)) - set(TABLES):
             raise ValueError(f"unknown tables {sorted(unknown)}")
         version = uuid.uuid4().hex
         number = int(next(iter(self._pointers()), "CURRENT-0").split("-")[1]) + 1
-        now = self._current()
+        base = self._current()
+        now = dict(base)
         for name, df in tables.items():
             new = f"{name}/{version}"
-            df.write.parquet(f"{self.root}/{new}")
-            parts = [new] if replace or name not in now else [*now[name].split(","), new]
+            self._written(name, new, df)
+            now[name] = new if replace or name not in now else f"{now[name]},{new}"
+        for name, conditions in gone.items():
+            for k, df in enumerate(conditions):
+                new = f"{name}/{version}-gone{k}"
+                df.distinct().write.parquet(f"{self.root}/{new}")
+                now[name] += f",{_GONE}{new}"
+        for name in {*tables, *gone}:
+            parts = now[name].split(",")
             if len(parts) > PARTS:
                 whole = f"{name}/{version}-whole"
-                self._latest(name, parts).write.parquet(f"{self.root}/{whole}")
-                parts = [whole]
-            now[name] = ",".join(parts)
-        out = self._fs.create(self._path(f"{self.root}/CURRENT-{number:012d}"), False)
-        out.write(bytearray("".join([*(f"{k}\t{v}\n" for k, v in sorted(now.items())), "end\n"]).encode()))
+                self._written(name, whole, self._latest(name, parts))
+                now[name] = whole
+        self._point(number, now, base, {*tables, *gone})
+
+    def _point(self, number: int, now: dict[str, str], base: dict[str, str], changed: set[str]) -> None:
+        """Create the next pointer. If another writer has been faster, its tables are taken over and
+        the next number tried; a table that both have changed is an error."""
+        text = "".join([*(f"{k}\t{v}\n" for k, v in sorted(now.items())), "end\n"])
+        path = self._path(f"{self.root}/CURRENT-{number:012d}")
+        if self._fs.exists(path):
+            theirs = self._pointer(f"CURRENT-{number:012d}")
+            if theirs is not None:
+                if both := sorted(t for t in changed if theirs.get(t) != base.get(t)):
+                    raise FileExistsError(f"another writer has changed {', '.join(both)}: {path.getName()} exists")
+                now, base = theirs | {t: now[t] for t in changed}, theirs
+            return self._point(number + 1, now, base, changed)
+        try:
+            out = self._fs.create(path, False)
+        except Exception:
+            if self._fs.exists(path):
+                return self._point(number, now, base, changed)
+            raise
+        out.write(bytearray(text.encode()))
         out.close()
 
+    def cleaned(self, keep: int = 1) -> list[str]:
+        """Remove the parts that none of the newest `keep` whole pointers names, and the older pointers;
+        gives the parts. Not while another writes: its parts have no pointer yet."""
+        pointers = self._pointers()
+        whole = [p for p in pointers if self._pointer(p) is not None][:keep]
+        named = {x.removeprefix(_GONE) for p in whole for parts in self._pointer(p).values() for x in parts.split(",")}
+        out = []
+        for table in TABLES:
+            for part in sorted({n.removesuffix(".ranges") for n in self._names(table)}):
+                if f"{table}/{part}" not in named:
+                    out.append(f"{table}/{part}")
+                    for name in (part, f"{part}.ranges"):
+                        self._fs.delete(self._path(f"{self.root}/{table}/{name}"), True)
+        for p in pointers:
+            if whole and p < whole[-1]:
+                self._fs.delete(self._path(f"{self.root}/{p}"), False)
+        return out
+
+
+def delete_stored_nodes(store: Store, ids: DataFrame) -> None:
+    """Nodes (id) with the edges at them, the provenance and attributes of both, and their conflicts,
+    in one version; raw records stay. A node that is added again has none of its old facts."""
+    ids = ids.select("id").distinct()
+    node = ids.select(F.col("id").alias("node_id"))
+    edges = None
+    if store.has("edges"):
+        e = store.read("edges").select("id", "src", "dst")
+        at = lambda end: e.join(ids.select(F.col("id").alias(end)), end, "left_semi").select("id")
+        edges = cut(at("src").union(at("dst")).distinct())
+    gone: dict[str, list[DataFrame]] = {"nodes": [ids], "attributes": [node], "provenance": [node], "conflicts": [node]}
+    if edges is not None:
+        edge = edges.select(F.col("id").alias("edge_id"))
+        gone |= {"edges": [edges], "edge_attributes": [edge]}
+        gone["provenance"].append(edge)
+    store.delete(**gone)
+
+
+def delete_stored_edges(store: Store, ids: DataFrame) -> None:
+    """Edges (id) with their provenance and attributes, in one version."""
+    ids = ids.select("id").distinct()
+    edge = ids.select(F.col("id").alias("edge_id"))
+    store.delete(edges=ids, edge_attributes=edge, provenance=edge)
+
 
 def raw_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Records by (source_file, source_record_id): new ones are added, known ones replaced only
