@@ -43,7 +43,7 @@ from factloom.session import cut, discard, release, ship
 WIDTH = 50
 GRAM = 24
 PACK_BYTES = 4 << 20
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 24 << 20
 STRETCH = 1 << 15
 #: Segments of so many widths hold a short period.
