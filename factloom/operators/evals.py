@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import jsonpath
+from factloom.operators.quantiles import quantiles
 
 #: Argument keys whose values name an entity.
 ID_KEYS = ("emp_id", "sender_emp_id", "recipient_emp_id", "product_id", "conversation_id", "customer_id", "client_id", "repo_name", "vendor_id")
@@ -38,21 +39,19 @@ def recall_at(items: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return items.select("qid").join(found, "qid", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
 
 
-def latency(rows: DataFrame, value: str = "latency_ms") -> DataFrame:
-    return rows.agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"))
+def latency(rows: DataFrame, value: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
+    """p50 and p95 by linear interpolation, of each group of `by`; without groups one row, of nulls if
+    there is no value. Ranks are found by counting (`quantiles`): no task holds all distinct values."""
+    q = quantiles(rows, value, [0.5, 0.95], by)
+    both = [F.max(F.when(F.col("q") == x, F.col("value"))).alias(n) for n, x in (("p50", 0.5), ("p95", 0.95))]
+    return q.groupBy(*by).agg(*both) if by else q.agg(*both)
 
 
-def p95_exclusive(rows: DataFrame, value: str) -> DataFrame:
+def p95_exclusive(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """The 19th of 20 cut points by the exclusive method: between, or beyond, the two values next to
-    position (n + 1) * 0.95 in the order. Spark finds the two from counts of distinct values; nothing
-    is collected. One value is its own cut point, none gives null."""
-    n = rows.where(F.col(value).isNotNull()).count()
-    if n < 2:
-        return rows.agg(F.max(value).cast("double").alias("p95"))
-    at = min(max((n + 1) * 19 // 20, 1), n - 1)
-    part = ((n + 1) * 19 - at * 20) / 20
-    both = rows.agg(F.percentile(value, [(at - 1) / (n - 1), at / (n - 1)]).alias("p"))
-    return both.select((F.col("p")[0] * (1 - part) + F.col("p")[1] * part).alias("p95"))
+    position (n + 1) * 0.95 in the order. One value is its own cut point; without groups none gives null."""
+    q = quantiles(rows, value, [0.95], by, exclusive=True)
+    return q.select(*by, F.col("value").alias("p95")) if by else q.agg(F.max("value").alias("p95"))
 
 
 def escalation(runs: DataFrame, tiers: list[str]) -> DataFrame:

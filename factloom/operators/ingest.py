@@ -15,16 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.functions import jsonpath
 from factloom.functions.text import NULLING, cache_key, content_hash, edge_id, get_transformer
+from factloom.operators.fingerprint import leaf_paths, type_fingerprint  # noqa: F401
 from factloom.operators.workflows import CachedExtractor, grounded
 from factloom.plans.spec import FieldMap, MappingSpec, ModelBlock, NodeRule, predicate
 from factloom.session import cut, ship
 
 SEEN = ["spec_version", "source_file", "source_record_id", "content_hash"]
 ANSWERS = "block string, key string, items array<string>, error string"
+FACTS = "array<struct<attribute:string,value:string,raw_value:string,source_field:string>>"
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,7 @@ class Ingested:
     seen: DataFrame
     items: DataFrame | None = None  # of model blocks: every item kept, with its grade and what became of it
     answers: DataFrame | None = None  # of model blocks: block, key, items, error; those without error serve as `cache`
+    edge_fields: bool = False  # whether the spec gives edges attributes; they are in `provenance`, by edge_id
 
 
 def _field(variant: Column, f: FieldMap) -> tuple[Column, Column, Column, Column]:
@@ -57,6 +59,12 @@ def _field(variant: Column, f: FieldMap) -> tuple[Column, Column, Column, Column
     return value, text, which, error
 
 
+def _facts(fields: list[FieldMap], values: list[tuple[Column, ...]]) -> Column:
+    """The attributes that a rule's fields make, those without a value left out."""
+    each = [F.struct(F.lit(f.attribute).alias("attribute"), x[0].alias("value"), x[1].alias("raw_value"), x[2].alias("source_field")) for f, x in zip(fields, values)]
+    return F.filter(F.array(*each) if each else F.array().cast(FACTS), lambda a: a["value"].isNotNull())
+
+
 def node_id(variant: Column, rule: NodeRule) -> Column:
     """The rule's id, null where a variable is missing, null or empty."""
     parts: list[Column] = []
@@ -127,8 +135,7 @@ def _materialised(out: DataFrame, spec: MappingSpec, block: ModelBlock, extracto
         fields = [_field(v, f) for f in rule.fields]
         id_ = node_id(v, rule)
         error = F.coalesce(F.when(id_.isNull(), F.lit(f"{name}: no id")), *[f[3] for f in fields])
-    facts_of = F.array(*[F.struct(F.lit(f.attribute).alias("attribute"), y[0].alias("value"), y[1].alias("raw_value"), y[2].alias("source_field")) for f, y in zip(rule.fields, fields)]) if fields else F.array().cast("array<struct<attribute:string,value:string,raw_value:string,source_field:string>>")
-    x = x.withColumns({"error": error, "id": F.when(error.isNull(), id_), "attributes": F.filter(facts_of, lambda a: a["value"].isNotNull())})
+    x = x.withColumns({"error": error, "id": F.when(error.isNull(), id_), "attributes": _facts(rule.fields if name else [], fields)})
     items = x.select(F.lit(block.name).alias("block"), F.lit(block.model).alias("model"), *place, "key", "item", "surface", "confidence", "model_self_score", F.col("id").alias("node_id"), "error")
     made = x.where("id is not null")
     nodes = made.select(*place, F.lit(number.get(name)).cast("int").alias("rule"), F.lit(spec.type_of(rule) if name else None).cast("string").alias("type"), "id", "attributes")
@@ -166,11 +173,20 @@ def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = Non
         fields = [_field(v, f) for f in rule.fields]
         required = [F.when(F.coalesce(jsonpath.first(v, f"$.{x}" if not x.startswith("$") else x), F.lit("null")).isin("null", '""'), F.lit(f"{x}: required for the id")) for x in rule.id_required_fields]
         errors = F.coalesce(*[f[3] for f in fields], *required, F.lit(None).cast("string"))
-        attributes = F.array(*[F.struct(F.lit(f.attribute).alias("attribute"), x[0].alias("value"), x[1].alias("raw_value"), x[2].alias("source_field")) for f, x in zip(rule.fields, fields)]) if rule.fields else F.array().cast("array<struct<attribute:string,value:string,raw_value:string,source_field:string>>")
-        columns[f"n{k}"] = F.when(applies, F.struct(node_id(v, rule).alias("id"), errors.alias("error"), F.filter(attributes, lambda a: a["value"].isNotNull()).alias("attributes")))
+        columns[f"n{k}"] = F.when(applies, F.struct(node_id(v, rule).alias("id"), errors.alias("error"), _facts(rule.fields, fields).alias("attributes")))
+    number = {n.name: k for k, n in enumerate(spec.nodes)}
     r = r.withColumn("source_record_id", node_id(v, primary)).withColumns(columns)
+    links_of = {}
+    for k, rule in enumerate(spec.edges):
+        a, b = F.col(f"n{number[rule.source_node[1:]]}.id"), F.col(f"n{number[rule.target_node[1:]]}.id")
+        fields = [_field(v, f) for f in rule.fields]
+        errors = F.coalesce(*[f[3] for f in fields], F.lit(None).cast("string"))
+        made = F.struct(edge_id(a, F.lit(rule.canonical_type), b).alias("id"), a.alias("src"), b.alias("dst"), F.lit(rule.canonical_type).alias("relation_type"), errors.alias("error"), _facts(rule.fields, fields).alias("attributes"))
+        links_of[f"e{k}"] = F.when(predicate(rule.when, v) & a.isNotNull() & b.isNotNull(), made)
+    r = r.withColumns(links_of)
     bad = [F.when(F.col("v").isNull(), F.lit("not JSON")), F.when(F.col("source_record_id").isNull(), F.lit(f"{primary.name}: no id"))]
     bad += [F.when(F.col(f"n{k}.id").isNotNull(), F.col(f"n{k}.error")) for k in range(len(spec.nodes))]
+    bad += [F.col(f"{e}.error") for e in links_of]
     r = r.withColumn("error", F.coalesce(*bad, F.lit(None).cast("string"))).drop("v")
     if ledger is not None:
         r = r.join(ledger.select(*SEEN).distinct().withColumn("_old", F.lit(True)), SEEN, "left")
@@ -188,15 +204,14 @@ def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = Non
         nodes = nodes.unionByName(e)
     facts = nodes.select(*place, "rule", F.col("id").alias("node_id"), F.explode("attributes").alias("a")).select(*place, "rule", "node_id", "a.*")
     provenance = facts.select("node_id", F.lit(None).cast("string").alias("edge_id"), "attribute", "value", "raw_value", F.lit("exact").alias("confidence"), F.lit("direct_mapping").alias("extraction_method"), "source_file", "source_record_id", "source_field", "ordinal", "rule")
-    number = {n.name: k for k, n in enumerate(spec.nodes)}
-    links = None
-    raw_variant = out.withColumn("v", F.parse_json("record"))
-    for rule in spec.edges:
-        a, b = F.col(f"n{number[rule.source_node[1:]]}.id"), F.col(f"n{number[rule.target_node[1:]]}.id")
-        e = raw_variant.where(predicate(rule.when, v) & a.isNotNull() & b.isNotNull()).select(edge_id(a, F.lit(rule.canonical_type), b).alias("id"), a.alias("src"), b.alias("dst"), F.lit(rule.canonical_type).alias("relation_type"), *place)
-        links = e if links is None else links.unionByName(e)
-    if links is None:
-        links = out.select(*[F.lit(None).cast("string").alias(c) for c in ("id", "src", "dst", "relation_type")], *place).limit(0)
+    none = F.lit(None).cast("string")
+    links = out.select(*[none.alias(c) for c in ("id", "src", "dst", "relation_type")], *place).limit(0)
+    if links_of:
+        said = out.select(*place, F.explode(F.filter(F.array(*links_of), lambda e: e.isNotNull())).alias("e"))
+        links = said.select("e.id", "e.src", "e.dst", "e.relation_type", *place)
+        if any(rule.fields for rule in spec.edges):
+            about = said.select(*place, F.col("e.id").alias("edge_id"), F.explode("e.attributes").alias("a")).select(*place, "edge_id", "a.*")
+            provenance = provenance.unionByName(about.select(none.alias("node_id"), "edge_id", "attribute", "value", "raw_value", F.lit("exact").alias("confidence"), F.lit("direct_mapping").alias("extraction_method"), "source_file", "source_record_id", "source_field", "ordinal", F.lit(None).cast("int").alias("rule")))
     raw = r.where("status <> 'skipped' and source_record_id is not null").select("source_file", "source_record_id", F.col("record").alias("raw_record"), "content_hash", "ordinal")
     dead = r.where("status = 'dead'").select("source_file", "ordinal", F.lit(None).cast("string").alias("source_record_id"), "error", F.col("record").alias("raw_record"))
     items = answers = None
@@ -204,7 +219,7 @@ def ingest(records: DataFrame, spec: MappingSpec, ledger: DataFrame | None = Non
         n, e, p, i, a = _materialised(out, spec, block, extractor, cache)
         nodes, links, provenance = nodes.unionByName(n), links.unionByName(e), provenance.unionByName(p)
         items, answers = (i, a) if items is None else (items.unionByName(i), answers.unionByName(a))
-    return Ingested(r, nodes, links, provenance, raw, dead, out.select(*SEEN).distinct(), items, answers)
+    return Ingested(r, nodes, links, provenance, raw, dead, out.select(*SEEN).distinct(), items, answers, any(rule.fields for rule in spec.edges))
 
 
 def report(run: Ingested) -> DataFrame:
@@ -234,59 +249,6 @@ def missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 # ---- drift -------------------------------------------------------------------------------
 
 
-def _tag(value) -> str:
-    import re
-
-    if isinstance(value, str):
-        return "iso_datetime" if re.match(r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}", value) else "email_like" if re.match(r"[^@\s]+@[^@\s]+\.[^@\s]+$", value) else "str"
-    return {type(None): "null", bool: "bool", int: "int", float: "float", list: "list", dict: "dict"}.get(type(value), "other")
-
-
-def leaves(record) -> list[tuple[str, str]]:
-    """(path, tag) of a record's leaves. Lists are entered once for each type of element;
-    a leaf's tag is that of the first value on its path."""
-    out: dict[str, None] = {}
-    todo = [("$", record)]
-    while todo:
-        path, v = todo.pop()
-        if isinstance(v, dict) and v:
-            todo += [(f"{path}.{k}", x) for k, x in v.items()]
-        elif isinstance(v, list) and v:
-            todo += [(f"{path}[*]", x) for x in {type(x): x for x in reversed(v)}.values()]
-        else:
-            out[f"{path}[*]" if isinstance(v, list) else path] = None
-
-    def first(path: str):
-        at = record
-        for step in path[1:].replace("[*]", ".[*]").split(".")[1:]:
-            if step == "[*]":
-                if not (isinstance(at, list) and at):
-                    return None
-                at = at[0]
-            elif isinstance(at, dict) and step in at:
-                at = at[step]
-            else:
-                return None
-        return at
-
-    return [(p, _tag(first(p))) for p in sorted(out)]
-
-
-def leaf_paths(records: DataFrame) -> DataFrame:
-    """(path, tag) of every record's leaves."""
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("tag", T.StringType())])))
-    def walk(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"path": p, "tag": t} for p, t in leaves(json.loads(x))])
-
-    return records.select(F.explode(walk("record")).alias("l")).select("l.*")
-
-
-def type_fingerprint(records: DataFrame) -> DataFrame:
-    """Per path its one tag, or `mixed`."""
-    return leaf_paths(records).groupBy("path").agg(F.when(F.min("tag") == F.max("tag"), F.min("tag")).otherwise(F.lit("mixed")).alias("tag"))
-
-
 def fingerprint_diff(expected: DataFrame, observed: DataFrame, ignore_extra: bool = True) -> DataFrame:
     """(path, problem): declared paths that are missing or changed, and new ones if asked for."""
     e, o = expected.select("path", F.col("tag").alias("was")), observed.select("path", F.col("tag").alias("now"))

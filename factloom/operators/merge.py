@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factloom.functions import jsonpath
 from factloom.functions.text import casefolded, content_hash, json_text, stripped
 from factloom.operators import conflict, ingest
-from factloom.operators.store import Store, merge_edges, merge_nodes
+from factloom.operators.store import Store, merge_edges, merge_nodes, problems
 from factloom.plans.spec import MappingSpec
 from factloom.registry import HUMAN_EDITS
 from factloom.session import discard
@@ -40,17 +40,32 @@ def facts(provenance: DataFrame) -> DataFrame:
     return own.select("node_id", "attribute", F.struct("source_file", "ordinal", "rule").alias("seq"), "value", compared(F.col("value")).alias("norm"), "confidence", *PLACE)
 
 
-def merged(got: ingest.Ingested, at, nodes: DataFrame | None = None, edges: DataFrame | None = None, attributes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The new rows of all nodes, edges and attributes that an ingestion touches. `nodes`, `edges`
-    and `attributes` are the stored rows of the same keys (more do no harm to attributes), `at` the
-    time of the merge (a Column)."""
+def edge_facts(provenance: DataFrame) -> DataFrame:
+    """The facts about edges, as `conflict.fold` takes them: node_id is the edge's id."""
+    own = provenance.where("edge_id is not null and attribute is not null and value is not null")
+    return own.select(F.col("edge_id").alias("node_id"), "attribute", F.struct("source_file", "ordinal", "attribute").alias("seq"), "value", compared(F.col("value")).alias("norm"), "confidence", *PLACE)
+
+
+def _of_edges(state: DataFrame, back: bool = False) -> DataFrame:
+    return state.withColumnRenamed("node_id", "edge_id") if not back else state.withColumnRenamed("edge_id", "node_id")
+
+
+def merged(got: ingest.Ingested, at, nodes: DataFrame | None = None, edges: DataFrame | None = None, attributes: DataFrame | None = None, edge_attributes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The new rows of all nodes, edges and attributes of both that an ingestion touches. `nodes`,
+    `edges`, `attributes` and `edge_attributes` are the stored rows of the same keys (more do no harm
+    to attributes), `at` the time of the merge (a Column): an edge is valid from when it was first
+    stated, and last stated at valid_to."""
     n = got.nodes.select("id", "type", at.alias("updated_at"))
-    e = got.edges.select("id", "src", "dst", "relation_type", F.create_map().cast("map<string,string>").alias("attributes"), F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.struct("source_file", "ordinal").alias("seq"))
+    e = got.edges.select("id", "src", "dst", "relation_type", F.create_map().cast("map<string,string>").alias("attributes"), at.alias("valid_from"), at.alias("valid_to"), F.struct("source_file", "ordinal").alias("seq"))
     if nodes is None:
         nodes = n.select("id", "type", F.col("updated_at").alias("created_at"), "updated_at", F.lit(0).cast("long").alias("version")).limit(0)
     if edges is None:
         edges = e.drop("seq").withColumn("version", F.lit(0).cast("long")).limit(0)
-    return {"nodes": merge_nodes(nodes, n), "edges": merge_edges(edges, e), "attributes": conflict.fold(facts(got.provenance), attributes)}
+    out = {"nodes": merge_nodes(nodes, n), "edges": merge_edges(edges, e), "attributes": conflict.fold(facts(got.provenance), attributes)}
+    if got.edge_fields:
+        held = None if edge_attributes is None else _of_edges(edge_attributes, back=True)
+        out["edge_attributes"] = _of_edges(conflict.fold(edge_facts(got.provenance), held))
+    return out
 
 
 def replaced(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -64,8 +79,44 @@ def graph_nodes(nodes: DataFrame, attributes: DataFrame) -> DataFrame:
     return nodes.join(maps, "id", "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
 
 
-def commit(store: Store, got: ingest.Ingested, mark_seen: bool = True, also: dict[str, DataFrame] | None = None) -> None:
-    """Everything of one ingestion becomes visible at once."""
+def graph_edges(edges: DataFrame, edge_attributes: DataFrame) -> DataFrame:
+    """Edges with their attribute map (name to JSON text); what an edge itself holds comes first."""
+    maps = edge_attributes.groupBy(F.col("edge_id").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "value")))).alias("_own"))
+    both = F.map_zip_with(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.coalesce("_own", F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(a, b))
+    return edges.join(maps, "id", "left").withColumn("attributes", both).drop("_own")
+
+
+def statements(provenance: DataFrame) -> DataFrame:
+    """By edge and attribute, and each value it was given, the first and the last record that says so."""
+    said = provenance.where("edge_id is not null and attribute is not null and value is not null")
+    at = F.struct("source_file", "ordinal", "source_record_id")
+    return said.groupBy("edge_id", "attribute", "value").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+
+
+class Refused(ValueError):
+    """Rows that the rules of a store forbid."""
+
+
+def _checked(store: Store, got: ingest.Ingested) -> None:
+    """Refuses provenance that `store.problems` names, and edges an end of which is neither stored nor
+    new. Only ends that are not new are looked up."""
+    bad = problems(got.provenance, got.raw).select(F.concat(F.lit("provenance: "), "problem").alias("why"))
+    loose = ingest.missing_ends(got.edges.select("id", "src", "dst"), got.nodes)
+    ends = loose.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    held = store.touched("nodes", ends)
+    if held is not None:
+        loose = ingest.missing_ends(loose, got.nodes.select("id").union(held.select("id")))
+    row = bad.unionByName(loose.select(F.concat(F.lit("loose edge "), "id").alias("why"))).first()
+    if row is not None:
+        raise Refused(row["why"])
+
+
+def commit(store: Store, got: ingest.Ingested, mark_seen: bool = True, also: dict[str, DataFrame] | None = None, ordered: bool = False) -> None:
+    """Everything of one ingestion becomes visible at once, or is refused. With `ordered` the facts of
+    all ingestions count in the order of their files and places, whenever they come: the attributes
+    that this one touches are folded again from all that is kept about them, but for those that a
+    person has given a value."""
+    _checked(store, got)
     raw = got.raw.groupBy(*PLACE).agg(F.max_by(F.struct("raw_record", "content_hash"), "ordinal").alias("r")).select(*PLACE, "r.*").withColumn("ingested_at", F.current_timestamp())
     held = store.touched("source_records", raw)
     if held is not None:  # a record that is the same stays as it is
@@ -73,7 +124,10 @@ def commit(store: Store, got: ingest.Ingested, mark_seen: bool = True, also: dic
     new = merged(
         got, F.current_timestamp(), store.touched("nodes", got.nodes), store.touched("edges", got.edges),
         store.touched("attributes", got.provenance.where("node_id is not null and attribute is not null")),
+        store.touched("edge_attributes", got.provenance.where("edge_id is not null and attribute is not null")) if got.edge_fields else None,
     )
+    if ordered and store.has("provenance"):
+        new["attributes"] = _ordered(store, got, new["attributes"])
     new |= {"provenance": got.provenance, "dead_letters": got.dead, "source_records": raw, **(also or {})}
     if mark_seen:
         new["seen"] = got.seen
@@ -82,6 +136,16 @@ def commit(store: Store, got: ingest.Ingested, mark_seen: bool = True, also: dic
     store.add(**new)
 
 
+def _ordered(store: Store, got: ingest.Ingested, folded: DataFrame) -> DataFrame:
+    """`folded`, with the keys that no person has set folded anew from all their facts."""
+    key = ["node_id", "attribute"]
+    own = got.provenance.where("node_id is not null and attribute is not null").select(*key).distinct()
+    old = store.matching("provenance", own.select("node_id").distinct()).join(own, key, "left_semi")
+    set_ = old.where(F.col("source_file") == HUMAN_EDITS).select(*key).distinct()
+    every = old.select(*got.provenance.columns).unionByName(got.provenance).join(set_, key, "left_anti")
+    return conflict.fold(facts(every)).unionByName(folded.join(set_, key, "left_semi"))
+
+
 def cached_answers(store: Store) -> DataFrame | None:
     return store.read("extraction_cache") if store.has("extraction_cache") else None
 

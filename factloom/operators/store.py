@@ -27,10 +27,12 @@ from factloom.session import cut
 
 TABLES = (
     "nodes", "edges", "provenance", "source_records", "conflicts", "seen", "dead_letters", "specs", "runs", "extraction_cache", "attributes", "edge_attributes",
-    "text_docs", "text_terms", "text_totals", "text_postings", "text_stale", "vec_centroids", "vec_lists", "vec_ids", "vec_stats", "vec_stale",
+    "text_docs", "text_terms", "text_totals", "text_postings", "text_stale", "vec_centroids", "vec_lists", "vec_ids", "vec_stats", "vec_stale", "vectors",
 )
 #: Tables in which a later row of the same key replaces an earlier one.
-KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "edge_attributes": ["edge_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"], "text_docs": ["id"], "vec_ids": ["id"]}
+KEYS = {"nodes": ["id"], "edges": ["id"], "attributes": ["node_id", "attribute"], "edge_attributes": ["edge_id", "attribute"], "source_records": ["source_file", "source_record_id"], "extraction_cache": ["block", "key"], "text_docs": ["id"], "vec_ids": ["id"], "vectors": ["id", "model"]}
+#: Tables without a key whose rows are looked up by a column.
+CLUSTERED = {"provenance": ["node_id"]}
 #: So many parts a table has at most before it is written as one.
 PARTS = 16
 
@@ -78,6 +80,10 @@ class Store:
         now = self._current()
         return self._latest(name, now[name].split(","), keys.select(*KEYS[name]).distinct()) if name in now else None
 
+    def matching(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of a clustered table that are about `keys`, found as in `touched`."""
+        return self._latest(name, self._current()[name].split(","), keys.select(*CLUSTERED[name]).distinct())
+
     def _ranges(self, name: str, parts: list[str]) -> dict[str, list]:
         """By part its files with the least and greatest first key; a part without ranges is read whole."""
         kept = [f"{p}.ranges" for p in parts if self._fs.exists(self._path(f"{self.root}/{p}.ranges"))]
@@ -91,16 +97,17 @@ class Store:
     def _latest(self, name: str, parts: list[str], keys: DataFrame | None = None) -> DataFrame:
         rows, gone = [(k, p) for k, p in enumerate(parts) if not p.startswith(_GONE)], [(k, p[1:]) for k, p in enumerate(parts) if p.startswith(_GONE)]
         only, files = (lambda d: d), {}
+        by = KEYS.get(name) or CLUSTERED.get(name)
         if keys is not None:
-            first = KEYS[name][0]
+            first = by[0]
             few = sorted({r[0] for r in keys.select(first).where(F.col(first).isNotNull()).limit(FEW_KEYS + 1).collect()})
             if len(few) <= FEW_KEYS:
                 ranges = self._ranges(name, [p for _, p in rows])
                 hit = lambda low, high: bisect_left(few, low) < bisect_right(few, high)
                 files = {p: [f"{self.root}/{p}/{f}" for f, low, high in r if low is None or hit(low, high)] for p, r in ranges.items()}
-                only = lambda d: d.where(F.col(first).isin(few)).join(F.broadcast(keys), KEYS[name], "left_semi")
+                only = lambda d: d.where(F.col(first).isin(few)).join(F.broadcast(keys), by, "left_semi")
             else:
-                only = lambda d: d.join(keys, KEYS[name], "left_semi")
+                only = lambda d: d.join(keys, by, "left_semi")
         each = []
         for k, p in rows:
             whole = self.spark.read.schema(self.spark.read.parquet(f"{self.root}/{p}").schema)
@@ -141,12 +148,13 @@ class Store:
         self._commit({}, replace=False, gone={n: d if isinstance(d, list) else [d] for n, d in conditions.items() if self.has(n)})
 
     def _written(self, name: str, part: str, df: DataFrame) -> None:
-        keys = KEYS.get(name)
+        keys = KEYS.get(name) or CLUSTERED.get(name)
         if not keys:
             df.write.parquet(f"{self.root}/{part}")
             return
         once = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{name}: several rows of one key in a part")))
-        df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(once).drop("_n")
+        if name in KEYS:
+            df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(once).drop("_n")
         sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         sorted_.write.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").parquet(f"{self.root}/{part}")
         stored = self.spark.read.parquet(f"{self.root}/{part}").select(keys[0], F.col("_metadata.file_name").alias("file"))

@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from factloom.operators import conflict, search
-from factloom.operators.store import Store
+from factloom.functions import jsonpath
+from factloom.operators import conflict, embedding, evals, identity, ingest, merge, paths, search
+from factloom.operators.store import Store, delete_stored_nodes
 from factloom.operators.text_store import TextStore
 from factloom.operators.vector_store import VectorStore
-from factloom.session import cut, remove, shared_dir, table
+from factloom.plans import spec as S
+from factloom.plans.queries_facts import _GOOD, SPEC, _body, _records
+from factloom.plans.queries_search import _runs
+from factloom.session import cut, discard, remove, shared_dir, table
+from factloom.sources import bench_graph
 
 
 def _scratch(s):
@@ -146,7 +151,172 @@ WITH vec AS (
 SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM vec) WHERE r <= 10"""
 
 
+def _store_delete_cascade(s, d):
+    """The staff records in a store; every 7th person is deleted, and every 14th comes back with
+    another name: people, what is known about them, and their edges."""
+    root = _scratch(s)
+    kept = Store(s, root)
+    later = table(s, d, "customer").where("c_custkey % 14 = 0").select(F.lit("staff.json").alias("source_file"), F.col("c_custkey").alias("ordinal"), _body(F.concat("c_name", F.lit(" Jr"))).alias("record"))
+    for records, gone in ((_records(s, d), 7), (later, None)):
+        got = ingest.ingest(records, SPEC, once=True)
+        merge.commit(kept, got)
+        discard(got.records)
+        if gone:
+            delete_stored_nodes(kept, table(s, d, "customer").where(F.col("c_custkey") % gone == 0).select(F.concat(F.lit("person:emp_"), "c_custkey").alias("id")))
+    state = kept.read("attributes")
+    seen = state.groupBy(F.col("node_id").alias("id")).agg(F.sum("n_facts").alias("n_facts"))
+    ends = kept.read("edges").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
+    notes = kept.read("provenance").groupBy(F.col("node_id").alias("id")).agg(F.count("*").alias("n_notes"))
+    value = lambda k: jsonpath.as_string(F.try_element_at("attributes", F.lit(k))).alias(k)
+    people = merge.graph_nodes(kept.read("nodes"), state)
+    for more in (seen, ends, notes):
+        people = people.join(more, "id", "left")
+    out = cut(people.select("id", "version", value("name"), value("email"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_facts", "n_edges", "n_notes")]))
+    remove(s, root)
+    return out
+
+
+_STORE_DELETE_CASCADE = f"""{_GOOD},
+b2 AS (SELECT * FROM r WHERE k % 14 = 0),
+v AS (SELECT id, count(*) AS version FROM (
+  SELECT id FROM (SELECT id FROM good UNION ALL SELECT boss FROM good WHERE boss IS NOT NULL) WHERE CAST(substr(id, 12) AS BIGINT) % 7 <> 0
+  UNION ALL SELECT id FROM b2 UNION ALL SELECT boss FROM b2 WHERE boss IS NOT NULL) GROUP BY id),
+p AS (SELECT id, name, email FROM good WHERE k % 7 <> 0 UNION ALL SELECT id, name || ' Jr', email FROM b2),
+e AS (SELECT id AS src, boss AS dst FROM good WHERE boss IS NOT NULL AND k % 7 <> 0 AND (k // 4) % 7 <> 0 UNION ALL SELECT id, boss FROM b2 WHERE boss IS NOT NULL),
+g AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+SELECT v.id, version, name, email, CAST(CASE WHEN p.id IS NULL THEN 0 WHEN email IS NULL THEN 2 ELSE 3 END AS BIGINT) AS n_facts,
+  coalesce(g.n, 0) AS n_edges, CAST(CASE WHEN p.id IS NULL THEN 0 WHEN email IS NULL THEN 2 ELSE 3 END AS BIGINT) AS n_notes
+FROM v LEFT JOIN p ON v.id = p.id LEFT JOIN g ON v.id = g.id"""
+
+
+_ORDERS = S.load({
+    "tenant": "demo", "source": {"file_pattern": "a-orders.json", "format": "json"},
+    "nodes": [
+        {"name": "order", "canonical_type": "Event", "id_template": "order:{id}", "fields": []},
+        {"name": "buyer", "canonical_type": "Person", "id_template": "person:{buyer}", "fields": []},
+    ],
+    "edges": [{"canonical_type": "ASSIGNED_TO", "source_node": "@order", "target_node": "@buyer", "fields": [
+        {"attribute": "status", "source": "$.status", "transform": ["strip"]}, {"attribute": "total", "source": "$.total"},
+        {"attribute": "note", "source": "$.note", "required": False}]}],
+})
+
+
+def _edge_attributes(s, d):
+    """Orders whose edge to their buyer has a status and a total; every 4th is stated again: alike but for
+    case, otherwise by another file, or otherwise by the same one."""
+    o, key = table(s, d, "orders"), F.col("o_orderkey")
+    text = lambda status: F.to_json(F.struct(key.alias("id"), F.col("o_custkey").alias("buyer"), status.alias("status"), F.floor("o_totalprice").alias("total")))
+    status = F.col("o_orderstatus")
+    first = o.select(F.lit("a-orders.json").alias("source_file"), key.alias("ordinal"), text(F.concat(F.lit(" "), status)).alias("record"))
+    other = F.when(key % 8 == 0, F.lower(status)).otherwise("X")
+    file = F.when((key % 8 != 0) & (key % 3 == 0), "a-orders.json").otherwise("b-erp.json")
+    again = o.where(key % 4 == 0).select(file.alias("source_file"), (key + 10**9).alias("ordinal"), text(other).alias("record"))
+    got = ingest.ingest(first.unionByName(again), _ORDERS, once=True)
+    new = merge.merged(got, F.lit("2024-01-01").cast("timestamp"))
+    state = cut(new["edge_attributes"])
+    said = merge.statements(got.provenance).groupBy("edge_id").agg(F.count("*").alias("n_values"), F.max("last.ordinal").alias("last_ordinal"))
+    about = state.groupBy("edge_id").agg(F.sum("n_facts").alias("n_facts"), F.max("open.verdict").alias("verdict"))
+    edges = merge.graph_edges(new["edges"], state).join(said.join(about, "edge_id").withColumnRenamed("edge_id", "id"), "id")
+    value = lambda k: jsonpath.as_string(F.try_element_at("attributes", F.lit(k))).alias(k)
+    return edges.select("id", "src", "dst", value("status"), value("total"), "n_facts", "n_values", "last_ordinal", "verdict")
+
+
+_EDGE_ATTRIBUTES = """
+WITH o AS (SELECT *, o_orderkey AS k, 'order:' || o_orderkey AS src, 'person:' || o_custkey AS dst FROM orders)
+SELECT 'edge_' || substring(sha256(src || '|ASSIGNED_TO|' || dst || '|'), 1, 24) AS id, src, dst,
+  CASE WHEN k % 8 = 4 AND k % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS total,
+  CAST(CASE WHEN k % 4 = 0 THEN 4 ELSE 2 END AS BIGINT) AS n_facts, CAST(CASE WHEN k % 4 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_values,
+  CASE WHEN k % 4 = 0 THEN k + 1000000000 ELSE k END AS last_ordinal, CASE WHEN k % 8 = 4 AND k % 3 <> 0 THEN 'escalate' END AS verdict
+FROM o"""
+
+
+def _paths_batch(s, d):
+    """The chain from every 20th person up to the first, searched from both ends."""
+    edges = bench_graph.edges(s, d).where("relation_type = 'REPORTS_TO'")
+    person = F.concat(F.lit("person:"), "c_custkey")
+    pairs = table(s, d, "customer").where("c_custkey % 20 = 0").select(person.alias("pair"), person.alias("source"), F.lit("person:0").alias("target"))
+    found = paths.shortest_paths(edges, pairs)
+    return found.select("pair", F.col("length").cast("long").alias("length"), F.array_join("path", ">").alias("path"))
+
+
+_PATHS_BATCH = """
+WITH RECURSIVE up(pair, k, length, path) AS (
+  SELECT 'person:' || c_custkey, c_custkey, CAST(0 AS BIGINT), 'person:' || c_custkey FROM customer WHERE c_custkey % 20 = 0
+  UNION ALL SELECT pair, k // 4, length + 1, path || '>person:' || (k // 4) FROM up WHERE k > 0
+)
+SELECT pair, length, path FROM up WHERE k = 0"""
+
+
+def _latency_by_tier(s, d):
+    runs = _runs(s, d)
+    rounded = lambda c: F.round(c, 6).alias(c)
+    return evals.latency(runs, by=["tier"]).join(evals.p95_exclusive(runs, "latency_ms", ["tier"]).withColumnRenamed("p95", "p95_exclusive"), "tier").select("tier", *map(rounded, ("p50", "p95", "p95_exclusive")))
+
+
+_LATENCY_BY_TIER = """
+WITH r AS (SELECT ['exact', 'router', 'hybrid'][CAST(user_id % 3 AS INTEGER) + 1] AS tier, value AS x FROM events),
+v AS (SELECT tier, x, row_number() OVER (PARTITION BY tier ORDER BY x) AS i, count(*) OVER (PARTITION BY tier) AS n FROM r WHERE x IS NOT NULL),
+w AS (SELECT *, least(greatest((n + 1) * 19 // 20, 1), n - 1) AS at FROM v)
+SELECT tier, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95,
+  round(sum(CASE WHEN i = at THEN x * (1 - ((n + 1) * 19 - at * 20) / 20.0::DOUBLE) WHEN i = at + 1 THEN x * ((n + 1) * 19 - at * 20) / 20.0::DOUBLE END), 6) AS p95_exclusive
+FROM w GROUP BY tier"""
+
+
+def _identity_groups(s, d):
+    """Customers who share made-up addresses, phone numbers, or names and places."""
+    k = F.col("c_custkey")
+    people = table(s, d, "customer").select(
+        F.concat(F.lit("person:"), k).alias("id"),
+        F.when(k % 4 != 3, F.concat(F.lit(" U"), (k / 3).cast("long"), F.when(k % 2 == 0, "@X.org").otherwise("@x.ORG "))).alias("email"),
+        F.when(k % 10 == 0, F.concat(F.lit("+1 (555) 010-"), F.lpad((k / 20).cast("long").cast("string"), 4, "0"))).when(k % 10 == 5, "12-34").alias("phone"),
+        F.when(k % 50 == 7, F.concat(F.lit(" Ann "), (k / 100).cast("long"), F.when(k % 100 == 7, " ").otherwise(""))).when(k % 2 == 0, "Bo").alias("name"),
+        F.when(k % 50 == 7, "Oslo").when(k % 4 == 0, "").alias("place"),
+    )
+    return identity.groups(identity.keys_of(people)).select("id", "least", "n")
+
+
+_IDENTITY_GROUPS = """
+WITH RECURSIVE p AS (SELECT c_custkey AS k, 'person:' || c_custkey AS id FROM customer),
+keys AS (
+  SELECT id, 'u' || (k // 3) AS key FROM p WHERE k % 4 <> 3
+  UNION ALL SELECT id, 'p' || (k // 20) FROM p WHERE k % 10 = 0
+  UNION ALL SELECT id, 'n' || (k // 100) FROM p WHERE k % 50 = 7
+), links AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y ON x.key = y.key AND x.id <> y.id),
+reach(id, other) AS (SELECT DISTINCT id, id FROM keys UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT id, min(other) AS least FROM reach GROUP BY id)
+SELECT id, least, count(*) OVER (PARTITION BY least) AS n FROM least"""
+
+
+def _embed_missing(s, d):
+    """Turns embedded in three runs: those of users, then all, every 5th conversation's by new texts, then
+    all again, which finds nothing to do. By turn the run that made its vector."""
+    root = _scratch(s)
+    kept = Store(s, root)
+    c = table(s, d, "conversations")
+    nodes = c.select(F.concat(F.lit("message:"), "conv_id", F.lit(":"), "turn").alias("id"), F.when(F.col("role") == "user", "Message").otherwise("Event").alias("type"), "text", "conv_id")
+    new = nodes.withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    model = embedding.HashEmbedder()
+    n = [embedding.embed_missing(kept, nodes, model, types=["Message"], run="first"), embedding.embed_missing(kept, new, model, run="second"), embedding.embed_missing(kept, new, model, run="third")]
+    v = kept.read("vectors")
+    norm = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6)
+    out = cut(v.select("id", "content_hash", "run", F.size("vector").cast("long").alias("n"), norm.alias("norm"), F.lit(n[2]).cast("long").alias("third")))
+    remove(s, root)
+    return out
+
+
+_EMBED_MISSING = """
+SELECT 'message:' || conv_id || ':' || turn AS id, sha256(CASE WHEN conv_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash,
+  CASE WHEN role = 'user' AND conv_id % 5 <> 0 THEN 'first' ELSE 'second' END AS run, CAST(384 AS BIGINT) AS n, 1.0::DOUBLE AS norm, CAST(0 AS BIGINT) AS third
+FROM conversations WHERE text IS NOT NULL"""
+
+
 QUERIES = {
+    "store_delete_cascade": (_store_delete_cascade, _STORE_DELETE_CASCADE),
+    "edge_attributes": (_edge_attributes, _EDGE_ATTRIBUTES),
+    "paths_batch": (_paths_batch, _PATHS_BATCH),
+    "latency_by_tier": (_latency_by_tier, _LATENCY_BY_TIER),
+    "identity_groups": (_identity_groups, _IDENTITY_GROUPS),
+    "embed_missing": (_embed_missing, _EMBED_MISSING),
     "reconcile_hot": (_reconcile_hot, _RECONCILE_HOT),
     "bm25_indexed": (_bm25_indexed, _BM25_INDEXED),
     "vector_indexed": (_vector_indexed, _VECTOR_INDEXED),

@@ -14,9 +14,19 @@ from factloom.plans.spec import MappingSpec
 from factloom.session import discard
 
 
-def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True, extractor=None, cache: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+def without_repeats(stream: DataFrame, within: str = "1 hour") -> DataFrame:
+    """The stream's records, each once in `within` of its arrival. The watermark runs on arrival, so no
+    record is late, whatever its place or its own times say, and the state holds what came within
+    that time. What is repeated later is known to the ledger and skipped there."""
+    marked = stream.withColumn("_arrived", F.current_timestamp()).withColumn("_same", F.sha2("record", 256))
+    once = marked.withWatermark("_arrived", within).dropDuplicatesWithinWatermark(["source_file", "_same"])
+    return once.drop("_arrived", "_same")
+
+
+def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True, extractor=None, cache: DataFrame | None = None, ordered: bool = False) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: ingests (source_file, ordinal, record), merges what it touches and
-    commits all tables of the batch at once. With `mark_seen`, a batch that is run again changes nothing."""
+    commits all tables of the batch at once. With `mark_seen`, a batch that is run again changes nothing.
+    With `ordered`, records may come in any order: attributes are what one batch of all would give."""
 
     def run(batch: DataFrame, _: int) -> None:
         seen = store.read("seen") if mark_seen and store.has("seen") else None
@@ -24,15 +34,17 @@ def apply_batch(store: Store, spec: MappingSpec, mark_seen: bool = True, extract
         got = ingest.ingest(batch, spec, seen, extractor, known, once=True)
         try:
             if got.records.where("status <> 'skipped'").limit(1).count():
-                merge.commit(store, got, mark_seen)
+                merge.commit(store, got, mark_seen, ordered=ordered)
         finally:
             discard(got.records)
 
     return run
 
 
-def start(stream: DataFrame, store: Store, spec: MappingSpec, checkpoint: str, mark_seen: bool = True, extractor=None, **trigger) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(apply_batch(store, spec, mark_seen, extractor)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def start(stream: DataFrame, store: Store, spec: MappingSpec, checkpoint: str, mark_seen: bool = True, extractor=None, within: str | None = None, ordered: bool = False, **trigger) -> StreamingQuery:
+    """`within`: leave out what is repeated within that time of its arrival, before it is ingested."""
+    stream = stream if within is None else without_repeats(stream, within)
+    return stream.writeStream.foreachBatch(apply_batch(store, spec, mark_seen, extractor, ordered=ordered)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def apply_record(spark, store: Store, spec: MappingSpec, source_file: str, record: str, expect_id: str | None = None, mark_seen: bool = False, extractor=None) -> list[str]:
