@@ -198,8 +198,12 @@ def id_tokens(text: Column, patterns: tuple[str, ...] = ID_PATTERNS) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])))
 
 
+#: Fixed value: how an answer cites a node.
+CITED_NODE = r"\[node:([A-Za-z0-9_:\-./]+)\]"
+
+
 def cited_nodes(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[node:([A-Za-z0-9_:\-./]+)\]"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITED_NODE), F.lit(1)))
 
 
 #: Fixed value: inline ids of messages.
@@ -218,7 +222,8 @@ def action_items(text: Column) -> Column:
     # every part from its heading on; the first that is asked for, without its first line
     parts = F.split(F.concat(F.lit("\n"), text), r"\n(?=##\s)")
     mine = F.filter(parts, lambda x: x.rlike(r"(?i)^\n?##\s*Decisions\s*/\s*Action items\s*(\n|$)"))
-    lines = F.slice(F.split(F.regexp_replace(F.get(mine, 0), r"^\n", ""), "\n"), 2, 1_000_000)
+    below = F.split(F.regexp_replace(F.get(mine, 0), r"^\n", ""), "\n")
+    lines = F.slice(below, F.lit(2), F.size(below))
     bullets = F.filter(lines, lambda x: x.rlike(r"^\s*[*-]\s+\S"))
     return F.coalesce(F.transform(bullets, lambda x: F.trim(F.regexp_replace(x, r"^\s*[*-]\s+", ""))), F.array().cast("array<string>"))
 

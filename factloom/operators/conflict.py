@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.registry import HUMAN_EDITS, RUNGS, UNATTRIBUTED
+from factloom.registry import HUMAN_EDITS, METHODS, RUNGS, UNATTRIBUTED
 from factloom.session import cut
 
 #: Facts of one key up to which they are folded in one row, and so many longer histories are broadcast at most.
@@ -178,3 +178,11 @@ def citations(provenance: DataFrame) -> DataFrame:
     key = ["source_file", "source_record_id", "source_field"]
     first = F.row_number().over(W.partitionBy(*key).orderBy("seq"))
     return provenance.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def cited(provenance: DataFrame) -> DataFrame:
+    """What answers may cite: `citations` of rows whose method is one that citations have. Rows of
+    another method are an error, as is a missing one."""
+    known = F.coalesce(F.col("extraction_method").isin(list(METHODS)), F.lit(False))
+    method = F.when(known, F.col("extraction_method")).otherwise(F.raise_error(F.concat(F.lit("no method of citations: "), F.coalesce("extraction_method", F.lit("null")))))
+    return citations(provenance.withColumn("extraction_method", method))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import jsonpath
 from factloom.operators.quantiles import quantiles
 
 #: Argument keys whose values name an entity.
@@ -105,7 +104,3 @@ def dataset_report(rows: DataFrame) -> DataFrame:
     a = rows.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).select(F.lit("intent").alias("kind"), F.col("intent").alias("name"), "n")
     e = rows.select(F.explode("entities").alias("name", "spans")).groupBy("name").agg(F.sum(F.size("spans")).cast("long").alias("n"))
     return a.unionByName(e.select(F.lit("entity").alias("kind"), "name", "n"))
-
-
-def json_field(record: str, path: str):
-    return jsonpath.as_string(jsonpath.first(F.parse_json(record), path))

@@ -63,6 +63,8 @@ def scored(answer) -> Decision:
     best = _need(labels[0], dict, "intent")
     if not {"label", "score"} <= set(best):
         raise RuntimeError("a model's intent must have label and score")
+    if isinstance(best["score"], bool) or not isinstance(best["score"], (int, float)):
+        raise RuntimeError("a model's score must be a number")
     found = answer.get("entities")
     items = [_need(e, dict, "entity") for e in _need([] if found is None else found, list, "entities")]
     return _decision(best["label"], float(best["score"]), [(e.get("label"), e.get("text")) for e in items])

@@ -324,3 +324,13 @@ def active_specs(specs: DataFrame) -> DataFrame:
     """The highest active version of each tenant and file pattern."""
     a = specs.where("status = 'active'")
     return a.groupBy("tenant", "file_pattern").agg(F.max_by(F.struct(*[c for c in a.columns if c not in ("tenant", "file_pattern")]), "spec_version").alias("s")).select("tenant", "file_pattern", "s.*")
+
+
+def sole_specs(specs: DataFrame) -> DataFrame:
+    """The active spec of each file pattern, where records come without a tenant: a pattern for which
+    several tenants have one is an error."""
+    a = active_specs(specs)
+    one = a.groupBy("file_pattern").agg(F.array_sort(F.collect_set("tenant")).alias("tenants"))
+    why = F.concat(F.lit("several tenants have an active spec for "), "file_pattern", F.lit(": "), F.array_join("tenants", ", "))
+    sole = F.when(F.size("tenants") == 1, F.get("tenants", 0)).otherwise(F.raise_error(why))
+    return a.join(one.select("file_pattern", sole.alias("tenant")), ["file_pattern", "tenant"])

@@ -17,7 +17,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import MESSAGE_ID, preview
+from factloom.functions.text import CITED_NODE, MESSAGE_ID, preview
 from factloom.operators import graph, search, vfs
 from factloom.operators.search import Cascade, Result
 
@@ -230,7 +230,7 @@ def agent(client: Client, box: Toolbox, query: str, iterations: int = 10, second
 
 
 def cited_ids(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\[node:([A-Za-z0-9_:\-./]+)\]", text)))
+    return list(dict.fromkeys(re.findall(CITED_NODE, text)))
 
 
 class Workflows:

@@ -256,9 +256,9 @@ def _latency_by_tier(s, d):
 _LATENCY_BY_TIER = """
 WITH r AS (SELECT ['exact', 'router', 'hybrid'][CAST(user_id % 3 AS INTEGER) + 1] AS tier, value AS x FROM events),
 v AS (SELECT tier, x, row_number() OVER (PARTITION BY tier ORDER BY x) AS i, count(*) OVER (PARTITION BY tier) AS n FROM r WHERE x IS NOT NULL),
-w AS (SELECT *, least(greatest((n + 1) * 19 // 20, 1), n - 1) AS at FROM v)
+w AS (SELECT *, least(greatest((n + 1) * 19 // 20, 1), n - 1) AS low FROM v)
 SELECT tier, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95,
-  round(sum(CASE WHEN i = at THEN x * (1 - ((n + 1) * 19 - at * 20) / 20.0::DOUBLE) WHEN i = at + 1 THEN x * ((n + 1) * 19 - at * 20) / 20.0::DOUBLE END), 6) AS p95_exclusive
+  round(sum(CASE WHEN i = low THEN x * (1 - ((n + 1) * 19 - low * 20) / 20.0::DOUBLE) WHEN i = low + 1 THEN x * ((n + 1) * 19 - low * 20) / 20.0::DOUBLE END), 6) AS p95_exclusive
 FROM w GROUP BY tier"""
 
 
@@ -310,7 +310,34 @@ SELECT 'message:' || conv_id || ':' || turn AS id, sha256(CASE WHEN conv_id % 5
 FROM conversations WHERE text IS NOT NULL"""
 
 
+def _nested_fingerprint(s, d):
+    """Records of orders with lists of several types, empty lists, and strings of several kinds."""
+    k = F.col("o_orderkey")
+    when = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    parts = [
+        F.lit('{"id": '), k, F.lit(', "when": "'), F.when(k % 2 == 0, when).otherwise(F.substring(when, 1, 10)),
+        F.lit('", "buyer": {"mail": '), F.when(k % 3 == 0, F.concat(F.lit('"c'), "o_custkey", F.lit('@home.net"'))).otherwise("null"),
+        F.lit('}, "tags": '), F.when(k % 4 == 0, "[]").when(k % 4 == 1, '["a", 1]').when(k % 4 == 2, "[1.5, 2]").otherwise(F.concat(F.lit('[{"x": '), k, F.lit('}, "s", {"y": 1}]'))),
+        F.lit(', "deep": [['), k, F.lit(", true]]"), F.when(k % 5 == 0, ', "seldom": {}').otherwise(""), F.lit("}"),
+    ]
+    return ingest.type_fingerprint(table(s, d, "orders").select(F.concat(*[p.cast("string") for p in parts]).alias("record")))
+
+
+_NESTED_FINGERPRINT = """
+WITH o AS (SELECT o_orderkey AS k FROM orders), leaf(path, tag) AS (
+  SELECT '$.id', 'int' FROM o
+  UNION ALL SELECT '$.when', CASE WHEN k % 2 = 0 THEN 'iso_datetime' ELSE 'str' END FROM o
+  UNION ALL SELECT '$.buyer.mail', CASE WHEN k % 3 = 0 THEN 'email_like' ELSE 'null' END FROM o
+  UNION ALL SELECT '$.tags[*]', CASE k % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'str' WHEN 2 THEN 'float' ELSE 'dict' END FROM o
+  UNION ALL SELECT '$.tags[*].x', 'int' FROM o WHERE k % 4 = 3
+  UNION ALL SELECT '$.deep[*][*]', 'int' FROM o
+  UNION ALL SELECT '$.seldom', 'dict' FROM o WHERE k % 5 = 0
+)
+SELECT path, CASE WHEN min(tag) = max(tag) THEN min(tag) ELSE 'mixed' END AS tag FROM leaf GROUP BY path"""
+
+
 QUERIES = {
+    "nested_fingerprint": (_nested_fingerprint, _NESTED_FINGERPRINT),
     "store_delete_cascade": (_store_delete_cascade, _STORE_DELETE_CASCADE),
     "edge_attributes": (_edge_attributes, _EDGE_ATTRIBUTES),
     "paths_batch": (_paths_batch, _PATHS_BATCH),

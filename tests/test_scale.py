@@ -242,3 +242,24 @@ def test_stream_in_any_order_equals_one_batch(spark, tmp_path):
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert held and held[-1] < len(rows)
     assert s.read("seen").count() == len(rows)
+
+
+# ---- small rules --------------------------------------------------------------------------
+
+
+def test_citations_have_a_known_method(spark):
+    from factloom.operators import conflict
+
+    rows = lambda *m: spark.createDataFrame([("f", str(k), "$.a", k, x) for k, x in enumerate(m)], "source_file string, source_record_id string, source_field string, seq int, extraction_method string")
+    assert conflict.cited(rows("direct_mapping", "human")).count() == 2
+    for bad in ("guess", None):
+        with pytest.raises(Exception, match="no method of citations"):
+            conflict.cited(rows("human", bad)).collect()
+
+
+def test_a_pattern_has_one_tenant(spark):
+    specs = lambda *r: spark.createDataFrame(list(r), "tenant string, file_pattern string, spec_version int, status string")
+    one = [("t", "a.json", 1, "active"), ("t", "a.json", 2, "active"), ("u", "b.json", 1, "active"), ("u", "a.json", 9, "draft")]
+    assert {(r.file_pattern, r.tenant, r.spec_version) for r in store.sole_specs(specs(*one)).collect()} == {("a.json", "t", 2), ("b.json", "u", 1)}
+    with pytest.raises(Exception, match="several tenants have an active spec for a.json: t, u"):
+        store.sole_specs(specs(*one, ("u", "a.json", 1, "active"))).collect()
