@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.quantiles import quantiles
@@ -99,6 +99,31 @@ def seeds(rows: DataFrame, text: str = "text", most: int = 3) -> DataFrame:
     return rows.withColumn("entities", F.map_filter(F.create_map(*found), lambda _, v: F.size(v) > 0))
 
 
+#: Patterns of labels by type, each with the group that is the label, in the order in which
+#: they are looked for; words that an inline customer id is not; and how many of a type are kept.
+LABELS = {
+    "emp_id": [(r"\bemp_\d+\b", 0)],
+    "customer_id": [(r"\b(?:CLNT|CUST|VEND|ORG)-\d+\b", 0), (r"(?i)\bcustomer[ _]?id[\s:]+['\"]?([A-Za-z][A-Za-z0-9_]{2,15})['\"]?", 1)],
+    "product": [(r"\b[A-Z][0-9A-Z]{9}\b", 0)],
+    "ticket_id": [(r"(?i)\bTicket\s+id\s+(\d+)\b", 1), (r"(?i)\bticket[-_:]\d+\b", 0)],
+    "department": [(r"\b(?:HR|Engineering|Sales|Finance|Marketing|Legal|Operations|Human Resources|IT|Product)\b", 0)],
+    "date": [(r"\b\d{4}-\d{2}-\d{2}\b", 0)],
+}
+NO_CUSTOMER = ("key", "value", "details", "name", "the", "an", "id")
+KEPT, KEPT_OF = 3, {"emp_id": 6}
+
+
+def labels(text) -> Column:
+    """Map of type to the first distinct labels found by pattern; types without any are left out."""
+    pairs = []
+    for kind, patterns in LABELS.items():
+        found = [F.regexp_extract_all(text, F.lit(p), F.lit(group)) for p, group in patterns]
+        if kind == "customer_id":
+            found[1] = F.filter(found[1], lambda x: ~F.lower(x).isin(list(NO_CUSTOMER)))
+        pairs += [F.lit(kind), F.slice(F.array_distinct(F.concat(*found)), 1, KEPT_OF.get(kind, KEPT))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0)
+
+
 def dataset_report(rows: DataFrame) -> DataFrame:
     """(kind, name, n): queries by intent, spans by entity type."""
     a = rows.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).select(F.lit("intent").alias("kind"), F.col("intent").alias("name"), "n")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions.text import preview
 from factloom.registry import FANOUT, HUB_DEGREE, NODE_TYPES, check_relation, check_type
 from factloom.session import cut
 
@@ -155,3 +156,17 @@ def grouped_neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame, fanout
     r = F.row_number().over(W.partitionBy("at", "relation_type").orderBy("other", "direction"))
     n = n.withColumn("_r", r).where(F.col("_r") <= fanout).drop("_r")
     return n.join(nodes.select(F.col("id").alias("other"), "type"), "other").select(F.col("at").alias("id"), "relation_type", "direction", "other", "type")
+
+
+def neighbor_previews(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 1, most: int = 50) -> DataFrame:
+    """(seed, id, type, preview, total): the first `most` of each seed's neighbours by id, and how many
+    there are. A hub's neighbours are first cut to `most` in each of 16 parts, so none is ranked whole."""
+    if not 1 <= depth <= 3:
+        raise ValueError("depth must be from 1 to 3")
+    found = neighbors(edges, seeds, depth).select("seed", "id")
+    total = found.groupBy("seed").agg(F.count(F.lit(1)).alias("total"))
+    dealt = W.partitionBy("seed", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy("id")
+    some = found.withColumn("_r", F.row_number().over(dealt)).where(F.col("_r") <= most)
+    first = some.withColumn("_r", F.row_number().over(W.partitionBy("seed").orderBy("id"))).where(F.col("_r") <= most)
+    shown = nodes.select("id", "type", preview(F.col("attributes")).alias("preview"))
+    return first.join(shown, "id").join(total, "seed").select("seed", "id", "type", "preview", "total")

@@ -19,6 +19,7 @@ K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
 RRF_K = 60
 BLOCK_ROWS = 4096
+BROADCAST_TERMS = 100_000
 #: What a tier has to reach.
 THRESHOLDS = {"exact": 0.5, "router": 0.5, "hybrid": 0.6, "agentic": 0.5, "stub": 0.0}
 
@@ -47,11 +48,13 @@ def text_index(docs: DataFrame) -> TextIndex:
 
 def bm25(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(qid, id, score) for queries (qid, query): any of the distinct terms matches. The query's
-    terms restrict the postings before anything is joined to them."""
+    terms restrict the postings before anything is joined to them; they are broadcast up to
+    BROADCAST_TERMS, which is counted. The one row of totals is."""
     q = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    hit = index.postings.join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    small = (lambda d: F.broadcast(d)) if q.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda d: d
+    hit = index.postings.join(small(q.select("term").distinct()), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    x = hit.join(F.broadcast(df), "term").join(F.broadcast(q), "term").join(index.lengths, "id").crossJoin(F.broadcast(index.totals))
+    x = hit.join(small(df), "term").join(small(q), "term").join(index.lengths, "id").crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 1.0 / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return x.groupBy("qid", "id").agg(F.sum(part).alias("score"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import queries_facts, queries_graph, queries_more, queries_scale, queries_search
+from factloom.plans import queries_facts, queries_graph, queries_more, queries_records, queries_scale, queries_search
 from factloom.session import ship
 
-_ALL = {**queries_graph.QUERIES, **queries_facts.QUERIES, **queries_search.QUERIES, **queries_more.QUERIES, **queries_scale.QUERIES}
+_ALL = {**queries_graph.QUERIES, **queries_facts.QUERIES, **queries_search.QUERIES, **queries_more.QUERIES, **queries_scale.QUERIES, **queries_records.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
