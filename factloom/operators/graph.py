@@ -12,6 +12,9 @@ from factloom.functions.text import preview
 from factloom.registry import FANOUT, HUB_DEGREE, NODE_TYPES, check_relation, check_type
 from factloom.session import cut
 
+#: Ids of a frontier that are broadcast; of larger ones, and of what was seen, nothing is sent to the driver.
+FEW_IDS = 10_000
+
 _PATTERN = re.compile(r"\(\s*(\w+)\s*\)\s*-\s*\[\s*(\w+)\s*\]\s*->\s*\(\s*(\w+)\s*\)")
 
 
@@ -82,7 +85,8 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, relation: str | No
     first = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hops")).distinct()
     if depth < 1:
         return first.limit(0)
-    step = both_ways(edges).select("at", "other").distinct()
+    # links that repeat are not made one: what is found is, and is much less
+    step = both_ways(edges).select("at", "other")
     if depth > 1:
         step = cut(step)
     seen, front = first, first
@@ -105,16 +109,17 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int) ->
     spark = edges.sparkSession
     step = cut(both_ways(edges).select("at", "other").where("at <> other").distinct())
     levels = [spark.createDataFrame([(source, None)], "id string, parent string")]
-    seen = levels[0].select("id")
+    seen, n = levels[0].select("id"), 1
     for _ in range(max_hops):
-        front = levels[-1].select(F.col("id").alias("at"))
-        new = cut(front.join(step, "at").groupBy(F.col("other").alias("id")).agg(F.min("at").alias("parent")).join(seen, "id", "left_anti"))
+        front = levels[-1].select(F.col("id").alias("at")).hint("broadcast" if n <= FEW_IDS else "merge")
+        new = cut(front.join(step, "at").groupBy(F.col("other").alias("id")).agg(F.min("at").alias("parent")).join(seen.hint("merge"), "id", "left_anti"))
         if new.where(F.col("id") == target).limit(1).count():
             path = [target]
             for level in [new, *levels[:0:-1]]:  # one row a step
                 path.append(level.where(F.col("id") == path[-1]).first()["parent"])
             return path[::-1]
-        if not new.limit(1).count():
+        n = new.count()
+        if not n:
             return None
         seen = seen.unionByName(new.select("id"))
         levels.append(new)
@@ -145,8 +150,11 @@ def link_weights(edges: DataFrame) -> DataFrame:
     return e.join(a, "src").join(b, "dst").select("id", F.greatest("ds", "dd").alias("weight"))
 
 
-def distinct_links(edges: DataFrame, order: str = "id") -> DataFrame:
-    """One edge for each (src, dst), whatever the relation: the first by `order`."""
+def distinct_links(edges: DataFrame, order: str = "id", parts: int | None = None) -> DataFrame:
+    """One edge for each (src, dst), whatever the relation: the first by `order`. Ids are sorted in
+    memory; `parts` says how many tasks share them, where the session's number is too small."""
+    if parts is not None:
+        edges = edges.repartition(parts, "src", "dst")
     return edges.groupBy("src", "dst").agg(F.min(F.struct(F.col(order).alias("o"), "id", "relation_type")).alias("m")).select("src", "dst", F.col("m.id").alias("id"), F.col("m.relation_type").alias("relation_type"))
 
 

@@ -1,4 +1,5 @@
-"""Shortest paths of many pairs at once: searches from both ends, all pairs in one frontier table."""
+"""Shortest paths of many pairs at once: searches from both ends, all pairs in one frontier table. Joins are
+sorted on both sides (hubs aside): of what grows with the pairs, nothing is sent to the driver."""
 
 from __future__ import annotations
 
@@ -42,19 +43,19 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 20) -> Da
     out = [pairs.where("source = target").select("pair", F.lit(0).alias("length"), F.array("source").alias("path"))]
     for hop in range(1, max_hops + 1):
         side = (hop - 1) % 2
-        front = levels[side][-1].join(live, "pair", "left_semi").select("pair", F.col("id").alias("at"))
+        front = levels[side][-1].join(live.hint("merge"), "pair", "left_semi").select("pair", F.col("id").alias("at"))
         if hubs is None:
             front = front.withColumn("way", F.lit(0))
         else:
             front = front.join(hubs, "at", "left").withColumn("way", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)))
-        new = front.join(step, ["at", "way"]).groupBy("pair", F.col("other").alias("id")).agg(F.min("at").alias("parent"))
-        new = cut(new.join(seen[side], ["pair", "id"], "left_anti"))
+        new = front.join(step.hint("merge"), ["at", "way"]).groupBy("pair", F.col("other").alias("id")).agg(F.min("at").alias("parent"))
+        new = cut(new.join(seen[side].hint("merge"), ["pair", "id"], "left_anti"))
         levels[side].append(new)
         seen[side] = seen[side].unionByName(new.select("pair", "id"))
-        met = cut(new.join(seen[1 - side], ["pair", "id"]).groupBy("pair").agg(F.min("id").alias("id")))
+        met = cut(new.join(seen[1 - side].hint("merge"), ["pair", "id"]).groupBy("pair").agg(F.min("id").alias("id")))
         if met.limit(1).count():
             out.append(_traced(met, levels, hop))
-        live = cut(new.select("pair").distinct().join(met, "pair", "left_anti"))
+        live = cut(new.select("pair").distinct().join(met.hint("merge"), "pair", "left_anti"))
         if not live.limit(1).count():
             break
     found = out[0]
@@ -70,6 +71,6 @@ def _traced(met: DataFrame, levels: list[list[DataFrame]], length: int) -> DataF
         for level in whole[:0:-1]:
             before = level.select("pair", F.col("id").alias("at"), "parent")
             more = F.concat(F.array("parent"), "path") if side == 0 else F.concat("path", F.array("parent"))
-            path = path.join(before, ["pair", "at"]).select("pair", F.col("parent").alias("at"), "middle", more.alias("path"))
+            path = path.join(before.hint("merge"), ["pair", "at"]).select("pair", F.col("parent").alias("at"), "middle", more.alias("path"))
         path = path.withColumn("at", F.col("middle"))
     return cut(path.select("pair", F.lit(length).alias("length"), "path"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from factloom.functions.text import edge_id, json_text
 from factloom.session import table
 
+#: Order lines of one task, at most: their pairs are sorted or hashed in memory.
+TASK_LINES = 500_000
+
 DAY0 = "timestamp'2024-01-01 00:00:00'"
 
 
@@ -54,6 +57,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the edges are dealt to: by the order lines, which Parquet counts in its footers."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // TASK_LINES))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, src, dst, relation_type, attributes, version."""
     t = lambda n: table(spark, sf_dir, n)
@@ -64,19 +72,22 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         attributes = F.create_map(F.lit("dimension"), F.lit(f'"{dimension}"')) if dimension else F.create_map().cast("map<string,string>")
         return df.select(src.alias("src"), F.lit(relation).alias("relation_type"), dst.alias("dst"), attributes.alias("attributes"))
 
-    parts = [
+    n = parts(spark, sf_dir)
+    pairs = t("lineitem").select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").distinct()
+    bought = pairs.join(t("orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), c("l_orderkey") == c("o_orderkey"))
+    branches = [
         edge(t("customer"), "MEMBER_OF", text("person:", c("c_custkey")), text("org:nation:", c("c_nationkey")), "nation"),
         edge(t("nation"), "MEMBER_OF", text("org:nation:", c("n_nationkey")), text("org:region:", c("n_regionkey")), "region"),
         edge(t("supplier"), "MEMBER_OF", text("org:supplier:", c("s_suppkey")), text("org:nation:", c("s_nationkey")), "nation"),
         edge(t("customer"), "MEMBER_OF", text("person:", c("c_custkey")), text("org:segment:", slug(c("c_mktsegment"))), "segment"),
-        edge(t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey")).select("o_custkey", "l_partkey").distinct(), "PURCHASED", text("person:", c("o_custkey")), text("asset:", c("l_partkey"))),
+        edge(bought.select("o_custkey", "l_partkey").repartition(n, "o_custkey", "l_partkey").distinct(), "PURCHASED", text("person:", c("o_custkey")), text("asset:", c("l_partkey"))),
         edge(t("orders"), "ASSIGNED_TO", text("order:", c("o_orderkey")), text("person:", c("o_custkey"))),
-        edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), "RELATED_TO", text("order:", c("l_orderkey")), text("asset:", c("l_partkey"))),
+        edge(pairs, "RELATED_TO", text("order:", c("l_orderkey")), text("asset:", c("l_partkey"))),
         edge(t("part"), "PART_OF", text("asset:", c("p_partkey")), text("topic:brand:", slug(c("p_brand")))),
         edge(t("documents").where("lang is not null"), "TAGGED", text("doc:", c("doc_id")), text("topic:lang:", c("lang"))),
         edge(t("customer").where("c_custkey > 0"), "REPORTS_TO", text("person:", c("c_custkey")), text("person:", F.floor(c("c_custkey") / 4))),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = branches[0]
+    for p in branches[1:]:
         out = out.unionByName(p)
     return out.select(edge_id(c("src"), c("relation_type"), c("dst")).alias("id"), "src", "dst", "relation_type", "attributes", F.lit(1).cast("long").alias("version"))
