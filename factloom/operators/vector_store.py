@@ -29,6 +29,8 @@ from factloom.operators.search import BLOCK_ROWS, WHOLE, block_best, ranked
 from factloom.operators.store import Store
 from factloom.session import cut, ship
 
+#: Vectors that a task holds with their lists at a time: a query is repeated for each of its lists.
+HELD = 1 << 15
 SAMPLE_ROWS, ROUNDS, SEED = 20_000, 12, 5
 #: What probed lists find of the ten nearest, and how many of the sample's vectors measure it.
 RECALL, MEASURED = 0.93, 500
@@ -74,6 +76,14 @@ def _arrays(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return col.flatten().to_numpy().reshape(len(col), -1)
 
 
+def _slices(batches, lists: int):
+    """Batches cut so that each vector may go to every list."""
+    rows = max(1, HELD // lists)
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class VectorStore:
     def __init__(self, store: Store):
         self.store = store
@@ -146,7 +156,7 @@ class VectorStore:
         c = self.store.spark.sparkContext.broadcast(self._centroids())
 
         def probe(batches):
-            for batch in batches:
+            for batch in _slices(batches, max(len(c.value), 1)):
                 s = _unit(_arrays(batch, "vector")) @ c.value.T
                 near = np.argsort(-s, axis=1, kind="stable")[:, :n]
                 at = np.repeat(np.arange(len(s)), near.shape[1])
@@ -161,8 +171,8 @@ class VectorStore:
         shared = self.store.spark.sparkContext.broadcast((c, np.array([spread.get(k, -4.0) for k in range(len(c))])))
 
         def probe(batches):
-            for batch in batches:
-                centre, angle = shared.value
+            centre, angle = shared.value
+            for batch in _slices(batches, max(len(centre), 1)):
                 s = _unit(_arrays(batch, "vector")) @ centre.T
                 rank = np.argsort(np.argsort(-s, axis=1, kind="stable"), axis=1)
                 best = np.cos(np.maximum(np.arccos(np.clip(s, -1, 1)) - angle - 1e-9, 0))
