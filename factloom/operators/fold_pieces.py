@@ -31,9 +31,11 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def _weighed(facts: DataFrame) -> DataFrame:
+def _weighed(facts: DataFrame, parts: int | None = None) -> DataFrame:
     """Facts by piece, with what would become of each but its piece's first."""
-    rows = facts.repartitionByRange(*KEY, *_ORDER).withColumn("piece", F.spark_partition_id())
+    rows = facts.repartitionByRange(*([] if parts is None else [parts]), *KEY, *_ORDER).withColumn("piece", F.spark_partition_id())
+    if parts is not None:
+        rows = rows.repartition(parts, *KEY, "piece")  # else the session's number of tasks shares all pieces
     w = W.partitionBy(*KEY, "piece").orderBy(*_ORDER)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     last = lambda cond, *c: F.last(F.when(cond, F.struct(*c)), ignorenulls=True).over(before)
@@ -53,13 +55,13 @@ def _weighed(facts: DataFrame) -> DataFrame:
     return rows.withColumns({"open_other": F.col("open") & differs("open_first"), "open_turn": F.col("open") & differs("open_last")})
 
 
-def maps(facts: DataFrame) -> DataFrame:
+def maps(facts: DataFrame, parts: int | None = None) -> DataFrame:
     """One row for each key and piece: the map that the piece is."""
     at = F.struct(*_ORDER)
     low = lambda cond, x: F.min_by(F.when(cond, x), F.when(cond, at))
     high = lambda cond, x: F.max_by(F.when(cond, x), F.when(cond, at))
     c, taken = F.col, F.struct("value", "norm")
-    return _weighed(facts).groupBy(*KEY, "piece").agg(
+    return _weighed(facts, parts).groupBy(*KEY, "piece").agg(
         F.count("*").alias("n"), F.min_by(F.struct(*_ORDER[1:]), at).alias("head"), F.max_by(F.struct(*_BY), at).alias("tail"),
         low(c("taker"), taken).alias("taker"), high(c("taker"), F.struct("norm")).alias("norm"), high(c("start"), taken).alias("start"), F.count_if("start").alias("starts"),
         low(c("open"), c("event")).alias("open_first"), low(c("open_other"), c("event")).alias("open_second"),
@@ -88,11 +90,11 @@ def _applied(s: Column, p: Column) -> Column:
     return F.struct(value.alias("value"), norm.alias("norm"), *[p["tail"][b].alias(b) for b in _BY], _let(late, opened).alias("open")).cast(STATE)
 
 
-def fold(facts: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def fold(facts: DataFrame, state: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """What `conflict.fold` gives in its mode "reference". A key's pieces are as many as the range
-    partitions that it fills."""
+    partitions (`parts`, if given) that it fills."""
     own = {"confidence": F.coalesce("confidence", F.lit("exact")), **{c: F.coalesce(c, F.lit(conflict.UNATTRIBUTED)) for c in _BY[1:]}}
-    made = maps(facts.select(*KEY, *_ORDER).withColumns(own))
+    made = maps(facts.select(*KEY, *_ORDER).withColumns(own), parts)
     fields = [c for c in made.columns if c not in KEY]
     rows = made.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pieces"), F.sum("n").alias("n"))
     start, before = F.lit(None).cast(STATE), F.lit(0).cast("long")
