@@ -35,7 +35,7 @@ def _weighed(facts: DataFrame, parts: int | None = None) -> DataFrame:
     """Facts by piece, with what would become of each but its piece's first."""
     rows = facts.repartitionByRange(*([] if parts is None else [parts]), *KEY, *_ORDER).withColumn("piece", F.spark_partition_id())
     if parts is not None:
-        rows = rows.repartition(parts, *KEY, "piece")  # else the session's number of tasks shares all pieces
+        rows = rows.repartition(parts, "node_id", "piece")  # else the session's number of tasks shares all pieces
     w = W.partitionBy(*KEY, "piece").orderBy(*_ORDER)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     last = lambda cond, *c: F.last(F.when(cond, F.struct(*c)), ignorenulls=True).over(before)
