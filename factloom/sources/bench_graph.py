@@ -74,14 +74,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = parts(spark, sf_dir)
     pairs = t("lineitem").select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").distinct()
-    bought = pairs.join(t("orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), c("l_orderkey") == c("o_orderkey"))
+    orders = t("orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    bought = pairs.join(orders, c("l_orderkey") == c("o_orderkey"))
     branches = [
         edge(t("customer"), "MEMBER_OF", text("person:", c("c_custkey")), text("org:nation:", c("c_nationkey")), "nation"),
         edge(t("nation"), "MEMBER_OF", text("org:nation:", c("n_nationkey")), text("org:region:", c("n_regionkey")), "region"),
         edge(t("supplier"), "MEMBER_OF", text("org:supplier:", c("s_suppkey")), text("org:nation:", c("s_nationkey")), "nation"),
         edge(t("customer"), "MEMBER_OF", text("person:", c("c_custkey")), text("org:segment:", slug(c("c_mktsegment"))), "segment"),
         edge(bought.select("o_custkey", "l_partkey").repartition(n, "o_custkey", "l_partkey").distinct(), "PURCHASED", text("person:", c("o_custkey")), text("asset:", c("l_partkey"))),
-        edge(t("orders"), "ASSIGNED_TO", text("order:", c("o_orderkey")), text("person:", c("o_custkey"))),
+        edge(orders, "ASSIGNED_TO", text("order:", c("o_orderkey")), text("person:", c("o_custkey"))),
         edge(pairs, "RELATED_TO", text("order:", c("l_orderkey")), text("asset:", c("l_partkey"))),
         edge(t("part"), "PART_OF", text("asset:", c("p_partkey")), text("topic:brand:", slug(c("p_brand")))),
         edge(t("documents").where("lang is not null"), "TAGGED", text("doc:", c("doc_id")), text("topic:lang:", c("lang"))),
