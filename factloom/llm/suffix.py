@@ -9,9 +9,10 @@ mostly share their key; such a run of windows is one segment of text.
 1. Keys: each task sends the short hashes of its runs' keys, once each; a bucket finds those that
    occur in more than one document. Keys that repeat inside a task are known to at once.
    (Hash collisions here only add candidates.)
-2. Segments: documents with repeated keys are packed; a pack sends each distinct segment once,
-   with the least id of its documents, to the shard of its key. A passage that a third of all
-   documents share so costs a pack one segment.
+2. Segments: documents with repeated keys are packed, and packs of one task are put together; these
+   send each distinct segment once, with the least id of its documents, to the shard of its key. A
+   passage that a third of all documents share so costs them one segment. Nearly every shard gets
+   a row from each, so they are made as large as memory allows.
 3. Shards: the distinct segments of a shard are concatenated, their suffix array is induced
    (`_sais.suffix_array`), permuted common prefixes tell which neighbours share ``width`` bytes,
    and each group of equal windows has its least document. Windows with an earlier document are
@@ -43,6 +44,8 @@ from factloom.session import cut, discard, release, ship
 WIDTH = 50
 GRAM = 24
 PACK_BYTES = 4 << 20
+#: Distinct segments, and texts, that the packs put together hold.
+SENT_BYTES, HELD_BYTES = 24 << 20, 64 << 20
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 24 << 20
 STRETCH = 1 << 15
@@ -267,61 +270,75 @@ def _split_ids(doc: np.ndarray):
 
 def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
     """From (id, compressed text, its size, runs): finished rows of documents without repeated keys (kind 0),
-    packs of the others (kind 1), and the packs' segments by shard (kind 2)."""
+    packs of the others put together (kind 1), and their segments by shard (kind 2)."""
     names = ["kind", "pack", "shard", "id", "n_bytes", "sha", "text", "a", "b", "c"]
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    def close(ids, texts, flags):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        key, a, b = runs(data, off, width, gram)
-        doc = np.searchsorted(off, a, "right") - 1
-        begin = np.searchsorted(doc, np.arange(len(ids)), "left")
-        use = np.zeros(len(key), dtype=bool)
-        for i, f in enumerate(flags):
-            end = begin[i + 1] if i + 1 < len(begin) else len(key)
-            f = begin[i] + f.astype(np.int64)
-            use[f[f < end]] = True
-        at = np.flatnonzero(use)
-        pack = uuid.UUID(bytes=hashlib.blake2b(b"".join(map(str.encode, map(str, ids))) + hashlib.sha256(data.tobytes()).digest(), digest_size=16).digest()).hex
-        # segments of equal content are one, with the least document
-        raw = data.tobytes()
-        ids_ = np.array(ids, dtype=np.int64)
-        number: dict[bytes, int] = {}
-        seg = np.empty(len(at), dtype=np.int32)
-        least: list[int] = []
-        where: list[int] = []
-        for k, i in enumerate(at.tolist()):
-            content = raw[a[i] : b[i] + width - 1]
-            j = number.get(content)
-            if j is None:
-                j = number[content] = len(number)
-                least.append(int(ids_[doc[i]]))
-                where.append(i)
-            elif ids_[doc[i]] < least[j]:
-                least[j] = int(ids_[doc[i]])
-            seg[k] = j
-        rows = []
-        contents = list(number)
-        if contents:
-            shard = (mix(key[where]) % np.uint64(shards)).astype(np.int64)
-            for s, j in _split(shard):
-                blob = b"".join(contents[x] for x in j.tolist())
-                sizes = np.array([len(contents[x]) for x in j.tolist()], np.int32)
-                rows.append((2, pack, s, None, len(blob), None, _zipped(blob), _pressed(sizes), _pressed(np.array(least, np.int64)[j]), _pressed(j.astype(np.int32))))
-        index = _pressed(ids_) + b"" if len(ids) else b""
-        body = _zipped(raw)
-        lengths = _pressed(np.diff(off))
-        place = np.stack([at * 0 + a[at], b[at]], 1).astype(np.int64) if len(at) else np.zeros((0, 2), np.int64)
-        more = _joined_bytes([_pressed(place[:, 0]), _pressed((place[:, 1] - place[:, 0]).astype(np.int32)), _pressed(seg), _pressed(np.array(least, np.int64))])
-        rows.append((1, pack, None, None, len(raw), None, body, index, lengths, more))
-        return out(rows)
+    class Together:
+        """Packs and their distinct segments."""
+
+        def __init__(self):
+            self.number: dict[bytes, int] = {}
+            self.least: list[int] = []
+            self.keys: list[int] = []
+            self.packs: list[tuple] = []
+            self.sent = self.held = 0
+            self.name = hashlib.blake2b(digest_size=16)
+
+        def add(self, ids, texts, flags):
+            raw = b"".join(texts)
+            off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            key, a, b = runs(np.frombuffer(raw, np.uint8), off, width, gram)
+            doc = np.searchsorted(off, a, "right") - 1
+            begin = np.searchsorted(doc, np.arange(len(ids)), "left")
+            use = np.zeros(len(key), dtype=bool)
+            for i, f in enumerate(flags):
+                end = begin[i + 1] if i + 1 < len(begin) else len(key)
+                f = begin[i] + f.astype(np.int64)
+                use[f[f < end]] = True
+            at = np.flatnonzero(use)
+            self.name.update(b"".join(map(str.encode, map(str, ids))) + hashlib.sha256(raw).digest())
+            # segments of equal content are one, with the least document
+            seg = np.empty(len(at), dtype=np.int32)
+            number, least = self.number, self.least
+            for k, (i, j, d, h) in enumerate(zip(a[at].tolist(), b[at].tolist(), doc[at].tolist(), key[at].tolist())):
+                content = raw[i : j + width - 1]
+                x = number.get(content)
+                if x is None:
+                    x = number[content] = len(number)
+                    least.append(ids[d])
+                    self.keys.append(h)
+                    self.sent += len(content)
+                elif ids[d] < least[x]:
+                    least[x] = ids[d]
+                seg[k] = x
+            self.held += len(raw)
+            self.packs.append((_zipped(raw), _pressed(np.array(ids, dtype=np.int64)), _pressed(np.diff(off)), _pressed(a[at].astype(np.int64)), _pressed((b[at] - a[at]).astype(np.int32)), seg))
+
+        def rows(self):
+            name, least = uuid.UUID(bytes=self.name.digest()).hex, np.array(self.least, np.int64)
+            contents = list(self.number)
+            if contents:
+                shard = (mix(np.array(self.keys, np.uint64)) % np.uint64(shards)).astype(np.int64)
+                rows = []
+                for s, j in _split(shard):
+                    blob = b"".join(contents[x] for x in j.tolist())
+                    sizes = np.array([len(contents[x]) for x in j.tolist()], np.int32)
+                    rows.append((2, name, s, None, len(blob), None, _zipped(blob), _pressed(sizes), _pressed(least[j]), _pressed(j.astype(np.int32))))
+                    if len(rows) == 1000:
+                        yield out(rows)
+                        rows = []
+                if rows:
+                    yield out(rows)
+            texts, ids, lengths, first, count, seg = zip(*self.packs)
+            more = [_joined_bytes([f, n, _pressed(x), _pressed(least[x])]) for f, n, x in zip(first, count, seg)]
+            yield out([(1, name, None, None, self.held, None, *map(_joined_bytes, (texts, ids, lengths, more)))])
 
     def collect(batches):
-        ids, texts, flags, size = [], [], [], 0
+        ids, texts, flags, size, packs = [], [], [], 0, Together()
         for batch in batches:
             done = []
             for part in pieces(batch, "text", 1 << 20):
@@ -335,12 +352,17 @@ def packed(rows: DataFrame, shards: int, width: int, gram: int) -> DataFrame:
                     flags.append(_unpressed(r["runs"], np.uint32))
                     size += len(text)
                     if size >= PACK_BYTES:
-                        yield close(ids, texts, flags)
+                        packs.add(ids, texts, flags)
                         ids, texts, flags, size = [], [], [], 0
+                        if packs.sent >= SENT_BYTES or packs.held >= HELD_BYTES:
+                            yield from packs.rows()
+                            packs = Together()
             if done:
                 yield out(done)
         if ids:
-            yield close(ids, texts, flags)
+            packs.add(ids, texts, flags)
+        if packs.packs:
+            yield from packs.rows()
         give_back()
 
     return rows.select("id", "text", "size", "runs").mapInArrow(collect, "kind int, pack string, shard int, id long, n_bytes long, sha string, text binary, a binary, b binary, c binary")
@@ -487,50 +509,57 @@ def _marked(width: int, keep_text: bool):
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["crc", "kept"] if keep_text else [])]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.int64(), pa.string()] if keep_text else [])]
 
+    def mark(text, ids, lengths, more, hits):
+        """The rows of one pack; hits are segments of the packs with it, and windows in them."""
+        ids, lengths = _unpressed(ids, np.int64), _unpressed(lengths, np.int64)
+        first, count, seg, least = (_unpressed(p, k) for p, k in zip(_parts(more), (np.int64, np.int32, np.int32, np.int64)))
+        off = np.concatenate([[0], np.cumsum(lengths)])
+        raw = pa.decompress(text, decompressed_size=int(off[-1]), codec="zstd", asbytes=True) if off[-1] else b""
+        doc = np.searchsorted(off, first, "right") - 1
+        # windows of a segment that an earlier document of these packs holds too
+        sure = ids[doc] > least
+        window = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.add.at(window, first[sure], 1)
+        np.add.at(window, first[sure] + count[sure], -1)
+        window = np.cumsum(window)[:-1] > 0 if len(raw) else np.zeros(0, bool)
+        if hits:
+            s, at, size = hits
+            lo, hi = np.searchsorted(s, seg), np.searchsorted(s, seg, "right")
+            n = hi - lo
+            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(first, n) + at[which]
+            found = np.zeros(len(raw) + 1, dtype=np.int32)
+            np.add.at(found, begin, 1)
+            np.add.at(found, begin + size[which], -1)
+            window |= np.cumsum(found)[:-1] > 0
+        cover = np.zeros(len(raw) + 1, dtype=np.int32)
+        w = np.flatnonzero(window)
+        cover[w] += 1
+        np.add.at(cover, w + width, -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        data = np.frombuffer(raw, np.uint8)
+        rows = []
+        for i, d in enumerate(ids.tolist()):
+            g = gone[off[i] : off[i + 1]]
+            kept = data[off[i] : off[i + 1]][~g].tobytes()
+            spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (1 if len(g) and g[0] else 0))
+            more = []
+            if keep_text:
+                own = data[off[i] : off[i + 1]]
+                more = [zlib.crc32(own.tobytes()), own[~_whole(g, own)].tobytes().decode()]
+            rows.append((d, len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *more))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
     def run(batches):
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
-                raw = pa.decompress(r["text"], decompressed_size=r["n_bytes"], codec="zstd", asbytes=True) if r["n_bytes"] else b""
-                ids, lengths = _unpressed(r["a"], np.int64), _unpressed(r["b"], np.int64)
-                first, count, seg, least = (_unpressed(p, k) for p, k in zip(_parts(r["c"]), (np.int64, np.int32, np.int32, np.int64)))
-                off = np.concatenate([[0], np.cumsum(lengths)])
-                doc = np.searchsorted(off, first, "right") - 1
-                # windows of a segment that an earlier document of the pack holds too
-                sure = ids[doc] > least[seg]
-                window = np.zeros(len(raw) + 1, dtype=np.int32)
-                np.add.at(window, first[sure], 1)
-                np.add.at(window, first[sure] + count[sure], -1)
-                window = np.cumsum(window)[:-1] > 0 if len(raw) else np.zeros(0, bool)
                 hits = [_parts(h) for h in r["hits"] or []]
                 if hits:
-                    s, at, size = (np.concatenate([_unpressed(h[k], np.int32) for h in hits]) for k in range(3))
-                    order = np.argsort(s, kind="stable")
-                    s, at, size = s[order], at[order], size[order]
-                    lo, hi = np.searchsorted(s, seg), np.searchsorted(s, seg, "right")
-                    n = hi - lo
-                    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    begin = np.repeat(first, n) + at[which]
-                    found = np.zeros(len(raw) + 1, dtype=np.int32)
-                    np.add.at(found, begin, 1)
-                    np.add.at(found, begin + size[which], -1)
-                    window |= np.cumsum(found)[:-1] > 0
-                cover = np.zeros(len(raw) + 1, dtype=np.int32)
-                w = np.flatnonzero(window)
-                cover[w] += 1
-                np.add.at(cover, w + width, -1)
-                gone = np.cumsum(cover)[:-1] > 0
-                data = np.frombuffer(raw, np.uint8)
-                rows = []
-                for i, d in enumerate(ids.tolist()):
-                    g = gone[off[i] : off[i + 1]]
-                    kept = data[off[i] : off[i + 1]][~g].tobytes()
-                    spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (1 if len(g) and g[0] else 0))
-                    more = []
-                    if keep_text:
-                        own = data[off[i] : off[i + 1]]
-                        more = [zlib.crc32(own.tobytes()), own[~_whole(g, own)].tobytes().decode()]
-                    rows.append((d, len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *more))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    hits = [np.concatenate([_unpressed(h[k], np.int32) for h in hits]) for k in range(3)]
+                    order = np.argsort(hits[0], kind="stable")
+                    hits = [h[order] for h in hits]
+                for pack in zip(*map(_parts, (r["text"], r["a"], r["b"], r["c"]))):
+                    yield mark(*pack, hits)
         give_back()
 
     return run
